@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixing": mixing.op4_mixing,
+        "op5_secrets": secrets.op5_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op5_secrets": secrets.op5_sql()}
