@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import flac, mixing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
+        "op9_flac": flac.op9_flac,
     }
 
 
