@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, mixing, secrets
+from . import flac, licenses, mixing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
         "op9_flac": flac.op9_flac,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
