@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, licenses, mixing, secrets
+from . import flac, licenses, mixing, packing, secrets, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_packing": packing.op3_packing,
         "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
+        "op7_token_counts": token_counts.op7_token_counts,
         "op9_flac": flac.op9_flac,
         "op10_licenses": licenses.op10_licenses,
     }
