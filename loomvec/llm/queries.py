@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, licenses, mixing, packing, secrets, token_counts
+from . import flac, licenses, mixing, packing, secrets, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_token_counts": token_counts.op7_token_counts,
         "op9_flac": flac.op9_flac,
         "op10_licenses": licenses.op10_licenses,
