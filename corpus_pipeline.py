@@ -1,18 +1,62 @@
-"""The corpus pipeline: toxicity, near-duplicates, secrets, mixing, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, secrets, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of
+documents; the last returns the pieces of the packed sequences. run() writes every stage's result to
+the shared folder and reads it again as the next stage's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomvec.llm import mixing, packing, secrets, simhash, toxicity
+from loomvec.llm.common import cut, read_table
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar rejects go; it learns from labelled rows of these documents."""
+    return toxicity.keep_clean(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the least id."""
+    return simhash.keep_one(docs)
+
 
-STAGES: list = []
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; reported spans are replaced by a mark, and n_chars follows the text."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    t = cut(docs.withColumn("loomvec_row", F.monotonically_increasing_id()))
+    taken = mixing.mix(t, row="loomvec_row").where("copies > 0").select(F.col("row").alias("loomvec_row2"), F.col("copies").alias("loomvec_copies"))
+    t = t.join(taken, F.col("loomvec_row") == F.col("loomvec_row2"))
+    return t.withColumn("loomvec_copy", F.explode(F.sequence(F.lit(1), F.col("loomvec_copies").cast("int")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("near_duplicates", near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: The toxicity grammar, fingerprints and packing aren't SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents in sf_dir."""
-    from loomvec.llm.common import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
     return docs
