@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, licenses, mixing, packing, secrets, simhash, token_counts, toxicity
+from . import flac, licenses, mixing, packing, secrets, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_packing": packing.op3_packing,
         "op4_mixing": mixing.op4_mixing,
