@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, licenses, mixing, packing, secrets, simhash, suffix_dedup, token_counts, toxicity
+from . import flac, licenses, mixing, packing, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,10 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secrets": secrets.op5_secrets,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_topk": topk.op8_topk,
         "op9_flac": flac.op9_flac,
         "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op5_secrets": secrets.op5_sql()}
+    return {"op4_mixing": mixing.OP4_SQL, "op5_secrets": secrets.op5_sql(), "op8_topk": topk.OP8_SQL}
