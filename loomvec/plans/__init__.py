@@ -1 +1 @@
-
+"""Presets, composite evaluations and the registered queries."""

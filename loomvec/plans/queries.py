@@ -1,15 +1,777 @@
-"""Registered queries of the vector engine and the SQL that each must equal."""
+"""Registered queries of the vector engine and the SQL that each must equal.
+
+Every query runs over its whole table. Floats are rounded to six places on both sides; constants
+(matrices, codebooks, boundaries) come from one source for both.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import algebra as A
+from ..functions import catalog
+from ..functions import expr as E
+from ..operators import allocation as B
+from ..operators import analytics as Y
+from ..operators import codebooks as C
+from ..operators import compressors as P
+from ..operators import normalize as N
+from ..operators import quantizers as Q
+from ..operators import rotations as R
+from ..operators import scoring as S
+from ..sources import vectors as X
+from . import evaluation
+from . import oracle as O
+
+D = 64
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, Callable[[], str]] = {}
+
+
+def query(sql: Callable[[], str] | str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql if callable(sql) else lambda: sql
+        return f
+
+    return add
+
+
+def r6(c: Column, name: str) -> Column:
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+def vec() -> Column:
+    return F.col("vec")
+
+
+def flat(df: DataFrame, column: Column, key: str = "vec_id") -> DataFrame:
+    """(key, i, x): a vector column element by element."""
+    return df.select(key, F.posexplode(column).alias("i", "y")).select(key, "i", r6(F.col("y"), "x"))
+
+
+def flat_sql(ctes: str, source: str, expr: str, key: str = "vec_id") -> str:
+    return f"with {ctes}, o as (select {key}, {expr} as y from {source}) select {key}, (i - 1)::int as i, {O.r6('y[i]', 'x')} from o, unnest(range(1, len(y) + 1)) as t(i)"
+
+
+# Scans and sources
+
+
+@query(f"with {O.V} select label, count(*) as n, min(len(vec))::int as d, {O.r6('sum(vec[1])', 'first')} from v group by label")
+def scan_vectors(spark, d):
+    return X.vectors(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("d"), r6(F.sum(F.get("vec", F.lit(0))), "first"))
+
+
+@query(f"with {O.KV} select h, s::int as s, k_id from k")
+def key_positions(spark, d):
+    return X.keys(spark, d).select("h", "s", "k_id")
+
+
+OUTLIERS = {3: 10.0, 31: 8.0, 47: 6.0}
+_OUT = "[x * (case i - 1 when 3 then 10.0e0 when 31 then 8.0e0 when 47 then 6.0e0 else 1e0 end) for x, i in vec]"
+
+
+@query(f"with {O.V}, o as (select {_OUT} as y from v) select (i - 1)::int as ch, {O.r6('max(abs(y[i]))', 'top')} from o, unnest(range(1, 65)) as t(i) group by i")
+def outlier_channels(spark, d):
+    return X.with_outliers(X.vectors(spark, d), OUTLIERS).select(F.posexplode("vec").alias("ch", "x")).groupBy("ch").agg(r6(F.max(F.abs("x")), "top"))
+
+
+@query(f"with {O.V}, n as (select count(*) // 3 as at from v) select q.vec_id, {O.r6(O.dot('q.vec', 'q.vec'), 'self')} from v q, n where q.vec_id = n.at")
+def needle_vector(spark, d):
+    t = X.vectors(spark, d)
+    return t.where(F.col("vec_id") == t.count() // 3).select("vec_id", r6(E.dot(vec(), vec()), "self"))
+
+
+# Projections
+
+
+@query(f"with {O.V} select vec_id, {O.r6(O.norm('vec'), 'norm')} from v")
+def norms(spark, d):
+    return X.vectors(spark, d).select("vec_id", r6(E.norm(vec()), "norm"))
+
+
+@query(flat_sql(f"{O.V}, w as (select vec_id, vec, greatest({O.norm('vec')}, 1e-12) as n from v)", "w", "[x / n for x in vec]"))
+def unit_vectors(spark, d):
+    return flat(X.vectors(spark, d), E.unit(vec()))
+
+
+@query(flat_sql(f"{O.V}, w as (select vec_id, vec, {O.norm('vec')} + 1e-8 as n from v)", "w", "[x / n for x in vec]"))
+def unit_vectors_plus(spark, d):
+    return flat(X.vectors(spark, d), E.unit_plus(vec()))
+
+
+_PAIR = f"{O.V}, p as (select vec_id, vec as a, lead(vec) over (partition by label order by vec_id) as b from v)"
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return X.vectors(spark, d).select("vec_id", vec().alias("a"), F.lead("vec").over(W.partitionBy("label").orderBy("vec_id")).alias("b")).where("b is not null")
+
+
+@query(f"with {_PAIR} select vec_id, {O.r6(O.dot('a', 'b'), 'dot')}, {O.r6(O.dot('a', 'b') + ' / (greatest(' + O.norm('a') + ', 1e-8) * greatest(' + O.norm('b') + ', 1e-8))', 'cosine')} from p where b is not null")
+def dots_and_cosines(spark, d):
+    return pairs(spark, d).select("vec_id", r6(E.dot(F.col("a"), F.col("b")), "dot"), r6(E.cosine(F.col("a"), F.col("b")), "cosine"))
+
+
+@query(f"with {O.V} select vec_id, {O.r6('greatest(-65504e0, least(65504e0, vec[1] * 1e6))', 'clamped')} from v")
+def clamp_half(spark, d):
+    return X.vectors(spark, d).select("vec_id", r6(E.clamp(F.get("vec", F.lit(0)) * 1e6), "clamped"))
+
+
+@query(f"with {O.V} select vec_id, j::int as block, {O.r6('list_sum(vec[j * 8 + 1:j * 8 + 8])', 'total')} from v, unnest(range(0, 8)) as t(j)")
+def block_sums(spark, d):
+    return X.vectors(spark, d).select("vec_id", F.posexplode(E.blocks(vec(), 8)).alias("block", "x")).select("vec_id", "block", r6(E.total(F.col("x")), "total"))
+
+
+@query(f"with {O.V} select vec_id, {O.r6('list_sum(vec[1:16])', 'head16')}, {O.r6('list_sum(vec)', 'head100')} from v")
+def prefixes(spark, d):
+    return X.vectors(spark, d).select("vec_id", r6(E.total(E.head(vec(), 16)), "head16"), r6(E.total(E.head(vec(), 100)), "head100"))
+
+
+@query(f"with {_PAIR} select vec_id, {O.r6('sqrt(list_sum([(a[i] - b[i]) * (a[i] - b[i]) for i in range(1, 65)]))', 'norm')} from p where b is not null")
+def residual_norms(spark, d):
+    return pairs(spark, d).select("vec_id", r6(E.norm(E.minus(F.col("a"), F.col("b"))), "norm"))
+
+
+@query(f"with {O.KV}, n as (select *, count(*) over (partition by h) as len from k) select k_id, (s >= 4 and not (len > 16 and s >= len - 16)) as quantized from n")
+def precision_windows(spark, d):
+    t = X.keys(spark, d).withColumn("len", F.count("*").over(W.partitionBy("h")))
+    return t.select("k_id", N.quantizes(F.col("s"), F.col("len"), 4, 16).alias("quantized"))
+
+
+def _prefix_sql() -> str:
+    cond = lambda prefix: "(" + " and ".join(f"p[{i + 1}] = {x}" for i, x in enumerate(prefix)) + ")"
+    ctes = ["u as (select id, [((id // (3 ** (7 - i))::bigint) % 3 - 1)::int for i in range(0, 8)] as p from range(6561) t(id))", "l0 as (select id, p from u where p[1] <> 1 and list_sum(p) % 2 = 0 and len([x for x in p if x <> 0]) % 2 = 0)"]
+    for n, level in enumerate(C.LEVELS[1:], 1):
+        parts = [f"not {cond(c)}" for c in C.PREFIX_CUTS[level]] + ([cond(C.LEADS[level])] if level in C.LEADS else []) + (["not (p[5] = 1 and p[6] <> -1)"] if level == "32" else [])
+        ctes.append(f"l{n} as (select id, p from l{n - 1} where {' and '.join(parts)})")
+    return "with " + ", ".join(ctes) + " " + " union all ".join(f"select '{level}' as level, id as code from l{n}" for n, level in enumerate(C.LEVELS))
+
+
+@query(_prefix_sql)
+def prefix_codebooks(spark, d):
+    out = None
+    for level in C.LEVELS:
+        t = C.prefix_codebook_table(spark, level).select(F.lit(level).alias("level"), "code")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+# Rotations: the same matrix on both sides
+
+
+def rotation_query(name: str) -> None:
+    def sql() -> str:
+        return flat_sql(f"{O.V}, m as (select {O.mat(R.make(name, D).matrix)} as m)", "v, m", O.matvec("m", "vec"))
+
+    def run(spark, d):
+        return flat(X.vectors(spark, d), R.make(name, D).column(vec()))
+
+    run.__name__ = f"rotate_{name}"
+    query(sql)(run)
+
+
+for _name in ("haar", "wht", "cd4", "cd8", "cd16", "hybrid", "e8block", "clifford", "kac"):
+    rotation_query(_name)
+
+
+@query(lambda: flat_sql(f"{O.V}, m as (select {O.mat(R.wht(D).matrix)} as m)", "v, m", O.matvec("m", "vec")))
+def rotate_wht_butterfly(spark, d):
+    return flat(X.vectors(spark, d), R.wht_column(vec(), D))
+
+
+@query(lambda: flat_sql(f"{O.V}, m as (select {O.mat(R.hypercomplex_layers(D).matrix)} as m)", "v, m", O.matvec("m", "vec")))
+def rotate_layers(spark, d):
+    return flat(X.vectors(spark, d), R.hypercomplex_layers(D).column(vec()))
+
+
+@query(lambda: flat_sql(f"{O.V}, m as (select {O.mat(R.hypercomplex(D, 4, sandwich=True).matrix)} as m)", "v, m", O.matvec("m", "vec")))
+def rotate_sandwich(spark, d):
+    return flat(X.vectors(spark, d), R.hypercomplex(D, 4, sandwich=True).column(vec()))
+
+
+@query(f"with {O.V} select vec_id, (i - 1)::int as i, round(vec[i], 4) + 0.0 as x from v, unnest(range(1, 65)) as t(i)")
+def rotate_and_back(spark, d):
+    r = R.hybrid(D)
+    t = R.rotate(R.rotate(X.vectors(spark, d), r), r, "rotated", "back", back=True)
+    # Through float32, the type of the table, which takes the last bits of the products away.
+    return t.select("vec_id", F.posexplode("back").alias("i", "x")).select("vec_id", "i", (F.round(F.col("x").cast("float").cast("double"), 4) + F.lit(0.0)).alias("x"))
+
+
+@query()
+def rotate_pca(spark, d):
+    t = X.vectors(spark, d)
+    # Signs of eigenvectors are free; the variances along them are not.
+    return Y.distribution(R.rotate(t, R.pca(t)), "rotated").select("ch", r6(F.col("variance"), "variance"))
+
+
+@query(f"with {O.V}, n as (select count(*) as n from v) select 'hybrid' as rotation, 0.0::double as invertibility, 0.0::double as isometry")
+def rotation_quality(spark, d):
+    q = R.quality(X.vectors(spark, d), R.hybrid(D))
+    return q.select(F.lit("hybrid").alias("rotation"), r6(F.col("invertibility_error"), "invertibility"), r6(F.col("isometry_error"), "isometry"))
+
+
+# Quantizers
+
+
+def _bounds(bits: int, d: int = D):
+    return C.lloyd_max(d, bits)
+
+
+def _q_sql(bits: int, v: str = "vec", d: int = D) -> str:
+    return f"[{O.count_above('x', _bounds(bits, d)[1])} for x in {v}]"
+
+
+def _deq_sql(bits: int, v: str = "vec", d: int = D) -> str:
+    return f"[{O.arr(_bounds(bits, d)[0])}[{O.count_above('x', _bounds(bits, d)[1])} + 1] for x in {v}]"
+
+
+@query(lambda: " union all ".join(f"select {b} as bits, i::int as idx, {O.r6(O.arr(_bounds(b)[0]) + '[i + 1]', 'centroid')} from range({1 << b}) t(i)" for b in (1, 2, 3, 4)))
+def lloyd_max_tables(spark, d):
+    rows = [(b, i, x) for b in (1, 2, 3, 4) for i, x in enumerate(_bounds(b)[0])]
+    return spark.createDataFrame(rows, "bits int, idx int, x double").select("bits", "idx", r6(F.col("x"), "centroid"))
+
+
+@query(lambda: flat_sql(O.V, "v", _q_sql(3)).replace("round(y[i], 6) + 0.0 as x", "y[i]::int as x"))
+def scalar_indices(spark, d):
+    return X.vectors(spark, d).select("vec_id", F.posexplode(Q.Scalar(D, 3).quantize(vec())).alias("i", "x")).select("vec_id", "i", F.col("x").cast("int").alias("x"))
+
+
+@query(lambda: f"with {O.V}, o as (select label, vec, {_deq_sql(3)} as y from v) select label, {O.r6('avg(list_sum([(vec[i] - y[i]) * (vec[i] - y[i]) for i in range(1, 65)]) / 64)', 'mse')} from o group by label")
+def scalar_mse(spark, d):
+    return Y.mse(X.vectors(spark, d).withColumn("y", Q.Scalar(D, 3).round_trip(vec())), "vec", "y", "label").select("label", r6(F.col("mse"), "mse"))
+
+
+def _mse_sql(bits: int, rotation: str) -> str:
+    m = R.make(rotation, D).matrix
+    return f"""{O.V}, m as (select {O.mat(m)} as m, {O.mat(m.T)} as mt), u as (select vec_id, label, vec, {O.matvec('m', 'vec')} as y, mt from v, m),
+    q as (select vec_id, label, vec, {_deq_sql(bits, 'y')} as z, mt from u), w as (select vec_id, label, vec, {O.matvec('mt', 'z')} as r from q)"""
+
+
+@query(lambda: f"with {_mse_sql(3, 'wht')} select label, {O.r6('avg(list_sum([(vec[i] - r[i]) * (vec[i] - r[i]) for i in range(1, 65)]))', 'error')} from w group by label")
+def compress_mse(spark, d):
+    t = P.Mse(D, 3, "wht").transform(X.vectors(spark, d))
+    e = E.minus(vec(), F.col("restored"))
+    return t.groupBy("label").agg(r6(F.avg(E.dot(e, e)), "error"))
+
+
+_E8 = """e as (select vec_id, j, [vec[j * 8 + i] * 8 for i in range(1, 9)] as x from v, unnest(range(0, 8)) as t(j)),
+a0 as (select *, [round_even(t, 0) for t in x] as r, [round_even(t - 0.5e0, 0) for t in x] as h from e),
+a1 as (select *, [x[i] - r[i] for i in range(1, 9)] as dr, [x[i] - 0.5e0 - h[i] for i in range(1, 9)] as dh from a0),
+a2 as (select *, list_position([abs(t) for t in dr], list_max([abs(t) for t in dr])) as ir, list_position([abs(t) for t in dh], list_max([abs(t) for t in dh])) as ih from a1),
+a3 as (select *, [r[i] + case when i = ir and list_sum(r) % 2 <> 0 then case when dr[i] >= 0 then 1 else -1 end else 0 end for i in range(1, 9)] as p,
+  [h[i] + 0.5e0 + case when i = ih and list_sum(h) % 2 <> 0 then case when dh[i] >= 0 then 1 else -1 end else 0 end for i in range(1, 9)] as g from a2),
+a4 as (select vec_id, j, list_sum([(x[i] - p[i]) * (x[i] - p[i]) for i in range(1, 9)]) as ep, list_sum([(x[i] - g[i]) * (x[i] - g[i]) for i in range(1, 9)]) as eg from a3)"""
+
+
+@query(f"with {O.V}, {_E8} select vec_id, j::int as block, {O.r6('least(ep, eg)', 'error')} from a4")
+def e8_errors(spark, d):
+    near = Q._rounder(lambda x: C.e8_nearest(x))
+    t = X.vectors(spark, d).select("vec_id", F.transform("vec", lambda x: x * 8).alias("x")).withColumn("y", near(F.col("x")))
+    t = t.select("vec_id", F.posexplode(F.arrays_zip(E.blocks(F.col("x"), 8).alias("x"), E.blocks(F.col("y"), 8).alias("y"))).alias("block", "p"))
+    e = E.minus(F.col("p.x"), F.col("p.y"))
+    return t.select("vec_id", "block", r6(E.dot(e, e), "error"))
+
+
+@query()
+def e8_scale_search(spark, d):
+    t = X.vectors(spark, d)
+    return Q.scale_errors(t, "vec", Q.table_rms(t, "vec")).select("step", r6(F.col("scale"), "scale"), r6(F.col("mse"), "mse"))
+
+
+@query(lambda: "select 240 as roots, 2.0::double as norm_sq, 112 as whole")
+def e8_root_counts(spark, d):
+    t = spark.createDataFrame([(r.tolist(),) for r in C.e8_roots()], "r array<double>")
+    return t.agg(F.count("*").cast("int").alias("roots"), F.max(E.dot(F.col("r"), F.col("r"))).alias("norm_sq"), F.sum((F.get("r", F.lit(0)) == F.rint(F.get("r", F.lit(0)))).cast("int")).cast("int").alias("whole"))
+
+
+def _nearest_sql(codes: np.ndarray, divisor: float) -> str:
+    return f"""with {O.V}, s as (select sqrt(sum(list_sum([x * x for x in vec])) / sum(len(vec))) / {O.num(divisor)} as scale from v),
+    c as (select code, c from (select unnest(range(0, {len(codes)})) as code, unnest({O.mat(codes)}) as c)),
+    e as (select vec_id, j, vec[j * 8 + 1:j * 8 + 8] as x, scale from v, s, unnest(range(0, 8)) as t(j)),
+    n as (select vec_id, j, arg_min(list_sum([(x[i] - scale * c.c[i]) * (x[i] - scale * c.c[i]) for i in range(1, 9)]), list_sum([(x[i] / (scale + 1e-8) - c.c[i]) * (x[i] / (scale + 1e-8) - c.c[i]) for i in range(1, 9)])) as e from e, c group by vec_id, j)
+    select vec_id, j::int as block, {O.r6('e', 'error')} from n"""
+
+
+def _code_errors(spark: SparkSession, d: str, q: Q.Codebook) -> DataFrame:
+    t = X.vectors(spark, d)
+    fitted = q.fit(t)
+    t = t.withColumn("y", fitted.round_trip(vec())).select("vec_id", F.posexplode(F.arrays_zip(E.blocks(vec(), 8).alias("x"), E.blocks(F.col("y"), 8).alias("y"))).alias("block", "p"))
+    e = E.minus(F.col("p.x"), F.col("p.y"))
+    return t.select("vec_id", "block", r6(E.dot(e, e), "error"))
+
+
+@query(lambda: _nearest_sql(C.prefix_codebook("256"), C.rms(C.prefix_codebook("256")) + 1e-8))
+def prefix_errors(spark, d):
+    return _code_errors(spark, d, Q.Codebook("prefix", "256"))
+
+
+@query(lambda: _nearest_sql(C.kmeans_codebook(64), 1.0))
+def kmeans_errors(spark, d):
+    return _code_errors(spark, d, Q.Codebook("kmeans", "64"))
+
+
+@query(f"""with {O.V}, f as (select vec_id, i, vec[i] as x from v, unnest(range(1, 65)) as t(i)), c as (select i, min(x) as lo, greatest((max(x) - min(x)) / 3e0, 1e-8) as scale from f group by i)
+select f.vec_id, (f.i - 1)::int as i, {O.r6('least(greatest(round_even((x - lo) / scale, 0), 0), 3) * scale + lo', 'x')} from f join c using (i)""")
+def per_channel(spark, d):
+    return flat(Q.quantize_channels(X.vectors(spark, d), "vec", 2), F.col("restored"))
+
+
+@query(flat_sql(f"{O.V}, w as (select vec_id, vec, list_min(vec) as lo, greatest((list_max(vec) - list_min(vec)) / 3e0, 1e-8) as s from v)", "w", "[least(greatest(round_even((x - lo) / s, 0), 0), 3) * s + lo for x in vec]"))
+def per_row(spark, d):
+    t = X.vectors(spark, d).withColumn("q", Q.quantize_row(vec(), 2))
+    return flat(t, Q.restore_row(F.col("q")))
+
+
+_GROUPS = f"""with {O.V}, g as (select vec_id, j, vec[j * 24 + 1:least(j * 24 + 24, 64)] as x from v, unnest(range(0, 3)) as t(j)),
+p as (select *, list_min(x) as lo, list_max(x) as hi from g), q as (select *, abs((lo + hi) / 2) < 0.1e0 * greatest(hi - lo, 1e-8) as sym from p),
+s as (select *, case when sym then greatest(2e0 * greatest(abs(lo), abs(hi)) / 15, 1e-8) else greatest((hi - lo) / 15, 1e-8) end as scale, case when sym then 0e0 else lo end as zero from q),
+o as (select *, [case when sym then (least(greatest(round_even(t / scale + 7.5e0, 0), 0), 15) - 7.5e0) * scale else least(greatest(round_even((t - zero) / scale, 0), 0), 15) * scale + zero end for t in x] as y from s)"""
+
+
+@query(f"{_GROUPS} select vec_id, j::int as grp, sym as symmetric, {O.r6('scale', 'scale')}, {O.r6('list_sum([(x[i] - y[i]) * (x[i] - y[i]) for i in range(1, len(x) + 1)])', 'error')} from o")
+def group_wise(spark, d):
+    t = X.vectors(spark, d).withColumn("p", Q.group_params(vec(), D, 24, 4))
+    t = t.withColumn("y", Q.group_dequantize(Q.group_quantize(vec(), F.col("p"), 24, 4), F.col("p"), 24, 4))
+    t = t.withColumn("e", F.zip_with("vec", "y", lambda x, y: (x - y) * (x - y)))
+    return t.select("vec_id", F.posexplode("p").alias("grp", "q"), "e").select("vec_id", "grp", F.col("q.symmetric").alias("symmetric"), r6(F.col("q.scale"), "scale"), r6(E.total(F.slice("e", F.col("grp") * 24 + 1, F.lit(24))), "error"))
+
+
+TOWER_BITS = [5, 5, 4, 3, 2]
+
+
+def _tower_sql() -> str:
+    m = R.make("wht", D).matrix
+    parts = " || ".join(_deq_sql(b, f"y[{lo + 1}:{hi}]", hi - lo) for (lo, hi), b in zip(P.tower(D), TOWER_BITS, strict=True))
+    return f"with {O.V}, m as (select {O.mat(m)} as m, {O.mat(m.T)} as mt), u as (select vec_id, label, vec, {O.matvec('m', 'vec')} as y, mt from v, m), z as (select vec_id, label, vec, {parts} as z, mt from u), w as (select label, vec, {O.matvec('mt', 'z')} as r from z) select label, {O.r6('avg(list_sum([(vec[i] - r[i]) * (vec[i] - r[i]) for i in range(1, 65)]) / 64)', 'mse')} from w group by label"
+
+
+@query(_tower_sql)
+def tower_mse(spark, d):
+    return Y.mse(P.tower_transform(X.vectors(spark, d), TOWER_BITS), "vec", "restored", "label").select("label", r6(F.col("mse"), "mse"))
+
+
+@query(lambda: f"""with {O.V}, m as (select {O.mat(R.make('wht', D, 142).matrix)} as m, {O.mat(R.make('wht', D, 142).matrix.T)} as mt), n as (select vec_id, label, vec, {O.norm('vec')} + 1e-8 as n, m, mt from v, m),
+u as (select label, vec, n, mt, {O.matvec('m', '[x / n for x in vec]')} as y from n), z as (select label, vec, n, mt, {_deq_sql(3, 'y')} as z from u), w as (select label, vec, [x * n for x in {O.matvec('mt', 'z')}] as r from z)
+select label, {O.r6('avg(list_sum([(vec[i] - r[i]) * (vec[i] - r[i]) for i in range(1, 65)]) / 64)', 'mse')} from w group by label""")
+def value_compression(spark, d):
+    return Y.mse(P.ValueCompressor(D, 3, "wht").transform(X.vectors(spark, d)), "vec", "restored", "label").select("label", r6(F.col("mse"), "mse"))
+
+
+# Normalisation, sketches, packing
+
+_NSN = f"""{O.V}, a as (select vec_id, vec, {O.norm('vec')} as n1 from v), u as (select vec_id, n1, [x / (n1 + 1e-8) for x in vec] as u from a),
+cm as (select list(m order by i) as m from (select i, avg(u[i]) as m from u, unnest(range(1, 65)) as t(i) group by i)),
+c as (select vec_id, n1, m, [u[i] - m[i] for i in range(1, 65)] as c from u, cm), w as (select vec_id, n1, m, c, {O.norm('c')} as n2 from c), z as (select vec_id, n1, n2, m, [x / (n2 + 1e-8) for x in c] as z from w)"""
+
+
+@query(f"with {_NSN} select vec_id, {O.r6('n1', 'norm1')}, {O.r6('n2', 'norm2')}, {O.r6('list_sum([z[i] * i for i in range(1, 65)])', 'chk')} from z")
+def nsn_normalize(spark, d):
+    t, _ = N.nsn(X.vectors(spark, d))
+    return t.select("vec_id", r6(F.col("norm1"), "norm1"), r6(F.col("norm2"), "norm2"), r6(E.dot(F.col("normalized"), E.literal(range(1, 65))), "chk"))
+
+
+@query(flat_sql(f"{_NSN}", "z", "[(z[i] * n2 + m[i]) * n1 for i in range(1, 65)]"))
+def nsn_round_trip(spark, d):
+    t, mean = N.nsn(X.vectors(spark, d))
+    return flat(t, N.nsn_restore(F.col("normalized"), mean, F.col("norm1"), F.col("norm2")))
+
+
+@query(lambda: f"with {O.V}, q as (select vec_id, vec, {_deq_sql(2)} as y from v), f as (select vec_id, y, {O.dot('vec', 'vec')} / ({O.dot('vec', 'y')} + 1e-8) as f from q) select vec_id, {O.r6('f * list_sum(y)', 'total')} from f")
+def adaptive_scaling(spark, d):
+    return X.vectors(spark, d).withColumn("y", Q.Scalar(D, 2).round_trip(vec())).select("vec_id", r6(E.total(N.adaptive_scale(vec(), F.col("y"))), "total"))
+
+
+@lru_cache(4)
+def _sketch(seed: int = 43) -> np.ndarray:
+    return P.sketch_matrix(D, D, seed)
+
+
+_WORDS = "list_sum([case when p[i] >= 0 then (1::hugeint << (i - 1)) else 0::hugeint end for i in range(1, 65)])"
+_SIGNED = f"(case when {_WORDS} >= 9223372036854775808::hugeint then {_WORDS} - 18446744073709551616::hugeint else {_WORDS} end)::bigint"
+
+
+@query(lambda: f"with {O.V}, m as (select {O.mat(_sketch())} as m), p as (select vec_id, {O.matvec('m', 'vec')} as p from v, m) select vec_id, {_SIGNED} as word, len([x for x in p if x >= 0])::int as positive from p")
+def sign_words(spark, d):
+    t = X.vectors(spark, d).withColumn("s", P.sketch_signs(vec(), _sketch()))
+    return t.select("vec_id", F.get(E.pack_signs(F.col("s"), D), F.lit(0)).alias("word"), F.size(F.filter("s", lambda x: x > 0)).alias("positive"))
+
+
+@query(f"with {O.V} select vec_id, (i - 1)::int as i, case when vec[i] >= 0 then 1 else -1 end as x from v, unnest(range(1, 51)) as t(i)")
+def sign_round_trip(spark, d):
+    t = X.vectors(spark, d).select("vec_id", E.unpack_signs(E.pack_signs(E.signs(F.slice("vec", 1, 50)), 50, 32), 50, 32).alias("s"))
+    return t.select("vec_id", F.posexplode("s").alias("i", "x")).select("vec_id", "i", F.col("x").cast("int").alias("x"))
+
+
+@query(f"with {_PAIR} select vec_id, {O.r6('list_sum([case when a[i] >= 0 then b[i] else -b[i] end for i in range(1, 65)])', 'dot')} from p where b is not null")
+def packed_dots(spark, d):
+    return pairs(spark, d).select("vec_id", r6(E.packed_dot(E.pack_signs(E.signs(F.col("a")), D), F.col("b"), D), "dot"))
+
+
+@query(f"with {O.V} select count(*) * 8 as packed, count(*) * 64 as unpacked, 8.0::double as ratio from v")
+def sign_storage(spark, d):
+    return X.vectors(spark, d).agg((F.count("*") * E.packed_bytes(D)).alias("packed"), (F.count("*") * E.unpacked_bytes(D)).alias("unpacked"), F.lit(E.packing_ratio(D)).alias("ratio"))
+
+
+def _prod_sql() -> str:
+    m = R.make("wht", D).matrix
+    c = math.sqrt(math.pi / 2) / D
+    return f"""with {O.V}, m as (select {O.mat(m)} as m, {O.mat(m.T)} as mt, {O.mat(_sketch())} as sk), u as (select vec_id, vec, mt, sk, {O.matvec('m', 'vec')} as y from v, m),
+    q as (select vec_id, vec, sk, mt, {_deq_sql(2, 'y')} as z from u), w as (select vec_id, vec, sk, {O.matvec('mt', 'z')} as km from q), e as (select *, [vec[i] - km[i] for i in range(1, 65)] as e from w),
+    k as (select vec_id, km, {O.norm('e')} as rn, {O.matvec('sk', 'e')} as p from e), a as (select vec_id as q_id, vec as q, {O.matvec('sk', 'vec')} as qp from v, m where vec_id % 50 = 0)
+    select q_id, vec_id, round({O.dot('q', 'km')} + rn * {O.num(c)} * list_sum([case when p[i] >= 0 then qp[i] else -qp[i] end for i in range(1, 65)]), 5) + 0.0 as score from a, k"""
+
+
+@query(_prod_sql)
+def estimate_products(spark, d):
+    c = P.Prod(D, 3, "wht")
+    t = X.vectors(spark, d)
+    k = c.compress(t)
+    q = c.project(t.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), vec().alias("q")))
+    s = c.estimate(F.col("q"), F.col("q_proj"), F.col("k_mse"), F.col("sign_words"), F.col("residual_norm"))
+    return q.crossJoin(k).select("q_id", "vec_id", (F.round(s, 5) + F.lit(0.0)).alias("score"))
+
+
+# Scores and top-k
+
+
+def key_queries(spark: SparkSession, d: str, every: int = 50) -> tuple[DataFrame, DataFrame]:
+    k = X.keys(spark, d)
+    return k, k.where(F.col("k_id") % every == 0).select("b", "h", F.col("k_id").alias("q_id"), vec().alias("q"))
+
+
+_QK = f"{O.KV}, s as (select q.h, q.k_id as q_id, k.k_id, {O.dot('q.vec', 'k.vec')} as score from k q join k on q.b = k.b and q.h = k.h where q.k_id % 50 = 0)"
+
+
+@query(f"with {_QK} select h, q_id, k_id, {O.r6('score', 'score')} from s")
+def attention_scores(spark, d):
+    k, q = key_queries(spark, d)
+    return S.all_scores(q, k.select("b", "h", "k_id", vec().alias("k"))).select("h", "q_id", "k_id", r6(F.col("score"), "score"))
+
+
+@query(f"with {_QK}, r as (select *, row_number() over (partition by q_id order by round(score, 9) desc, k_id) as rank from s) select q_id, k_id, rank::int as rank from r where rank <= 5")
+def topk_exact(spark, d):
+    k, q = key_queries(spark, d)
+    s = S.all_scores(q, k.select("b", "h", "k_id", vec().alias("k"))).withColumn("score", F.round("score", 9))
+    return S.ranked(s, ("q_id",), 5).select("q_id", "k_id", "rank")
+
+
+@query()
+def topk_compressed(spark, d):
+    """The flagship: keys in three bits with normalisation, packed sketches of residuals, the top five of each query."""
+    k, q = key_queries(spark, d)
+    c = P.KeyCompressor(D, 3, "wht")
+    return S.ranked(c.scores(q, c.compress(k)), ("q_id",), 5).select("q_id", "k_id", "rank", r6(F.col("score"), "score"))
+
+
+@query()
+def estimate_quality(spark, d):
+    k, q = key_queries(spark, d)
+    exact = S.all_scores(q, k.select("b", "h", "k_id", vec().alias("k")))
+    c = P.KeyCompressor(D, 4, "wht")
+    est = c.scores(q, c.compress(k))
+    return S.errors(exact, est).crossJoin(S.top1_match(exact, est)).crossJoin(S.recall(exact, est))
+
+
+@query(f"with {O.V}, n as (select count(*) // 3 as at from v), s as (select v.vec_id, {O.dot('v.vec', 'q.vec')} as s, v.vec_id = n.at as hit from v, n, v q where q.vec_id = n.at) select 0 as q_id, (select count(*) from s a, s b where b.hit and (a.s > b.s or a.s = b.s and a.vec_id < b.vec_id)) + 1 as rank")
+def needle_exact(spark, d):
+    t = X.vectors(spark, d)
+    at = t.count() // 3
+    s = X.needle(t, at)
+    scores = t.select(F.lit(0).alias("q_id"), F.col("vec_id").alias("k_id"), E.dot(E.literal(s), vec()).alias("score"))
+    return S.needle_rank(scores, F.col("k_id") == at)
+
+
+@query()
+def needle_compressed(spark, d):
+    k = X.keys(spark, d)
+    at = k.count() // 3
+    return evaluation.needle_retrieval(k, X.needle(k, at, "k_id"), at)
+
+
+@query(f"with {O.V}, q as (select vec from v order by vec_id limit 1), c as (select vec_id // 100 as chunk_id, vec_id % 100 as pos, vec from v) select chunk_id, pos, {O.r6(O.dot('q.vec', 'c.vec'), 'score')} from c, q")
+def chunked_scores(spark, d):
+    t = X.vectors(spark, d)
+    first = list(t.orderBy("vec_id").first()["vec"])
+    return S.chunk_scores(first, t.select(F.floor(F.col("vec_id") / 100).alias("chunk_id"), (F.col("vec_id") % 100).alias("pos"), vec().alias("k"))).select("chunk_id", "pos", r6(F.col("score"), "score"))
+
+
+# Aggregates and analytics
+
+_F = "f as (select i, vec[i] as x, vec[i + 1] as nx from v, unnest(range(1, 65)) as t(i))"
+
+
+@query(f"with {O.V}, {_F} select (i - 1)::int as ch, {O.r6('avg(x)', 'mean')}, {O.r6('min(x)', 'min')}, {O.r6('max(x)', 'max')}, {O.r6('avg(x * x)', 'energy')} from f group by i")
+def channel_statistics(spark, d):
+    return Y.channel_stats(X.vectors(spark, d)).select("ch", *[r6(F.col(c), c) for c in ("mean", "min", "max", "energy")])
+
+
+@query(f"""with {O.V}, {_F}, m as (select i, avg(x) as m from f group by i), s as (select i, count(*) as n, sum(power(x - m, 2)) as c2, sum(power(x - m, 3)) as c3, sum(power(x - m, 4)) as c4, abs(corr(x, nx)) as c from f join m using (i) group by i)
+select (i - 1)::int as ch, {O.r6('c2 / (n - 1)', 'variance')}, {O.r6('c3 / n / power(sqrt(c2 / (n - 1)), 3)', 'skewness')}, {O.r6('c4 / n / power(sqrt(c2 / (n - 1)), 4) - 3', 'kurtosis')}, {O.r6(f'0.5e0 * ln({O.num(2 * math.pi * math.e)} * c2 / (n - 1))', 'entropy')}, {O.r6('c', 'neighbour_corr')} from s""")
+def distribution(spark, d):
+    return Y.distribution(X.vectors(spark, d)).select("ch", *[r6(F.col(c), c) for c in ("variance", "skewness", "kurtosis", "entropy", "neighbour_corr")])
+
+
+@query()
+def rotation_score(spark, d):
+    t = R.rotate(X.with_outliers(X.vectors(spark, d), OUTLIERS), R.wht(D))
+    return Y.quality_score(t)
+
+
+@query(f"with {O.V} select (i - 1)::int as ch, {O.r6('sum(vec[i] * vec[i])', 'energy')} from v, unnest(range(1, 65)) as t(i) group by i")
+def spectrum_energy(spark, d):
+    """Parseval: the powers of all frequencies of a channel make its energy."""
+    t = X.vectors(spark, d)
+    n = t.count()
+    twice = F.when((F.col("freq") == 0) | ((F.lit(n) % 2 == 0) & (F.col("freq") == n // 2)), 1.0).otherwise(2.0)
+    return Y.coordinate_spectrum(t).groupBy("ch").agg(r6(F.sum(F.col("power") * twice), "energy"))
+
+
+_ATT = f"""{_QK}, e as (select h, q_id, k_id, exp(score - max(score) over (partition by h, q_id)) as e from s), p as (select h, q_id, greatest(e / sum(e) over (partition by h, q_id), 1e-10) as p from e),
+y as (select h, q_id, sum(-p * ln(p)) as hh, max(p) as peak, count(*) as n from p group by h, q_id), a as (select h, avg(hh) / ln(max(n)) as entropy, avg(peak) as peak from y group by h)"""
+
+
+def heads(spark: SparkSession, d: str) -> DataFrame:
+    k, q = key_queries(spark, d)
+    s = S.all_scores(q, k.select("b", "h", "k_id", vec().alias("k")))
+    p = Y.softmax(s, ("h", "q_id"))
+    return Y.head_sensitivity(p.select(F.lit(0).alias("layer"), F.col("h").alias("head"), F.col("q_id").alias("q"), F.col("k_id").alias("k"), "p"))
+
+
+@query(f"with {_ATT} select 0 as layer, h as head, {O.r6('entropy', 'entropy')}, {O.r6('peak', 'peak')}, {O.r6('(1 - entropy) * peak', 'sensitivity')} from a")
+def attention_entropy(spark, d):
+    return heads(spark, d).select("layer", "head", *[r6(F.col(c), c) for c in ("entropy", "peak", "sensitivity")])
+
+
+@query(f"""with {_ATT}, r as (select h, row_number() over (order by (1 - entropy) * peak desc, h) as rn, count(*) over () as n from a), b as (select h, (1 + least(greatest(floor(n * 2.5e0) - n - (rn - 1) * 3, 0), 3))::int as bits from r)
+select h as head, bits, case when bits >= 4 then 'haar' else 'wht' end as rotation, case when bits >= 4 then 'scalar' when bits = 3 then 'e8' when bits = 2 then 'z8_256' else 'z8_32' end as quantizer from b""")
+def greedy_allocation(spark, d):
+    return B.greedy_bits(heads(spark, d), 2.5).select("head", "bits", "rotation", "quantizer")
+
+
+@query(f"with {O.V}, s as (select label, var_samp(x) as v from (select label, unnest(vec) as x from v) group by label) select label, {O.r6('v', 'variance')}, {O.r6(f'v * {O.num(B.DISTORTION)} * power(4e0, -3e0)', 'distortion')}, round(3e0 * {O.num(math.log(2))} / (v * {O.num(B.DISTORTION)} * power(4e0, -3e0)), 3) + 0.0 as force from s")
+def variance_and_force(spark, d):
+    t = X.vectors(spark, d).select("label", F.explode("vec").alias("x")).groupBy("label").agg(F.var_samp("x").alias("v"))
+    return t.select("label", r6(F.col("v"), "variance"), r6(B.distortion(3.0, F.col("v")), "distortion"), (F.round(B.force(3.0, F.col("v")), 3) + F.lit(0.0)).alias("force"))
+
+
+@query(f"""with {O.V}, {_F}, e as (select i, ln(greatest(avg(x * x), 1e-30)) as l from f group by i), m as (select avg(l) as m from e) select (i - 1)::int as ch, {O.r6(f'3e0 + {O.num(B.SLOPE)} * (l - m)', 'bits')} from e, m""")
+def continuous_allocation(spark, d):
+    t = Y.channel_stats(X.vectors(spark, d)).select("ch", F.log(F.greatest("energy", F.lit(1e-30))).alias("l"))
+    return t.crossJoin(t.agg(F.avg("l").alias("m"))).select("ch", r6(3 + F.lit(B.SLOPE) * (F.col("l") - F.col("m")), "bits"))
+
+
+@query()
+def bit_allocations(spark, d):
+    t = X.vectors(spark, d)
+    rows = [("spectral", i, b) for i, b in enumerate(B.spectral(t, 3.0))] + [("tower", i, b) for i, b in enumerate(B.tower_bits(D, 3 * D, variances=B.level_variances(t, D)))]
+    rows += [("layer", int(k), b) for k, b in B.per_layer(t.withColumn("layer", F.col("label"))).items()]
+    return spark.createDataFrame(rows, "kind string, region int, bits int")
+
+
+@query(f"with {O.V} select count(*) * (64 * 2 / 8e0 + 8 + 4 + 4) + 128 as total, count(*) * 128e0 as original from v")
+def storage_bytes(spark, d):
+    s = P.storage(X.vectors(spark, d).count(), D, 3)
+    return spark.createDataFrame([(float(s["total"]), float(s["original"]))], "total double, original double")
+
+
+_HIST = f"with {O.V}, b as (select (vec_id % 3 + 2)::int as bits from v)"
+
+
+@query(f"{_HIST} select bits, count(*) as n from b group by bits")
+def bits_histogram(spark, d):
+    return Y.bits_histogram(X.vectors(spark, d).select((F.col("vec_id") % 3 + 2).cast("int").alias("bits")))
+
+
+@query(f"{_HIST} select {O.r6('avg(bits)', 'mean')}, min(bits) as min, max(bits) as max, count(*) as n from b")
+def bits_summary(spark, d):
+    return Y.bits_summary(X.vectors(spark, d).select((F.col("vec_id") % 3 + 2).cast("int").alias("bits"))).select(r6(F.col("mean"), "mean"), "min", "max", "n")
+
+
+@query()
+def low_rank(spark, d):
+    return Y.mse(P.svd_compress(X.keys(spark, d), 16, 4), "vec", "restored", "h").select("h", r6(F.col("mse"), "mse"))
+
+
+@query()
+def explained_variance(spark, d):
+    return spark.createDataFrame(list(enumerate(Y.explained_variance(X.vectors(spark, d), 16))), "i int, share double")
+
+
+@query()
+def head_rotations(spark, d):
+    return Y.per_head_rotation(X.keys(spark, d)).select("h", "rotation")
+
+
+# Hypercomplex and geometric algebra
+
+_AB = f"{O.KV}, a as (select k_id, h, s, vec[1:8] as a, lead(vec[1:8]) over (partition by h order by s) as b, lead(vec[1:8], 2) over (partition by h order by s) as c from k)"
+
+
+def triplets(spark: SparkSession, d: str, size: int = 8) -> DataFrame:
+    t = X.keys(spark, d).select("b", "h", "s", "k_id", F.slice("vec", 1, size).alias("a"))
+    return Y.consecutive(t, ("a",)).select("h", "s", "k_id", "a", F.col("a1").alias("b"), F.col("a2").alias("c"))
+
+
+def product_query(kind: str, size: int) -> None:
+    def sql() -> str:
+        src = _AB.replace("[1:8]", f"[1:{size}]")
+        return flat_sql(src, "a", A.product_sql("a", "b", size, kind), "k_id") .replace("from a)", "from a where c is not null)")
+
+    def run(spark, d):
+        return flat(triplets(spark, d, size), A.product(F.col("a"), F.col("b"), size, kind), "k_id")
+
+    run.__name__ = f"product_{kind}_{size}"
+    query(sql)(run)
+
+
+for _kind, _size in (("doubling", 2), ("doubling", 4), ("doubling", 8), ("doubling", 16), ("clifford", 8)):
+    product_query(_kind, _size)
+
+
+def _assoc_sql(names: tuple[str, str, str], prefix: str) -> str:
+    """CTE columns for the associator norm of three lists."""
+    a, b, c = names
+    return f"{A.product_sql(a, b, 8)} as {prefix}ab, {A.product_sql(b, c, 8)} as {prefix}bc"
+
+
+@query(lambda: f"""with {_AB}, p as (select *, {_assoc_sql(('a', 'b', 'c'), '')}, {A.product_sql('b', 'a', 8)} as ba from a where c is not null), q as (select *, {A.product_sql('ab', 'c', 8)} as l, {A.product_sql('a', 'bc', 8)} as r from p)
+select k_id, {O.r6('sqrt(list_sum([(l[i] - r[i]) * (l[i] - r[i]) for i in range(1, 9)])) / (' + O.norm('a') + ' * ' + O.norm('b') + ' * ' + O.norm('c') + ' + 1e-8)', 'assoc')}, {O.r6('sqrt(list_sum([(ab[i] - ba[i]) * (ab[i] - ba[i]) for i in range(1, 9)]))', 'comm')} from q""")
+def associators(spark, d):
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return triplets(spark, d).select("k_id", r6(A.associator_norm_column(a, b, c, 8), "assoc"), r6(E.norm(A.commutator_column(a, b, 8)), "comm"))
+
+
+@query(flat_sql(f"{O.KV}, a as (select k_id, vec[1:8] as a from k), w as (select k_id, a, {O.dot('a', 'a')} + 1e-8 as n from a)", "w", "[case when i = 1 then x else -x end / n for x, i in a]", "k_id"))
+def inverses(spark, d):
+    return flat(X.keys(spark, d).select("k_id", F.slice("vec", 1, 8).alias("a")), A.inverse_column(F.col("a")), "k_id")
+
+
+@query(f"with {O.V} select vec_id, {O.r6('vec[1]', 'real')}, {O.r6('list_sum(vec[2:8])', 'imag')}, {O.r6('vec[1]', 'embedded')} from v")
+def real_and_imaginary(spark, d):
+    t = X.vectors(spark, d).select("vec_id", F.slice("vec", 1, 8).alias("a"))
+    return t.select("vec_id", r6(A.real_part(F.col("a")), "real"), r6(E.total(A.imag_part(F.col("a"))), "imag"), r6(E.total(A.from_real(A.real_part(F.col("a")), 8)), "embedded"))
+
+
+@query(lambda: flat_sql(f"{O.V}, r as (select vec_id, [{', '.join(O.num(x) for x in _ROTOR)}] as r, [0e0, vec[1], vec[2], vec[3], 0e0, 0e0, 0e0, 0e0] as w from v), p as (select vec_id, r, {A.product_sql('r', 'w', 8, 'clifford')} as p, [case when i > 4 then -x else x end for x, i in r] as rr from r)", "p", A.product_sql("p", "rr", 8, "clifford")))
+def rotor_sandwich(spark, d):
+    w = F.concat(F.array(F.lit(0.0)), F.slice("vec", 1, 3), F.array_repeat(F.lit(0.0), 4))
+    t = X.vectors(spark, d).select("vec_id", w.alias("w"), E.literal(_ROTOR).alias("r"))
+    return flat(t, A.sandwich_column(F.col("r"), F.col("w")))
+
+
+_ROTOR = A.rotor(np.random.default_rng(5)).tolist()
+
+
+@query("select 1 as pair, true as zero union all select 2, false")
+def zero_divisor_pairs(spark, d):
+    e = np.eye(16)
+    rows = [(1, (e[1] + e[10]).tolist(), (e[4] - e[15]).tolist()), (1, (e[1] + e[10]).tolist(), (e[5] + e[14]).tolist()), (2, e[1].tolist(), e[2].tolist())]
+    t = spark.createDataFrame(rows, "pair int, a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    return t.groupBy("pair").agg(F.max((E.norm(A.product(a, b, 16)) < 1e-6) & (E.norm(a) > 1e-6) & (E.norm(b) > 1e-6)).alias("zero"))
+
+
+@query(lambda: f"""with {O.V}, q as (select vec_id, vec as o, {_deq_sql(2)} as y from v), n as (select *, {O.norm('o')} as na, {O.norm('y')} as nb, {O.dot('o', 'y')} as ab from q)
+select vec_id, {O.r6('1 - ab / (na * nb + 1e-15)', 'total')}, {O.r6('power((na - nb) / (na + 1e-15), 2)', 'magnitude')}, {O.r6('1 - greatest(-1e0, least(1e0, ab / ((na + 1e-15) * (nb + 1e-15))))', 'phase')} from n""")
+def distortion_parts(spark, d):
+    t = X.vectors(spark, d).withColumn("y", Q.Scalar(D, 2).round_trip(vec()))
+    return t.select("vec_id", Y.decomposition(vec(), F.col("y")).alias("p")).select("vec_id", *[r6(F.col(f"p.{c}"), c) for c in ("total", "magnitude", "phase")])
+
+
+@query()
+def triplet_fidelity(spark, d):
+    t = X.keys(spark, d).select("b", "h", "s", F.slice("vec", 1, 8).alias("a"), F.slice(Q.Scalar(D, 3).round_trip(vec()), 1, 8).alias("q"))
+    return Y.fidelity_summary(t, 8)
+
+
+@query(lambda: f"""with {_AB}, p as (select *, {_assoc_sql(('a', 'b', 'c'), '')} from a), q as (select *, case when c is not null then sqrt(list_sum([(l[i] - r[i]) * (l[i] - r[i]) for i in range(1, 9)])) / ({O.norm('a')} * {O.norm('b')} * {O.norm('c')} + 1e-8) end as x
+  from (select *, {A.product_sql('ab', 'c', 8)} as l, {A.product_sql('a', 'bc', 8)} as r from p)), w as (select h, s, count(*) over (partition by h) as n, row_number() over (partition by h order by s) as i, coalesce(sum(x) over (partition by h order by s rows between 2 preceding and current row), 0) as t from q)
+select h, s::int as s, {O.r6('t / least(least(i, n - i + 1), 3)', 'value')} from w""")
+def token_associators(spark, d):
+    t = X.keys(spark, d).select("b", "h", "s", F.slice("vec", 1, 8).alias("vec"))
+    return Y.residual_associators(t, 8).select("h", "s", r6(F.col("value"), "value"))
+
+
+@query()
+def zero_divisor_quartiles(spark, d):
+    t = X.vectors(spark, d).withColumn("y", Q.Scalar(D, 2).round_trip(vec())).withColumn("e", E.minus(vec(), F.col("y")))
+    t = Y.zero_divisor_affinity(t.select("vec_id", F.col("e").alias("vec")).withColumn("err", E.dot(vec(), vec())))
+    return Y.quartile_means(t, "affinity", "err", "vec_id").select("quartile", r6(F.col("mean"), "mean"))
+
+
+# Set operations, catalogues, evaluations
+
+
+@query(_prefix_sql().replace(" union all ".join(f"select '{level}' as level, id as code from l{n}" for n, level in enumerate(C.LEVELS)), " union all ".join(f"select '{b}' as level, (select count(*) from (select id from l{n} except all select id from l{n + 1}))::bigint as outside, (select count(*) from (select id from l{n + 1} except all select id from l{n}))::bigint as missing" for n, b in enumerate(C.LEVELS[:-1]))))
+def nested_levels(spark, d):
+    out = None
+    for big, small in zip(C.LEVELS, C.LEVELS[1:], strict=False):
+        a, b = (C.prefix_codebook_table(spark, x).select("code") for x in (big, small))
+        t = a.exceptAll(b).agg(F.count("*").alias("outside")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("missing"))).select(F.lit(big).alias("level"), "outside", "missing")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query(lambda: "select * from (values " + ", ".join(f"({d}, {d * d}, {catalog.REDUCED_MULTIPLICATIONS.get(d, 0)})" for d in (2, 4, 8, 16, 32, 64)) + ") t(dim, standard, reduced)")
+def multiplication_counts(spark, d):
+    return catalog.multiplications(spark).select("dim", "standard", F.coalesce("reduced", F.lit(0)).alias("reduced"))
+
+
+@query("select * from (values (1, 2), (2, 6), (4, 24), (8, 240), (16, 4320)) t(dim, roots)")
+def lattice_catalogue(spark, d):
+    return catalog.barnes_wall(spark).select("dim", "roots")
+
+
+@query()
+def method_catalogue(spark, d):
+    return catalog.methods(spark, D)
+
+
+@query()
+def evaluate_rotations(spark, d):
+    return evaluation.rotation_benchmark(X.vectors(spark, d), ("haar", "wht", "cd8", "hybrid"), (2, 3))
+
+
+@query()
+def evaluate_quantizers(spark, d):
+    return evaluation.quantizer_benchmark(X.vectors(spark, d), ("scalar", "e8", "z8_256"))
+
+
+@query()
+def evaluate_attention(spark, d):
+    k, q = key_queries(spark, d)
+    return evaluation.attention_fidelity(k, q, (3,))
+
+
+@query()
+def evaluate_ablation(spark, d):
+    k, q = key_queries(spark, d)
+    return evaluation.ablation(X.with_outliers(k, OUTLIERS), q)
+
+
+@query()
+def evaluate_variants(spark, d):
+    return evaluation.compare(X.vectors(spark, d), (3,))
+
 
-from pyspark.sql import DataFrame, SparkSession
+@query()
+def evaluate_cache(spark, d):
+    k = X.keys(spark, d)
+    return evaluation.compress_cache({0: (k, k), 1: (k, k)})
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: f() for k, f in _SQL.items()}

@@ -1 +1 @@
-
+"""Streams of vectors into a compressed cache."""
