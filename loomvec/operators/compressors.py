@@ -123,7 +123,7 @@ class KeyCompressor:
         self.mse.fit(t, "_x")
         t = t.withColumn("idx", self.mse.quant.quantize(self.mse.rot.column(F.col("_x")))) if hasattr(self.mse.quant, "quantize") else t.withColumn("points", self.mse.quant.round_trip(self.mse.rot.column(F.col("_x"))))
         t = self._rebuild(t)
-        t = t.withColumn("k_mse", F.transform("k_mse", E.clamp)).withColumn("_r", E.minus(F.col(column), F.col("k_mse")))
+        t = t.withColumn("k_mse", F.transform("k_mse", lambda x: E.clamp(x))).withColumn("_r", E.minus(F.col(column), F.col("k_mse")))
         t = t.withColumn("residual_norm", E.clamp(E.norm(F.col("_r"))))
         return t.withColumn("sign_words", E.pack_signs(sketch_signs(F.col("_r"), self.sketch), self.d)).drop("_r", "_x")
 
