@@ -7,6 +7,8 @@ Every query runs over its whole table. Floats are rounded to six places on both
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -769,6 +771,45 @@ def evaluate_cache(spark, d):
     return evaluation.compress_cache({0: (k, k), 1: (k, k)})
 
 
+@query(lambda: f"with {O.V}, q as (select vec as q from v order by vec_id limit 1), n as (select vec_id, vec, {O.norm('vec')} as n from v), z as (select vec_id, n, {_deq_sql(3, '[x / n for x in vec]')} as z from n) select vec_id, {O.r6('n * ' + O.dot('q.q', 'z.z'), 'dot')} from z, q")
+def dequantized_dots(spark, d):
+    """Scores straight from indices and norms: norm times the sum of query elements and centroids."""
+    t = X.vectors(spark, d)
+    first = E.literal(t.orderBy("vec_id").first()["vec"])
+    q = Q.Scalar(D, 3)
+    t = t.select("vec_id", E.norm(vec()).alias("n"), q.quantize(E.divide(vec(), E.norm(vec()))).alias("idx"))
+    return t.select("vec_id", r6(F.col("n") * E.dot(first, q.dequantize(F.col("idx"))), "dot"))
+
+
+@query()
+def hybrid_keys(spark, d):
+    c = P.KeyCompressor(D, 3, "hybrid", full_nsn=True)
+    t = c.compress(X.keys(spark, d))
+    return Y.mse(t, "vec", "k_mse", "h").select("h", r6(F.col("mse"), "mse"))
+
+
+@query()
+def structure_factors(spark, d):
+    t = X.vectors(spark, d)
+    return spark.createDataFrame([(b, B.structure_factor(t, b)) for b in (8, 16)], "block int, factor double")
+
+
+@query()
+def streamed_cache(spark, d):
+    """Vectors streamed into a compressed cache, then scored against the first of them."""
+    from ..streaming.cache import Cache
+
+    t = spark.read.parquet(f"{d}/embeddings.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomvec-")
+    path = f"{shared.rstrip('/')}/cache-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(t.schema).parquet(f"{d}/embeddings.parquet*")
+    x = E.doubles(F.col("embedding"))
+    c = Cache(spark, path, D)
+    c.stream(source.select(F.col("vec_id").alias("pos"), x.alias("k"), x.alias("v")), f"{path}/check").awaitTermination()
+    first = X.vectors(spark, d).orderBy("vec_id").first()["vec"]
+    return c.scores(list(first)).select("pos", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
