@@ -429,20 +429,22 @@ def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1).field("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def covered(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """t (row, payload<doc_id, text>) -> (row, start, end) of covered ranges that may overlap, and the table behind it."""
-    met = cut(t.mapInArrow(find_anchors, _STEP).repartition("gram").sortWithinPartitions("gram", "digest").mapInArrow(meet, _FOUND))
+def covered(table: DataFrame, t: DataFrame) -> DataFrame:
+    """(row, payload<doc_id, text>), as it lies and dealt out by row -> (row, start, end) of covered ranges that may overlap."""
+    met = cut(table.mapInArrow(find_anchors, _STEP).repartition("gram").sortWithinPartitions("gram", "digest").mapInArrow(meet, _FOUND))
     wanted = met.where("ask is not null").groupBy("row").agg(F.collect_list(F.struct("start", "front", "back", "ask")).alias("wanted"))
     fetched = t.join(wanted, "row").mapInArrow(fetch, _BYTES)
     sorted_ = fetched.repartition("gram").mapInArrow(sort_shard, _RANGE)
-    return met.where("ask is null").select("row", "start", "end").unionByName(sorted_), met
+    return met.where("ask is null").select("row", "start", "end").unionByName(sorted_)
 
 
-def with_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def with_rows(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(row, payload) as a table, and the same dealt out by row for the joins."""
     t = narrow(docs, row=F.monotonically_increasing_id(), doc_id=F.col(doc_id).cast("long"), text=F.coalesce(F.col(text), F.lit("")).cast("binary"))
     t = cut(t)  # row numbers are fixed from here on
-    # One struct, so that every use of the table is dealt out by the same exchange.
-    return t.select("row", F.struct("doc_id", "text").alias("payload")).repartition("row")
+    # One struct, and the filter that an inner join would add, so that both joins read one and the same exchange.
+    t = t.where("row is not null").select("row", F.struct("doc_id", "text").alias("payload"))
+    return t, t.repartition("row")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -452,8 +454,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     each other and removed whole if long enough. An empty table gives an empty table; other columns
     of docs are ignored.
     """
-    t = with_rows(docs, doc_id, text)
-    ranges, _ = covered(t)
+    table, t = with_rows(docs, doc_id, text)
+    ranges = covered(table, t)
     by_row = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return t.join(by_row, "row", "left").select("row", "payload", "ranges").mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -477,8 +479,8 @@ def kept_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(1).field("doc_id"), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
 
-    t = with_rows(docs, doc_id, text)
-    ranges, _ = covered(t)
+    table, t = with_rows(docs, doc_id, text)
+    ranges = covered(table, t)
     by_row = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return t.join(by_row, "row", "left").select("row", "payload", "ranges").mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>, kept binary")
 
