@@ -14,7 +14,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,17 +24,18 @@ from .common import cut, narrow, read_table
 K = 10
 SCALE = 1024
 EVERY = 100
-#: Rows to a shard, queries to a group, vectors to a leaf.
-SHARD, GROUP, LEAF = 8192, 256, 48
+#: Rows to a shard, queries to a group, vectors to a leaf of data and of queries.
+SHARD, GROUP, LEAF, QUERY_LEAF = 8192, 256, 256, 32
 #: How much a covering radius shrinks from a level to the next.
 SHRINK = 0.7
 
 
 class CoverTree:
     """Nodes with a centre among the points, the radius that covers all points below, and children whose centres lie
-    farther apart than SHRINK times the node's radius. Nodes of up to LEAF points aren't cut further."""
+    farther apart than SHRINK times the node's radius. Nodes of up to `leaf` points aren't cut further, and no node is
+    cut into so many that leaves of a few points come out: blocks of a leaf's size are what scoring is fast on."""
 
-    def __init__(self, points: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
         self.points = points
         self.centre: list[int] = []
         self.radius: list[float] = []
@@ -52,12 +52,13 @@ class CoverTree:
             self.members.append(None)
             if parent >= 0:
                 self.children[parent].append(node)
-            if len(ids) <= LEAF or self.radius[node] == 0.0:
+            if len(ids) <= leaf or self.radius[node] == 0.0:
                 self.members[node] = ids
                 continue
             # Centres of the next level: greedily the farthest point, until all are within the smaller radius.
             reach, near, owner, centres = SHRINK * self.radius[node], d, np.zeros(len(ids), np.int64), [centre]
-            while near.max() > reach and len(centres) < 64:
+            most = min(64, max(2, 2 * len(ids) // leaf))
+            while near.max() > reach and len(centres) < most:
                 far = int(near.argmax())
                 centres.append(int(ids[far]))
                 x = np.sqrt(((points[ids] - points[ids[far]]) ** 2).sum(axis=1))
@@ -77,7 +78,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
     if not len(queries) or not len(data):
         return []
     q, x = queries.astype(np.float64), data.astype(np.float64)
-    tree_q, tree_x = CoverTree(q), CoverTree(x)
+    tree_q, tree_x = CoverTree(q, QUERY_LEAF), CoverTree(x)
     norm_q, norm_x = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     best_score = np.full((len(q), k), -np.inf)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max)
@@ -102,10 +103,14 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             ids = tree_x.members[b]
             score = q[group] @ x[ids].T
             score[query_ids[group][:, None] == data_ids[ids][None, :]] = -np.inf
+            better = (score >= best_score[group, -1:]) & np.isfinite(score)
+            rows = np.flatnonzero(better.any(axis=1))
             # Exact: components are integers below 2**20 or so, sums far below 2**53.
-            both, names = np.hstack([best_score[group], score]), np.hstack([best_id[group], np.broadcast_to(data_ids[ids], score.shape)])
-            order = np.lexsort((names, -both), axis=1)[:, :k]
-            best_score[group], best_id[group] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+            for r in rows:
+                at = np.flatnonzero(better[r])
+                both, names = np.concatenate([best_score[group[r]], score[r, at]]), np.concatenate([best_id[group[r]], data_ids[ids[at]]])
+                order = np.lexsort((names, -both))[:k]
+                best_score[group[r]], best_id[group[r]] = both[order], names[order]
             continue
         pairs = [(a, c) for c in tree_x.children[b]] if leaf_q or not leaf_x and tree_x.radius[b] >= tree_q.radius[a] else [(c, b) for c in tree_q.children[a]]
         for p in pairs:
@@ -142,7 +147,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     kept = data.groupBy("width", "shard").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     pairs = sides.join(kept, ["width", "shard"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, mats = [], []
