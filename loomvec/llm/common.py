@@ -46,7 +46,10 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input. A small one that would be read in fewer tasks than there are cores is dealt out to all of them."""
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return t.repartition(cores) if name == "documents" and t._jdf.queryExecution().toRdd().getNumPartitions() < cores else t
 
 
 def narrow(df: DataFrame, **columns: str | Column) -> DataFrame:
