@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import mixing, packing, secrets, simhash, toxicity
+from loomvec.llm import mixing, packing, secrets, similar, toxicity
 from loomvec.llm.common import cut, read_table
 
 
@@ -20,8 +20,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of five-word Jaccard similarity 0.8 or more stays, the one with the least id."""
+    return similar.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
