@@ -1,7 +1,8 @@
 """Secret scans with multipart credential linking.
 
 Base spans are matches of three patterns. The method adds weak candidates, which alone say little:
-user or key identifiers, short or unlabelled secret-like strings, and endpoints. An interval join
+user or key identifiers, short or unlabelled secret-like strings (padded or not), secrets under a longer
+label, and endpoints. An interval join
 within a scope (a window of code points of one document) reports a weak candidate only where a part
 of another role stands close by: an identifier beside a secret, an endpoint beside either.
 
@@ -29,6 +30,16 @@ WEAK = (
     ("endpoint", "endpoint", r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:@-]{3,200}"),
 )
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
+#: The weak candidates of scan() and redact(): those of WEAK, and those that WEAK, which the
+#: SQL is made of, doesn't know: secrets without padding, and labels in which a secret's name is followed by more.
+WHOLE = (
+    WEAK[0],
+    ("opaque", "secret", r"[A-Za-z0-9+/_-]{20,}={0,2}"),
+    WEAK[2],
+    ("labelled", "secret", r"""(?i:secret|private|access|auth|session|signing|encryption)[A-Za-z0-9_-]*(?i:key|token)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
+)
+#: An opaque string is secret-like if it is padded base64 or mixes capitals, small letters and digits.
+SECRET_LIKE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}+=|^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
 #: Code points between the nearer ends of two parts that belong together.
 SCOPE = 256
 
@@ -60,8 +71,8 @@ def guarded(text: Column, hint: Column, pattern: str, kind: str, keep=None) -> C
     return F.when(hint, spans_of(text, pattern, kind, keep)).otherwise(none())
 
 
-def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with an array column `parts` of all base spans and weak candidates of each text."""
+def find_parts(docs: DataFrame, text: str = "text", weak: tuple = WHOLE) -> DataFrame:
+    """docs with an array column `parts` of all base spans and weak candidates (those of `weak`) of each text."""
     t = F.col(text)
     value = lambda m: F.length(F.regexp_replace(m, ASSIGN_VALUE, "")) >= LEAST_ASSIGN
     base = [
@@ -69,20 +80,22 @@ def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
         guarded(t, F.contains(t, F.lit("AKIA")), ACCESS, "access", lambda m: F.length(m) >= LEAST_ACCESS),
         guarded(t, F.regexp_like(t, F.lit(HEX)), HEX, "hex"),
     ]
-    low = [guarded(t, F.regexp_like(t, F.lit(p)), p, k) for k, _, p in WEAK]
+    like = lambda m: F.regexp_like(m, F.lit(SECRET_LIKE))
+    low = [guarded(t, F.regexp_like(t, F.lit(p)), p, k, like if weak is WHOLE and k == "opaque" else None) for k, _, p in weak]
     return docs.withColumn("parts", F.concat(*base, *low))
 
 
 def role(kind: Column) -> Column:
     out = F.when(kind == "access", "id").when(kind.isin("assign", "hex"), "secret")
-    for k, r, _ in WEAK:
+    for k, r, _ in WHOLE:
         out = out.when(kind == k, r)
     return out
 
 
 def place(kind: Column) -> Column:
-    """The place of a kind in KINDS."""
-    return F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind).cast("int")
+    """The place of a kind in KINDS, those of WHOLE only after them."""
+    kinds = dict.fromkeys([*KINDS, *[k for k, _, _ in WHOLE]])
+    return F.array_position(F.array(*[F.lit(k) for k in kinds]), kind).cast("int")
 
 
 def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -93,18 +106,18 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     as many parts as fit in it, so neither a long document nor a hot source makes a large group, and
     the semi join makes no pairs.
     """
-    some = rows.where(F.exists("parts", lambda p: p["kind"].isin([k for k, _, _ in WEAK])) & (F.size("parts") > 1))
+    some = rows.where(F.exists("parts", lambda p: p["kind"].isin([k for k, _, _ in WHOLE])) & (F.size("parts") > 1))
     p = some.select("row", F.explode("parts").alias("p")).select("row", "p.kind", "p.start", "p.end")
     p = p.withColumn("role", role(F.col("kind")))
     cell = lambda c: F.floor(c / scope).cast("int")
     there = p.select("row", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("cell"))
-    here = p.where(F.col("kind").isin([k for k, _, _ in WEAK]))
+    here = p.where(F.col("kind").isin([k for k, _, _ in WHOLE]))
     here = here.withColumn("cell", F.explode(F.sequence(cell(F.col("start") - scope), cell(F.col("end") + scope))))
     near = (F.col("role") != F.col("r2")) & (F.col("start") - F.col("e2") <= scope) & (F.col("s2") - F.col("end") <= scope)
     return here.join(there.withColumnRenamed("row", "row2"), (F.col("row") == F.col("row2")) & (here["cell"] == there["cell"]) & near, "left_semi").select("row", "kind", "start", "end").distinct()
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE, row: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE, row: str | None = None, weak: tuple = WHOLE) -> DataFrame:
     """One row per row of docs: doc_id, row, base and found, the base and all reported spans.
 
     Both are array<struct<start, place, kind, end>>, sorted by start and then by kind as in KINDS;
@@ -114,11 +127,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
     gives an empty table, and other columns of docs are ignored.
     """
     t = narrow(docs, doc_id=doc_id, text=F.coalesce(F.col(text), F.lit("")), row=F.col(row) if row else F.monotonically_increasing_id())
-    t = cut(find_parts(t).drop("text"))  # every text is read once; from here on there are only spans
-    weak = linked(t, scope).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("weak"))
-    t = t.join(weak, "row", "left")
+    t = cut(find_parts(t, weak=weak).drop("text"))  # every text is read once; from here on there are only spans
+    near = linked(t, scope).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("weak"))
+    t = t.join(near, "row", "left")
     as_found = lambda x: F.struct(x["start"].alias("start"), place(x["kind"]).alias("place"), x["kind"].alias("kind"), x["end"].alias("end"))
-    base = F.filter("parts", lambda p: ~p["kind"].isin([k for k, _, _ in WEAK]))
+    base = F.filter("parts", lambda p: ~p["kind"].isin([k for k, _, _ in WHOLE]))
     t = t.withColumn("base", F.array_sort(F.transform(base, as_found)))
     t = t.withColumn("found", F.array_sort(F.concat("base", F.transform(F.coalesce("weak", none()), as_found))))
     return t.select("doc_id", "row", "base", "found")
