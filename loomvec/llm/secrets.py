@@ -30,12 +30,12 @@ WEAK = (
     ("endpoint", "endpoint", r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:@-]{3,200}"),
 )
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
-#: The weak candidates of scan() and redact(): those of WEAK, and those that WEAK, which the
-#: SQL is made of, doesn't know: secrets without padding, and labels in which a secret's name is followed by more.
+#: The weak candidates of scan() and redact(): those of WEAK, which the SQL is made of, without
+#: its bounds of length, secrets without padding, and labels in which a secret's name is followed by more.
 WHOLE = (
-    WEAK[0],
+    ("ident", "id", WEAK[0][2].replace("{3,64}", "{3,}")),
     ("opaque", "secret", r"[A-Za-z0-9+/_-]{20,}={0,2}"),
-    WEAK[2],
+    ("endpoint", "endpoint", WEAK[2][2].replace("{3,200}", "{3,}")),
     ("labelled", "secret", r"""(?i:secret|private|access|auth|session|signing|encryption)[A-Za-z0-9_-]*(?i:key|token)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
 )
 #: An opaque string is secret-like if it is padded base64 or mixes capitals, small letters and digits.

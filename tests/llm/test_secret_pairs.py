@@ -28,3 +28,14 @@ def test_key_beside_its_identifier_is_found(spark):
     assert not spans[3] and not spans[4] and spans[5] == {("access", AKIA)}
     clean = {r["doc_id"]: r["text"] for r in S.redact(t).collect()}
     assert clean[0] == "aws_access_key_id = [SECRET]\naws_[SECRET]\nend" and clean[1] == "[SECRET] [SECRET]" and clean[3] == PAIRS[3]
+
+
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [(f"user=alice {'Ab0/' * 86}== end", "Ab0/" * 86 + "=="), ("password=hunter222 db://" + "h" * 495 + " end", "db://" + "h" * 495), ("password=hunter222 account=" + "z" * 300 + " end", "account=" + "z" * 300)],
+)
+def test_long_spans_are_whole(spark, text, secret):
+    start = text.index(secret)
+    t = frame(spark, [text])
+    assert (start, start + len(secret)) in {(x["start"], x["end"]) for x in S.scan(t).first()["found"]}
+    assert S.redact(t).first()["text"] == "[SECRET] [SECRET] end"
