@@ -145,24 +145,61 @@ def test_exact_search_against_brute_force(spark):
     assert K.top_k(t.limit(0)).count() == 0
 
 
-def test_many_shards_and_groups(spark, monkeypatch):
+def test_many_shards_and_groups(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(400)]
-    monkeypatch.setattr(K, "SHARD", 64)
-    monkeypatch.setattr(K, "GROUP", 3)
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(tuple(r) for r in K.top_k(t, every=20).collect()) == brute(rows, every=20)
+    assert sorted(tuple(r) for r in K.top_k(t, every=20, shard=64, group=3).collect()) == brute(rows, every=20)
+
+
+def clusters(n=4000, d=16, k=20, noise=0.02):
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal((k, d))
+    return (c / np.sqrt((c * c).sum(1, keepdims=True)))[rng.integers(0, k, n)] + noise * rng.standard_normal((n, d))
+
+
+def test_bounds_leave_most_pairs_of_clustered_vectors_out(spark):
+    """Of all pairs of a query and a vector, a dual-tree search scores few where there are clusters, over several shards too."""
+    v = clusters()
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = K.search_table(t, every=20, shard=500, group=40)
+    assert found.agg({"scored": "sum"}).first()[0] < 0.25 * 200 * 4000
+    assert sorted(tuple(r) for r in K.top_k(t, every=20, shard=500, group=40).collect()) == brute(rows, every=20)
+
+
+@pytest.mark.parametrize("factor", [1e6, 1e15])
+def test_scores_are_exact_whatever_their_size(spark, factor):
+    """Beyond 2**53 in whole numbers of 64 bits, beyond 2**63 in Python's; what a long can't hold is its nearest long."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((300, 8))
+    v *= factor / np.sqrt((v * v).sum(1, keepdims=True))
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(x * 1024)) for x in r] for r in v]
+    want = []
+    for q in range(0, 300, 100):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(300) if i != q)[:10]
+        want += [(q, n + 1, i, min(2**63 - 1, -x)) for n, (x, i) in enumerate(s)]
+    got = sorted(tuple(r) for r in K.top_k(t).collect())
+    assert [x[3] for x in got] == [x[3] for x in want]
+    if factor < 1e9:
+        assert got == want
 
 
 @pytest.mark.parametrize("n", [1, 5, 300])
-def test_cover_tree_covers(n):
-    x = np.random.default_rng(n).standard_normal((n, 5))
-    tree = K.CoverTree(x)
+def test_cover_tree_covers_and_keeps_centres_apart(n):
+    x = clusters(n, 5, 6, 0.05)
+    tree = K.CoverTree.over(x, leaf=4)
 
     def below(node):
-        return tree.members[node].tolist() if tree.members[node] is not None else [i for c in tree.children[node] for i in below(c)]
+        a, b = tree.kids_lo[node], tree.kids_hi[node]
+        return [i for c in range(a, b) for i in below(c)] if b > a else tree.order[tree.lo[node] : tree.hi[node]].tolist()
 
     assert sorted(below(0)) == list(range(n))
     for node in range(len(tree.centre)):
         d = np.sqrt(((x[below(node)] - x[tree.centre[node]]) ** 2).sum(1))
         assert d.max() <= tree.radius[node] + 1e-9
+        kids = tree.centre[tree.kids_lo[node] : tree.kids_hi[node]]
+        gaps = [np.sqrt(((x[a] - x[b]) ** 2).sum()) for i, a in enumerate(kids) for b in kids[:i]]
+        assert min(gaps, default=np.inf) > K.SHRINK * tree.radius[node] - 1e-9
+    assert n < 300 or len(tree.centre) > 6
