@@ -1,15 +1,21 @@
 """Toxicity by a weighted finite-state grammar.
 
-Five small transducers read the words of a clause: insults and threats give weight, targets
-strengthen them, negation and reported speech weaken them. The grammar is their composition, run
-over the clauses that hold an insult or a threat; a document's score adds up its clauses, so that a
-word alone counts less than a clause that turns it on somebody, and less still where it is denied or
-quoted. Besides its own words, the insult transducer has arcs that are learned from labelled rows:
-words and word beginnings that tell toxic rows from clean ones, with weights by how often they
-stand in a text.
-
-Learning reads a bounded sample of labelled rows (MOST_TOXIC and MOST_CLEAN, by a hash of the id);
-scoring reads every text. Rows with crc32(doc_id) mod 4 = 2 are held out: their labels aren't read.
+Five weighted transducers read a clause as a tape of word classes: insults and threats turn words into
+heads, negation and reported speech mark the heads in their reach and weaken them, targets tell aimed
+clauses from others. compose() makes one machine of the five, weights multiplied along a path; the
+best path of a clause gives each head its marks and its factor. A threat is a head only with a target
+behind it. A document's score adds up the heads that its clauses matched, each with the factor of its
+clause, so a word alone counts less than a clause that turns it on somebody, and hardly at all where
+it is denied or quoted.
+
+Besides its own words, the insult transducer has arcs that are learned from labelled rows: words and
+word beginnings that tell toxic rows from clean ones. Their weights are learned from the clauses that
+the composed machine matches in those rows, by how many matches a text has. Words that no label
+supports need an aimed clause or several clauses, and count less the longer the text around them is.
+
+Learning reads a bounded sample of labelled rows (MOST_TOXIC and MOST_CLEAN, by a hash of the id, one
+row an id); scoring reads every text. Rows with crc32(doc_id) mod 4 = 2 are held out: their labels
+aren't read.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -43,8 +49,12 @@ THREATS = "kill hurt destroy smash murder beat stab shoot burn matar töten tuer
 TARGETS = "you your yours yourself u he she they them him her these those people everyone du dich dir ihr euch sie tu te toi vous ils elles tú ti vosotros ustedes ellos ellas".split()
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't didn't won't cannot can't nobody nicht kein keine nie pas jamais ne nunca ni tampoco".split()
 REPORTS = "said says say wrote writes called calls quoted quote reported claims claimed told according sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
-#: How far negation reaches, in words, and what each transducer multiplies a weight by.
-REACH, DENIED, QUOTED, AIMED, UNAIMED_THREAT = 3, 0.4, 0.5, 1.25, 0.0
+#: How far negation reaches, and within how many words a threat's target follows it.
+REACH, OBJECT = 3, 3
+#: Factors of a head that is denied, quoted, learned or of the grammar's own in a clause without a target; of a threat verb that isn't a threat.
+DENIED, QUOTED, UNAIMED, UNAIMED_OWN, NO_THREAT = 0.1, 0.15, 0.8, 0.3, 0.01
+#: From this factor on a head counts as a place. One clause with the grammar's own words in so many carries their whole weight.
+PLACE, DENSITY = 0.5, 60
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -61,24 +71,152 @@ class Model:
     prior: float
 
 
+@dataclass
+class Transducer:
+    """Arcs state -> symbol -> [(output, weight, next state)], and final states; a path's weight is the product of its arcs'."""
+
+    arcs: dict[int, dict[str, list[tuple[str, float, int]]]] = field(default_factory=dict)
+    final: set[int] = field(default_factory=lambda: {0})
+
+    def add(self, state: int, symbol: str, output: str, weight: float, after: int) -> None:
+        self.arcs.setdefault(state, {}).setdefault(symbol, []).append((output, weight, after))
+
+    def best(self, tape: list[str]) -> list[tuple[str, float]]:
+        """The outputs and weights along the best path that ends in a final state; nothing if there is none."""
+        here: dict[int, float] = {0: 1.0}
+        back: list[dict[int, tuple[int, str, float]]] = []
+        for symbol in tape:
+            there: dict[int, float] = {}
+            step: dict[int, tuple[int, str, float]] = {}
+            for state, w in here.items():
+                for output, x, after in self.arcs.get(state, {}).get(symbol, ()):
+                    if w * x > there.get(after, -1.0):
+                        there[after], step[after] = w * x, (state, output, x)
+            back.append(step)
+            here = there
+        ends = [s for s in here if s in self.final]
+        if not ends:
+            return []
+        state, out = max(ends, key=lambda s: (here[s], -s)), []
+        for step in reversed(back):
+            state, output, x = step[state]
+            out.append((output, x))
+        return out[::-1]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The transducer that reads what a reads and gives what b makes of a's output; states are those pairs that the start reaches."""
+    names, todo, out = {(0, 0): 0}, [(0, 0)], Transducer(final=set())
+    while todo:
+        p, q = todo.pop()
+        here = names[p, q]
+        if p in a.final and q in b.final:
+            out.final.add(here)
+        for symbol, arcs in a.arcs.get(p, {}).items():
+            for middle, w, p2 in arcs:
+                for output, x, q2 in b.arcs.get(q, {}).get(middle, ()):
+                    if (p2, q2) not in names:
+                        names[p2, q2] = len(names)
+                        todo.append((p2, q2))
+                    out.add(here, symbol, output, w * x, names[p2, q2])
+    return out
+
+
+#: The tape: other words, negations, reports, targets; learned insults, the grammar's own, threat verbs.
+PLAIN, LEARNED, OWN_WORD, THREAT = "onry", "a", "i", "t"
+#: Heads and their marks as the transducers give them: A and I for insults, T for threats, then d and q.
+_HEADS = [h + d + q for h in "AIT" for d in ("", "d") for q in ("", "q")]
+
+
+def insults() -> Transducer:
+    t = Transducer()
+    for s in PLAIN + THREAT:
+        t.add(0, s, s, 1.0, 0)
+    t.add(0, LEARNED, "A", 1.0, 0)
+    t.add(0, OWN_WORD, "I", 1.0, 0)
+    return t
+
+
+def threats() -> Transducer:
+    """A threat verb is a head if a target follows within OBJECT words; states 1 to OBJECT wait for it."""
+    t = Transducer()
+    for state in range(OBJECT + 1):
+        for s in [*PLAIN, "A", "I"]:
+            if state == 0 or s == "y":
+                t.add(state, s, s, 1.0, 0)
+            elif state > 1:
+                t.add(state, s, s, 1.0, state - 1)
+        if state != 1:  # in state 1 the target has to come now
+            t.add(state, THREAT, "T", 1.0, state - 1 if state else OBJECT)
+            t.add(state, THREAT, "o", NO_THREAT, max(0, state - 1))
+    return t
+
+
+def negation(factor: float = DENIED) -> Transducer:
+    """Heads up to REACH words behind a negation are denied; the state is how far the last one still reaches."""
+    t = Transducer(final=set(range(REACH + 1)))
+    for state in range(REACH + 1):
+        for s in "ory":
+            t.add(state, s, s, 1.0, max(0, state - 1))
+        t.add(state, "n", "n", 1.0, REACH)
+        for h in "AIT":
+            t.add(state, h, h + "d" if state else h, factor if state else 1.0, max(0, state - 1))
+    return t
+
+
+def reported(factor: float = QUOTED) -> Transducer:
+    """Heads behind a word of reporting are quoted, to the end of the clause."""
+    t = Transducer(final={0, 1})
+    for state in (0, 1):
+        for s in "ony":
+            t.add(state, s, s, 1.0, state)
+        t.add(state, "r", "r", 1.0, 1)
+        for h in _HEADS:
+            if not h.endswith("q"):
+                t.add(state, h, h + "q" if state else h, factor if state else 1.0, state)
+    return t
+
+
+def targets(learned: float = UNAIMED, own: float = UNAIMED_OWN) -> Transducer:
+    """Aimed clauses hold a target anywhere: state 1 waits for it, 2 has it, 3 goes without, at a lower weight of insults."""
+    t = Transducer(final={0, 2, 3})
+    for state in range(4):
+        for s in [*PLAIN, *_HEADS]:
+            if state in (0, 1, 2):
+                t.add(state, s, s, 1.0, 2 if state == 2 or s == "y" else 1)
+            if state in (0, 3):
+                t.add(state, s, s, {"A": learned, "I": own}.get(s[0], 1.0), 3)
+    return t
+
+
+def grammar(without: tuple[str, ...] = ()) -> Transducer:
+    """The composition of the five. `without` names transducers that pass everything through unweakened, to see what they do."""
+    parts = [insults(), threats(), negation(1.0 if "negation" in without else DENIED), reported(1.0 if "reported" in without else QUOTED), targets(*((1.0, 1.0) if "targets" in without else ()))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = compose(out, p)
+    return out
+
+
 class Grammar:
-    """The composed transducers. A pattern that ends with $ is a whole word, else a word's beginning."""
+    """The composed machine over a lexicon. A pattern that ends with $ is a whole word, else a word's beginning."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
+    def __init__(self, model: Model, without: tuple[str, ...] = ()) -> None:
+        self.model, self.machine = model, grammar(without)
         self.weights = {f"{w}$": OWN for w in INSULTS + THREATS} | model.arcs
-        self.threats, self.targets, self.negations, self.reports = map(frozenset, (THREATS, TARGETS, NEGATIONS, REPORTS))
-        self.machine = ahocorasick.Automaton()
+        self.classes = dict.fromkeys(TARGETS, "y") | dict.fromkeys(REPORTS, "r") | dict.fromkeys(NEGATIONS, "n")
+        self.threats = frozenset(f"{w}$" for w in THREATS)
+        self.lexicon = ahocorasick.Automaton()
         for p in self.weights:
             word = p.removesuffix("$")
-            known = self.machine.get(word, ())
-            self.machine.add_word(word, (*known, p))
-        self.machine.make_automaton()
+            known = self.lexicon.get(word, ())
+            self.lexicon.add_word(word, (*known, p))
+        self.lexicon.make_automaton()
 
     def hits(self, low: str) -> list[tuple[int, str]]:
         """(start, pattern) of the heads in a lower-cased text; of several at one word, the longest."""
         out: dict[int, str] = {}
-        for end, patterns in self.machine.iter(low):
+        for end, patterns in self.lexicon.iter(low):
             for p in patterns:
                 whole = p.endswith("$")
                 start = end + 1 - len(p) + whole
@@ -90,34 +228,23 @@ class Grammar:
                     out[start] = p
         return sorted(out.items())
 
-    def clause(self, words: list[str], heads: dict[int, str]) -> list[tuple[str, float]]:
-        """Runs the composition over one clause: the state is (words that negation still reaches, reported, aimed)."""
-        aimed = any(w in self.targets for w in words)
-        denied, quoted, out = 0, False, []
-        for i, w in enumerate(words):
-            if w in self.negations:
-                denied = REACH + 1
-            if w in self.reports:
-                quoted = True
-            p = heads.get(i)
-            if p is not None:
-                x = (DENIED if denied > 0 else 1.0) * (QUOTED if quoted else 1.0) * (AIMED if aimed else 1.0)
-                if w in self.threats:
-                    x *= 1.0 if aimed else UNAIMED_THREAT
-                out.append((p, x))
-            denied -= 1
-        return out
-
-    def strengths(self, text: str) -> dict[str, float]:
-        """pattern -> summed strength over the clauses of a text."""
+    def symbol(self, pattern: str) -> str:
+        return LEARNED if pattern in self.model.arcs else THREAT if pattern in self.threats else OWN_WORD
+
+    def clause(self, words: list[str], heads: dict[int, str]) -> list[tuple[str, str, float]]:
+        """(pattern, marked head, factor) of the heads of one clause along the machine's best path."""
+        tape = [self.symbol(heads[i]) if i in heads else self.classes.get(w, "o") for i, w in enumerate(words)]
+        return [(heads[i], mark, x) for i, (mark, x) in enumerate(self.machine.best(tape)) if i in heads and mark[0] in "AIT"]
+
+    def matches(self, text: str) -> tuple[list[tuple[str, str, float]], int]:
+        """The matched heads of all clauses of a text, and its number of clauses."""
         low = text.lower()
         hits = self.hits(low)
         if not hits:
-            return {}
-        out: dict[str, float] = {}
+            return [], 0
+        out: list[tuple[str, str, float]] = []
         ends = [m.start() for m in _CLAUSE.finditer(low)] + [len(low)]
-        edge, at = 0, 0
-        begin = 0
+        edge, at, begin = 0, 0, 0
         while at < len(hits):
             while ends[edge] <= hits[at][0]:
                 begin = ends[edge]
@@ -128,27 +255,30 @@ class Grammar:
                 at += 1
             spans = [(m.start() + begin, m.group()) for m in _WORD.finditer(low[begin : ends[edge]])]
             starts = {s: i for i, (s, _) in enumerate(spans)}
-            heads = {starts[s]: p for s, p in here if s in starts}
-            for p, x in self.clause([w for _, w in spans], heads):
-                out[p] = out.get(p, 0.0) + x
-        return out
+            out += self.clause([w for _, w in spans], {starts[s]: p for s, p in here if s in starts})
+        return out, len(ends)
+
+    def strengths(self, text: str) -> dict[str, tuple[int, float]]:
+        """pattern -> (places that count, factor). Plain heads add up to a factor of 1; denied and quoted ones count by the best of them."""
+        found, clauses = self.matches(text)
+        out: dict[str, list[float]] = {}
+        for p, mark, x in found:
+            r = out.setdefault(p, [0, 0.0, 0.0])
+            r[0] += x >= PLACE
+            if len(mark) == 1:
+                r[1] += x
+            else:
+                r[2] = max(r[2], x)
+        own = sum(r[1] for p, r in out.items() if p not in self.model.arcs)
+        thin = min(1.0, DENSITY * max(own, 1.0) / max(1, clauses))
+        return {p: (int(n), max(min(1.0, plain), weak) * (1.0 if p in self.model.arcs else thin)) for p, (n, plain, weak) in out.items()}
 
     def score(self, text: str | None) -> float:
         found = self.strengths(text or "")
-        logit = self.prior_of(found)
+        total = self.model.prior + sum(self.weights[p][min(2, max(0, n - 1))] * x for p, (n, x) in found.items())
+        logit = max(total, self.model.bias) if found else self.model.bias
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
-    def prior_of(self, found: dict[str, float]) -> float:
-        some = False
-        total = self.model.prior
-        for p, x in found.items():
-            if x <= 0:
-                continue
-            some = True
-            level = min(2, max(0, math.floor(x - 0.5)))
-            total += self.weights[p][level] * min(1.0, x)
-        return max(total, self.model.bias) if some else self.model.bias
-
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -184,9 +314,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     if not n1_all or not n0_all:
         return Model({}, min(prior, -4.0), min(prior, -2.0))
     order = F.xxhash64("doc_id")
-    # Two limits bound the sample, so it can be sent to every task.
+    # Two limits bound the sample, so it can be sent to every task. One row an id: repeated ids would outweigh the others.
     sample = known.where("y = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(known.where("y = 0").orderBy(order, "doc_id").limit(most_clean))
-    rows = cut(narrow(docs, id=F.col("doc_id"), text=F.coalesce(F.col("text"), F.lit(""))).join(F.broadcast(sample), F.col("id") == F.col("doc_id")).select("text", "y"))
+    rows = narrow(docs, id=F.col("doc_id"), text=F.coalesce(F.col("text"), F.lit(""))).join(F.broadcast(sample), F.col("id") == F.col("doc_id"))
+    rows = cut(rows.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
@@ -217,34 +348,43 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         for f in frames:
             out = []
             for t, y in zip(f["text"], f["y"], strict=True):
-                words = Counter(_WORD.findall(t.lower()))
-                got: Counter = Counter()
-                for w, k in words.items():
-                    for p in (w + "$", *(w[:j] for j in range(SHORTEST, min(len(w), LONGEST) + 1))):
-                        if p in place:
-                            got[place[p]] += k
-                out.append((y, list(got.keys()), [min(3, v) for v in got.values()]))
-            yield pd.DataFrame(out, columns=["y", "at", "n"])
+                out.append((y, [place[p] for p in features(t) if p in place]))
+            yield pd.DataFrame(out, columns=["y", "at"])
 
-    seen = rows.mapInPandas(match, "y int, at array<int>, n array<int>").toPandas() if found else pd.DataFrame({"y": [], "at": [], "n": []})
-    return fit(found, [int(y) for y in seen["y"]], list(zip(seen["at"], seen["n"], strict=True)), prior, (n1, n0))
+    seen = rows.mapInPandas(match, "y int, at array<int>").toPandas() if found else pd.DataFrame({"y": [], "at": []})
+    chosen, left = choose(found, [int(y) for y in seen["y"]], [np.asarray(a, np.int64) for a in seen["at"]])
+    bare = Model(dict.fromkeys(chosen, OWN), -4.0, prior)
+
+    def clauses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = Grammar(bare)
+        for f in frames:
+            out = []
+            for t, y in zip(f["text"], f["y"], strict=True):
+                n = {p: k for p, (k, _) in machine.strengths(t).items() if k}
+                out.append((y, list(n), [min(3, k) for k in n.values()]))
+            yield pd.DataFrame(out, columns=["y", "arcs", "n"])
+
+    # What the weights are learned from: how often the composed machine matches each arc, by label. One row for each of these.
+    pairs = rows.mapInPandas(clauses, "y int, arcs array<string>, n array<int>").select("y", F.explode(F.arrays_zip("arcs", "n")).alias("p"))
+    table = {(r["arcs"], r["n"], r["y"]): r["m"] for r in pairs.groupBy("p.arcs", "p.n", "y").agg(F.count("*").alias("m")).collect()} if chosen else {}
+    return weigh(chosen, table, left, prior, (n1, n0))
 
 
 def spread(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def fit(found: list[str], ys: list[int], matches: list, prior: float, n: tuple[int, int]) -> Model:
-    """Chooses arcs one by one: each time the pattern that best tells the rows apart that no arc matches yet."""
+def choose(found: list[str], ys: list[int], places: list[np.ndarray]) -> tuple[list[str], tuple[int, int]]:
+    """Chooses arcs one by one: each time the pattern that best tells the rows apart that no arc matches yet. Also the toxic and clean rows without any.
+
+    places: the numbers in found of the patterns that each row holds."""
     own = {f"{w}$" for w in INSULTS}
     y = np.array(ys, np.int8)
-    row = np.concatenate([np.full(len(a), i) for i, (a, _) in enumerate(matches)]).astype(np.int64) if matches else np.zeros(0, np.int64)
-    col = np.concatenate([np.asarray(a, np.int64) for a, _ in matches]) if matches else np.zeros(0, np.int64)
-    num = np.concatenate([np.asarray(k, np.int64) for _, k in matches]) if matches else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(places)), [len(a) for a in places]).astype(np.int64)
+    col = np.concatenate(places) if len(places) else np.zeros(0, np.int64)
     alive = np.ones(len(y), bool)
-    covered_by_own = row[np.isin(col, [i for i, f in enumerate(found) if f in own])]
     chosen = [i for i, f in enumerate(found) if f in own]
-    alive[covered_by_own] = False
+    alive[row[np.isin(col, chosen)]] = False
     for _ in range(ARCS):
         n1, n0 = int((alive & (y == 1)).sum()), int((alive & (y == 0)).sum())
         here = alive[row]
@@ -256,21 +396,25 @@ def fit(found: list[str], ys: list[int], matches: list, prior: float, n: tuple[i
         i = -best[2]
         chosen.append(i)
         alive[row[col == i]] = False
+    return [found[i] for i in chosen], (int((alive & (y == 1)).sum()), int((alive & (y == 0)).sum()))
+
+
+def weigh(chosen: list[str], table: dict[tuple[str, int, int], int], left: tuple[int, int], prior: float, n: tuple[int, int]) -> Model:
+    """Weights (log odds) of the arcs for one, two, three and more matched places; table: (arc, places, label) -> rows. left: rows without any arc."""
+    own = {f"{w}$" for w in INSULTS}
     n1, n0 = n
     arcs = {}
-    for i in chosen:
+    for p in chosen:
         weights, floor = [], 0.0
         for level in (1, 2, 3):
-            at = (col == i) & (num == level)
-            a, c = int((y[row[at]] == 1).sum()), int((y[row[at]] == 0).sum())
+            a, c = table.get((p, level, 1), 0), table.get((p, level, 0), 0)
             w = math.log(((a + 0.5) / (n1 + 1)) / ((c + 0.5) / (n0 + 1)))
             floor = max(floor, w) if a + c else floor
             weights.append(floor)
-        if found[i] in own:
+        if p in own:
             weights = [max(w, o) for w, o in zip(weights, OWN, strict=True)]
-        arcs[found[i]] = tuple(weights)
-    left1, left0 = int((alive & (y == 1)).sum()), int((alive & (y == 0)).sum())
-    bias = math.log((left1 + 0.5) / (left0 + 0.5)) if len(y) else prior
+        arcs[p] = tuple(weights)
+    bias = math.log((left[0] + 0.5) / (left[1] + 0.5)) if sum(n) else prior
     # The sample may hold more toxic rows than the table; the bias is carried over to the table's share.
     bias += prior - math.log((n1 + 0.5) / (n0 + 0.5))
     return Model(arcs, min(bias, -1.5), prior)
@@ -279,7 +423,8 @@ def fit(found: list[str], ys: list[int], matches: list, prior: float, n: tuple[i
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Null and empty texts get the score of a text without any arc.
 
-    Repeated rows are scored each, an empty table gives an empty table, other columns are ignored.
+    Repeated rows are scored each and alike, texts of any length are scored whole, a score of exactly
+    THRESHOLD is predicted 1, an empty table gives an empty table, other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +439,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs that the grammar doesn't reject, with their columns as they are."""
+    """The rows of docs that the grammar doesn't reject, with their columns as they are. Null and empty texts stay; repeated rows stay or go together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model)

@@ -165,14 +165,62 @@ def test_scanning_nothing(spark):
 # Toxicity
 
 
+LEXICON = X.Model({"zorb": (2.0, 3.0, 4.0), "blix$": (3.0, 3.0, 3.0)}, -4.0, -2.0)
+
+
+def test_composition_multiplies_weights_and_follows_outputs():
+    a, b = X.Transducer(), X.Transducer(final={1})
+    a.add(0, "x", "y", 0.5, 0)
+    a.add(0, "x", "z", 0.9, 0)
+    b.add(0, "y", "p", 0.4, 1)
+    b.add(1, "y", "q", 1.0, 1)
+    c = X.compose(a, b)
+    assert c.best(["x"]) == [("p", 0.2)] and c.best(["x", "x"]) == [("p", 0.2), ("q", 0.5)] and c.best([]) == [] and c.best(["w"]) == []
+
+
+def marks(text, without=()):
+    return [(p.strip("$"), m) for p, m, _ in X.Grammar(LEXICON, without).matches(text)[0]]
+
+
 def test_clauses_and_their_modifiers():
-    g = X.Grammar(X.Model({"zorb": (2.0, 3.0, 4.0), "blix$": (3.0, 3.0, 3.0)}, -4.0, -2.0))
-    s = g.strengths
+    g = X.Grammar(LEXICON)
+    s = lambda t: {p: x for p, (_, x) in g.strengths(t).items()}
     assert s("You are an idiot.")["idiot$"] > s("An idiot.")["idiot$"] > s("Never an idiot.")["idiot$"]
     assert s("He said you idiot")["idiot$"] < s("He left, you idiot")["idiot$"]
-    assert s("I will kill you")["kill$"] > 0 and s("kill the lights")["kill$"] == 0
-    assert s("zorbing away, zorbs")["zorb"] == 2 and "blix$" not in s("blixen oblix") and s("idiotic") == {}
+    assert g.strengths("zorbing away, zorbs")["zorb"][0] == 2 and "blix$" not in s("blixen oblix") and s("idiotic") == {}
     assert g.score("a zorbing") < g.score("a zorbing and a zorbed one") and g.score(None) == g.score("") < X.THRESHOLD <= g.score("you idiot")
+    assert marks("I will kill you") == [("kill", "T")] and marks("kill the lights") == [] and marks("I will not kill you") == [("kill", "Td")]
+    assert marks("she beat the eggs") == [] and marks("take out the trash") == [("trash", "I")] and marks("he said you are not an idiot, you clown") == [("idiot", "Idq"), ("clown", "Iq")]
+    assert marks("he said so. you clown") == [("clown", "I")] and marks("not that it matters much you clown") == [("clown", "I")]
+
+
+def test_composed_machine_against_the_rules_by_hand():
+    rng, machine = np.random.default_rng(1), X.grammar()
+    for _ in range(3000):
+        tape = list(rng.choice(list("ooonryait"), int(rng.integers(1, 12))))
+        aimed, want = "y" in tape, []
+        for i, s in enumerate(tape):
+            if s not in "ait" or s == "t" and "y" not in tape[i + 1 : i + 1 + X.OBJECT]:
+                continue
+            denied, quoted = "n" in tape[max(0, i - X.REACH) : i], "r" in tape[:i]
+            plain = {"a": X.UNAIMED, "i": X.UNAIMED_OWN, "t": 1.0}[s] if not aimed else 1.0
+            want.append((i, {"a": "A", "i": "I", "t": "T"}[s] + "d" * denied + "q" * quoted, plain * (X.DENIED if denied else 1) * (X.QUOTED if quoted else 1)))
+        got = [(i, mark, x) for i, (mark, x) in enumerate(machine.best(tape)) if mark[0] in "AIT"]
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want]), tape
+
+
+FAIR = ["you are not an idiot", "never a zorb", "he said you are an idiot", "she wrote that he is a zorb", "I will not kill you", "she beat the eggs", "take out the trash", "kill the lights", "they called him a moron", "take out the trash" + " and walk on. Then rest" * 200]
+FOUL = ["you are an idiot", "a zorb and a zorb and a zorb", "I will kill you", "you moron, you clown", "what trash. such scum. filth. vermin. what trash. trash", "kill them all"]
+
+
+def test_what_each_transducer_does_to_predictions():
+    """Denied, quoted, unaimed and single mild words stay below the threshold, aimed ones don't; without a transducer its texts would be rejected."""
+    g = X.Grammar(LEXICON)
+    assert all(g.score(t) < X.THRESHOLD for t in FAIR) and all(g.score(t) >= X.THRESHOLD for t in FOUL)
+    changed = {w: [t for t in FAIR if X.Grammar(LEXICON, (w,)).score(t) >= X.THRESHOLD] for w in ("negation", "reported", "targets")}
+    assert {"you are not an idiot", "I will not kill you"} <= set(changed["negation"])
+    assert {"he said you are an idiot", "they called him a moron"} <= set(changed["reported"])
+    assert "take out the trash" in changed["targets"] and FAIR[-1] not in changed["targets"]
 
 
 def labelled(spark):
