@@ -3,16 +3,17 @@
 Documents are tokenized and cut; full pieces are sequences of their own, the rest are items. Items
 are dealt to blocks of a few thousand by a hash. For each block several islands evolve packings: a
 crossover injects whole well-filled sequences of one parent into another, drops the sequences that
-hold a duplicate, and best-fits the documents that lost their place. After an epoch the best packing
-of each island moves to its neighbour, and a second epoch starts from it. An island whose packing
-meets the lower bound is done at once. What is left in poorly filled sequences of all blocks moves on
-to fewer blocks and is packed again, until one block is left; so the result has about one sequence
-more than the tokens need, however many blocks there were.
+hold a duplicate, and puts the documents that lost their place where they fill best: first by exchange
+for smaller ones, then by best fit. After an epoch the best packing of each island moves to its
+neighbour, and a second epoch starts from it. An island whose packing meets the lower bound is done:
+no packing has fewer sequences. What is left in sequences that aren't filled moves on to fewer blocks
+and is packed again, until one block is left.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,12 @@ from .tokens import encoder, paths
 
 SIZE = 2048
 #: Items to a block, islands to a block, packings to an island, generations to an epoch.
-BLOCK, ISLANDS, POPULATION, GENERATIONS = 4096, 3, 5, 12
-#: A sequence that is filled to this share stays; the others move on to the next level.
-WELL = 0.985
+BLOCK, ISLANDS, POPULATION, GENERATIONS = 4096, 3, 5, 16
+#: Bins of up to so many items are also searched for two items to exchange for one.
+PAIRS = 8
+#: A sequence that is filled to this share stays, by level; the others move on to the next one. Full ones only at first: what
+#: they would waste is better spent among the loose ends of all blocks. The last share is also what a crossover calls well filled.
+WELL = (1.0, 0.9995, 0.985)
 #: What ends a document.
 END = 0
 
@@ -98,6 +102,37 @@ class Packing:
                 by_room.setdefault(left, []).append(b)
                 mask |= 1 << left
 
+    def replaced(self, free: list[int], rounds: int = 2) -> list[int]:
+        """Fills bins by exchange: an item of a bin goes for a longer free one that still fits, or two items for one. Returns what is free then: the same tokens less, in smaller items."""
+        at = sorted((self.lengths[i], i) for i in free)
+        for _ in range(rounds):
+            moved = False
+            for b, items in enumerate(self.bins):
+                room = self.size - self.fill[b]
+                if not room or not at:
+                    continue
+                best = None  # (tokens gained, place in at, items that leave)
+                pairs = [(items[j], items[k]) for j in range(len(items)) for k in range(j)] if len(items) <= PAIRS else []
+                for out in [(i,) for i in items] + pairs:
+                    have = sum(self.lengths[i] for i in out)
+                    k = bisect_right(at, (have + room, 1 << 60)) - 1
+                    gain = at[k][0] - have if k >= 0 else 0
+                    if gain > 0 and (best is None or gain > best[0]):
+                        best = (gain, k, out)
+                        if gain == room:
+                            break
+                if best:
+                    gain, k, out = best
+                    _, i = at.pop(k)
+                    self.bins[b] = [x for x in items if x not in out] + [i]
+                    self.fill[b] += gain
+                    for x in out:
+                        insort(at, (self.lengths[x], x))
+                    moved = True
+            if not moved:
+                break
+        return [i for _, i in at]
+
     @property
     def cost(self) -> tuple[int, float]:
         """Fewer bins first, then fuller ones: room gathered in few bins is room that another item fits in."""
@@ -105,7 +140,7 @@ class Packing:
 
     def crossed(self, other: Packing, rng: np.random.Generator) -> Packing:
         """A child: some of the other's well-filled bins whole, then what of mine doesn't clash, then best fit."""
-        well = [b for b, f in enumerate(other.fill) if f >= WELL * self.size]
+        well = [b for b, f in enumerate(other.fill) if f >= WELL[-1] * self.size]
         chosen = [b for b in well if rng.random() < 0.5]
         taken = {i for b in chosen for i in other.bins[b]}
         bins, displaced = [list(other.bins[b]) for b in chosen], []
@@ -115,7 +150,7 @@ class Packing:
             else:
                 displaced += [i for i in b if i not in taken]
         child = Packing(self.lengths, self.size, bins)
-        child.best_fit(sorted(displaced, key=lambda i: (-self.lengths[i], i)))
+        child.best_fit(sorted(child.replaced(displaced), key=lambda i: (-self.lengths[i], i)))
         return child
 
     def shaken(self, rng: np.random.Generator) -> Packing:
@@ -124,7 +159,7 @@ class Packing:
         out = set(order[: max(2, len(order) // 50)]) | {int(b) for b in rng.integers(0, len(order), max(2, len(order) // 20))}
         loose = [i for b in out for i in self.bins[b]]
         child = Packing(self.lengths, self.size, [list(b) for k, b in enumerate(self.bins) if k not in out])
-        child.best_fit(sorted(loose, key=lambda i: (-self.lengths[i] * (1 + 0.1 * rng.random()), i)))
+        child.best_fit(sorted(child.replaced(loose), key=lambda i: (-self.lengths[i] * (1 + 0.1 * rng.random()), i)))
         return child
 
 
@@ -219,7 +254,8 @@ def pack_level(items: DataFrame, n_blocks: int, size: int, level: int) -> DataFr
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, block: int = BLOCK, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is its end id alone, one token. Repeated rows are packed each. An empty
+    A null or empty text is its end id alone, one token. Repeated rows and pieces of equal length are
+    packed each; among those, order is that of their row numbers. A null doc_id stays null. An empty
     table gives an empty table; other columns of docs are ignored. Texts of any length are cut, so
     that no item is longer than a sequence. Runs are repeatable for the same partitions of docs.
     """
@@ -232,13 +268,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         n_blocks = max(1, -(-count // block))
         packed = cut(pack_level(items, n_blocks, size, level))
         number = (F.lit(level << 55) + F.col("block") * (1 << 20) + F.col("bin")) * 2 + 1
-        stays = F.lit(True) if n_blocks == 1 else F.col("fill") >= F.lit(int(WELL * size))
+        stays = F.lit(True) if n_blocks == 1 else F.col("fill") >= F.lit(WELL[min(level, len(WELL) - 1)] * size)
         placed.append(packed.where(stays).select("row", "piece", number.alias("sequence_id"), F.col("place").alias("offset")))
         if n_blocks == 1:
             break
         items, level = packed.where(~stays).select("row", "piece", "length"), level + 1
         left = items.count()
-        if left >= count:  # nothing was filled well, and nothing will be: each block keeps what it has
+        if left >= count and level >= len(WELL):  # nothing was filled well, and nothing will be: each block keeps what it has
             placed.append(items.join(packed, ["row", "piece", "length"]).select("row", "piece", number.alias("sequence_id"), F.col("place").alias("offset")))
             break
         count = left

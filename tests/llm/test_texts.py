@@ -59,6 +59,46 @@ def test_evolution_keeps_items_and_sizes(seed):
     assert sorted(i for b in child.bins for i in b) == list(range(300)) and max(child.fill) <= 2048
 
 
+def best_fit_decreasing(lengths):
+    """Plain, by hand: each item into the fullest bin that takes it."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in room if r >= n]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - n)
+        else:
+            room.append(2048 - n)
+    return len(room)
+
+
+@pytest.mark.parametrize(("n", "saved"), [(40, 3), (100, 7)])
+def test_evolution_saves_sequences_where_best_fit_leaves_some(n, saved):
+    """Triplets that fill a sequence exactly: best fit decreasing ends about a tenth above the bound."""
+    rng = np.random.default_rng(n)
+    lengths = []
+    for _ in range(n):
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers((2048 - a) // 2 - 100, (2048 - a) // 2 + 100))
+        lengths += [a, b, 2048 - a - b]
+    lengths.sort(reverse=True)
+    greedy = best_fit_decreasing(lengths)
+    islands = [P.evolve(lengths, 2048, s, []) for s in range(3)]
+    moved = [P.evolve(lengths, 2048, 10 + s, [P.genome(islands[s]), P.genome(islands[(s + 1) % 3])]) for s in range(3)]
+    best = min(moved, key=lambda p: p.cost)
+    assert sorted(i for b in best.bins for i in b) == list(range(3 * n)) and max(best.fill) <= 2048
+    assert len(best.bins) <= greedy - saved and best.cost <= min(p.cost for p in islands)
+
+
+def test_real_lengths_take_no_more_than_best_fit_decreasing(spark):
+    sf = "/root/testdata/sf0.01"
+    got = P.pack(spark.read.parquet(f"{sf}/documents.parquet"), block=300).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()
+    pieces = P.pack(spark.read.parquet(f"{sf}/documents.parquet")).select("length", "sequence_id").toPandas()
+    plain = best_fit_decreasing(pieces.length.tolist())
+    assert pieces.sequence_id.nunique() <= plain and got.n.max() <= 2048
+    assert len(got) <= plain + 1  # blocks of 300 items, three levels of them: loose ends may cost one
+
+
 @pytest.mark.parametrize("block", [4096, 40])
 def test_packing_places_every_token_once(spark, block):
     rng = np.random.default_rng(5)
