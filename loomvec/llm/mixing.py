@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words; each document first gets the whole copies that the
-target grants to all documents of its source, then the rest of the target is drawn without
-replacement: documents are ranked by q = (u / (1 - u)) / (p / (1 - p)), random odds over inclusion
-odds, and the lowest ranks are taken until the rest is reached. u is a hash of the document, so
-that reruns agree. A last step swaps at most one document a source in or out, the one whose size
-is nearest to what the sample is short of or over by.
-
-DataFrame functions only. The hot source isn't gathered: ranks are cut into cells, cells are summed
-before the shuffle, and a window orders only the documents of the one cell that the target falls in.
+Every source gets a target number of words. A document's expected number of copies grows with its size
+class (the number of bits of its word count, so that longer, connected texts come more often) by a
+factor per source that makes the expected words those of the target; it stops at `most`. Whole copies
+are certain. What is left of it is the document's inclusion probability p: within a source documents of
+unlike classes have unlike p, and one ranking orders them all by q = (u / (1 - u)) / (p / (1 - p)),
+random odds over inclusion odds. The lowest ranks are taken until the words that p stands for are
+reached. u is a hash of the document, so that reruns agree. A last step swaps at most one document a
+source in or out, the one whose size is nearest to what the sample is short of or over by.
+
+DataFrame functions only. The hot source isn't gathered: ranks are cut into cells that are summed before
+the shuffle, the cell that the sum ends in is cut again until it holds few documents, and a window
+orders only those.
 """
 
 from __future__ import annotations
@@ -22,7 +25,10 @@ from .common import cut, narrow, read_table, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-CELLS = 4096
+#: How much the expected copies grow with each size class, in eighths.
+TILT = 1
+#: Bits of a rank, of a row's own hash that parts equal ranks, and of one step of refinement; documents that may be ordered together; sources that may be broadcast.
+RANK_BITS, ROW_BITS, STEP, EDGE, SOURCES = 48, 24, 12, 1024, 20_000
 
 
 def uniform(doc_id: Column, text: Column) -> Column:
@@ -52,48 +58,101 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return t.select("source", "source_size", F.when(F.col("stops"), F.col("stop")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, row: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, copies [, row].
+def plan(classes: DataFrame, goal: DataFrame, most: float = MOST, tilt: int = TILT) -> DataFrame:
+    """(source, class, words), (source, source_size, target) -> (source, class, whole, p, rest): certain copies and the inclusion probability of each class, and the words that the sample of a source stands for.
+
+    Expected copies are min(most, level * (8 + tilt * class)); the classes that stop are the highest, so
+    one pass from the highest down finds the level. A few dozen rows a source.
+    """
+    c = classes.withColumnRenamed("source", "source_")
+    t = c.join(goal, c.source_.eqNullSafe(goal.source)).drop("source_").withColumn("h", F.lit(8) + F.lit(tilt) * F.col("class"))
+    above = W.partitionBy("source").orderBy(F.col("class").desc()).rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("source").orderBy("class").rowsBetween(W.unboundedPreceding, 0)
+    weighed = F.sum(F.col("words") * F.col("h")).over(upto)
+    t = t.withColumn("level", F.when(weighed > 0, (F.col("target") - F.lit(most) * F.coalesce(F.sum("words").over(above), F.lit(0))) / weighed).otherwise(F.lit(0.0)))
+    t = t.withColumn("stops", F.col("level") * F.col("h") >= F.lit(most))
+    t = t.withColumn("final", F.max(F.when(~F.col("stops"), F.struct("class", "level"))).over(W.partitionBy("source"))["level"])
+    t = t.withColumn("copies", F.when(F.col("source_size") == 0, F.lit(0.0)).when(F.col("stops"), F.lit(most)).otherwise(F.least(F.lit(most), F.greatest(F.lit(0.0), F.col("final") * F.col("h")))))
+    t = t.withColumn("whole", F.floor("copies").cast("long")).withColumn("p", F.col("copies") - F.col("whole"))
+    return t.withColumn("rest", F.sum(F.col("p") * F.col("words")).over(W.partitionBy("source"))).select("source", "source_size", "target", "class", "whole", "p", "rest")
+
+
+def small(t: DataFrame, most: int = SOURCES) -> DataFrame:
+    """t, to be broadcast if a count shows that it is small; otherwise Spark picks the join."""
+    return F.broadcast(t) if t.limit(most + 1).count() <= most else t
+
+
+def find_edges(t: DataFrame, few: int = EDGE) -> DataFrame:
+    """(source, base, a, b, step): of each source the cell of ranks that `rest` falls in, and the words ranked before it.
+
+    t: (source, r, x, size, rest). A cell is a prefix of r, then of x; it is cut again, 2**STEP ways, until
+    no source has more than `few` documents in its cell or all bits are used. Sources whose rest is
+    never reached have no row.
+    """
+    steps = [(F.shiftright("r", RANK_BITS - STEP * k), F.lit(0).cast("long")) for k in range(1, RANK_BITS // STEP + 1)]
+    steps += [(F.col("r"), F.shiftright("x", ROW_BITS - STEP * k)) for k in range(1, ROW_BITS // STEP + 1)]
+    edges = None
+    for k, (a, b) in enumerate(steps):
+        here = t
+        if edges is not None:
+            pa, pb = steps[k - 1]
+            e = small(edges.select(F.col("source").alias("s_"), F.col("base").alias("base_"), F.col("a").alias("a_"), F.col("b").alias("b_")))
+            here = t.join(e, t.source.eqNullSafe(F.col("s_")) & (pa == F.col("a_")) & (pb == F.col("b_")))
+        start = F.first("base_") if edges is not None else F.lit(0)
+        cells = here.groupBy("source", a.alias("a"), b.alias("b")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("rest").alias("rest"), start.alias("start"))
+        upto = W.partitionBy("source").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
+        cells = cells.withColumn("base", F.col("start") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        edges = cut(cells.where("base <= rest and rest < base + words").select("source", "base", "a", "b", "n", F.lit(k).alias("step")))
+        if (edges.agg(F.max("n").alias("n")).first()["n"] or 0) <= few:
+            break
+    return edges
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, row: str | None = None, tilt: int = TILT) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, copies, row.
 
     size is the number of words, taken = copies * size, copies is 0, 1 or 2 under the default `most`.
     row names a column of docs that tells its rows apart; it is returned, so that the caller can join.
     Nulls: a null text has size 0, a null source is a source of its own (the last), a null doc_id is
-    an id like another. Texts without words have size 0 and are taken with their source's whole
-    copies only by copies, never by words. Repeated rows are documents of their own. An empty
-    table gives an empty table. Other columns of docs are ignored.
+    an id like another. Texts of any length are counted whole. Texts without words have size 0; their
+    copies add no words. Repeated rows are documents of their own: they share u and rank, and a hash of
+    the row orders them. An empty table gives an empty table. Other columns of docs are ignored.
     """
     t = narrow(docs, doc_id=doc_id, source=source, size=word_count(F.col(text)), u=uniform(F.col(doc_id), F.col(text)), row=F.col(row) if row else F.monotonically_increasing_id())
-    t = cut(t)  # the texts are read once; from here on a row is five numbers
-    goal = targets(t.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = goal.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-    goal = cut(goal.withColumnRenamed("source", "source_"))
-    t = t.join(goal, t.source.eqNullSafe(goal.source_), "left").drop("source_")
+    # The texts are read once; from here on a row is a few numbers. A class is the place of the highest bit of the size.
+    t = cut(t.withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size")) - 1).otherwise(0)).withColumn("x", F.xxhash64("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))))
+    classes = cut(t.groupBy("source", "class").agg(F.sum("size").alias("words")))
+    goal = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    goal = cut(plan(classes, goal, most, tilt))
+    g = small(goal.withColumnRenamed("source", "source_").withColumnRenamed("class", "class_"))
+    t = t.join(g, t.source.eqNullSafe(F.col("source_")) & (t["class"] == F.col("class_")), "left").drop("source_", "class_")
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
-    t = t.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)))
-    t = t.withColumn("cell", F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") * CELLS), F.lit(CELLS - 1)).cast("int")))
-
-    cells = t.where("cell is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.withColumn("base", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    # Of each source, the cell that its rest falls in; sources whose rest is never reached keep no row.
-    cells = cells.where("base <= rest and rest < base + words").select(F.col("source").alias("source_"), F.col("cell").alias("edge"), "base")
-    t = t.join(cells, t.source.eqNullSafe(cells.source_), "left").drop("source_")
-    inside = W.partitionBy("source", "cell").orderBy("rank", "u", "doc_id", "row").rowsBetween(W.unboundedPreceding, -1)
-    on_edge = t.where("cell = edge").withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    t = cut(t.withColumn("r", F.when(F.col("p") > 0, F.floor(odds / (1 + odds) * F.lit(float(1 << RANK_BITS))).cast("long"))))
+    asked = t.where("r is not null")
+    edges = find_edges(asked)
+    step = edges.agg(F.max("step").alias("k")).first()["k"]
+    shift = max(0, RANK_BITS - STEP * ((step or 0) + 1))
+    more = max(0, (step or 0) + 1 - RANK_BITS // STEP)
+    a, b = F.shiftright("r", shift), F.shiftright("x", ROW_BITS - STEP * more) if more else F.lit(0).cast("long")
+    e = small(edges.select(F.col("source").alias("source_"), "base", F.col("a").alias("a_"), F.col("b").alias("b_")))
+    t = t.join(e, t.source.eqNullSafe(F.col("source_")), "left").drop("source_")
+    on = F.coalesce((a == F.col("a_")) & (b == F.col("b_")), F.lit(False))
+    inside = W.partitionBy("source").orderBy("r", "x", "row").rowsBetween(W.unboundedPreceding, -1)
+    on_edge = t.where(on).withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     on_edge = on_edge.withColumn("pick", (F.col("at") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("at")
-    off_edge = t.where("not (cell <=> edge) or cell is null").withColumn("pick", F.coalesce((F.col("cell") < F.coalesce(F.col("edge"), F.lit(CELLS))).cast("int"), F.lit(0)))
-    t = cut(on_edge.unionByName(off_edge).drop("cell", "edge", "base"))
+    before = F.col("a_").isNull() | (a < F.col("a_")) | ((a == F.col("a_")) & (b < F.col("b_")))
+    off_edge = t.where(~on).withColumn("pick", F.when(F.col("r").isNull(), 0).otherwise(before.cast("int")))
+    t = cut(on_edge.unionByName(off_edge).drop("base", "a_", "b_"))
 
     # What the sample is short of (or, negative, over by), and the one document that mends most of it.
-    gap = t.where("p > 0").groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.col("pick"))).alias("gap"))
-    gap = gap.withColumnRenamed("source", "source_")
-    x = t.where("p > 0").join(gap, t.source.eqNullSafe(gap.source_)).where((F.col("gap") > 0) == (F.col("pick") == 0))
+    some = t.where("r is not null")
+    gap = some.groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.col("pick"))).alias("gap"))
+    gap = small(gap.withColumnRenamed("source", "source_"))
+    x = some.join(gap, some.source.eqNullSafe(F.col("source_"))).where((F.col("gap") > 0) == (F.col("pick") == 0))
     miss = F.abs(F.abs(F.col("gap")) - F.col("size"))
     x = x.where(miss < F.abs(F.col("gap"))).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "u", "doc_id", "row")).alias("best"))
-    x = x.select(F.col("source").alias("source_"), F.col("best.row").alias("swap"))
-    t = t.join(x, t.source.eqNullSafe(x.source_), "left")
+    x = small(cut(x.select(F.col("source").alias("source_"), F.col("best.row").alias("swap"))))
+    t = t.join(x, t.source.eqNullSafe(F.col("source_")), "left")
     copies = (F.col("whole") + F.when(F.col("row") == F.col("swap"), 1 - F.col("pick")).otherwise(F.col("pick"))).cast("long")
     return t.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "row")
 
@@ -115,14 +174,25 @@ with d as (
   from w window b as (order by stop / w, source nulls last rows between unbounded preceding and 1 preceding)
 ), f as (select *, max(case when stop > level * w then level end) over () as final from l
 ), g as (select source, source_size, case when stop <= level * w then stop else final * w end as target from f
-), h as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from g
-), k as (select *, target - whole * source_size as rest, case when source_size > 0 then (target - whole * source_size) / source_size else 0.0 end as p from h
+), b as (
+  select d.source, case when size > 0 then length(bin(size)) - 1 else 0 end as class, sum(size)::bigint as words from d group by 1, 2
+), e as (
+  select b.*, g.source_size, g.target, 8 + b.class as h,
+    sum(words * (8 + b.class)) over (partition by b.source order by b.class rows between unbounded preceding and current row)::bigint as weighed,
+    coalesce(sum(words) over (partition by b.source order by b.class desc rows between unbounded preceding and 1 preceding), 0)::bigint as above
+  from b join g on b.source is not distinct from g.source
+), lv as (select *, case when weighed > 0 then (target - 2.0::double * above) / weighed else 0.0::double end as level from e
+), fl as (select *, level * h >= 2.0::double as stops from lv
+), fi as (select *, arg_max(level, class) filter (not stops) over (partition by source) as final from fl
+), co as (select *, case when source_size = 0 then 0.0::double when stops then 2.0::double else least(2.0::double, greatest(0.0::double, final * h)) end as copies from fi
+), k as (select *, floor(copies)::bigint as whole, copies - floor(copies) as p from co
+), ks as (select *, sum(p * words) over (partition by source) as rest from k
 ), r as (
   select d.doc_id, d.source, d.size, d.u, d.row, k.source_size, k.target, k.whole, k.rest, k.p,
     case when k.p > 0 then (d.u / (1 - d.u)) * ((1 - k.p) / k.p) end as odds
-  from d join k on d.source is not distinct from k.source
+  from d join ks k on d.source is not distinct from k.source and k.class = case when d.size > 0 then length(bin(d.size)) - 1 else 0 end
 ), o as (
-  select *, case when p > 0 then coalesce(sum(size) over (partition by source, p > 0 order by odds / (1 + odds), u, doc_id, row rows between unbounded preceding and 1 preceding), 0) end as taken_before from r
+  select *, case when p > 0 then coalesce(sum(size) over (partition by source, p > 0 order by floor(odds / (1 + odds) * 281474976710656::double), row rows between unbounded preceding and 1 preceding), 0) end as taken_before from r
 ), c as (select *, case when p > 0 and taken_before + size / 2.0::double <= rest then 1 else 0 end as pick from o
 ), gaps as (select source, any_value(rest) - sum(size * pick) as gap from c where p > 0 group by source
 ), best as (

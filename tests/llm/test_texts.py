@@ -155,6 +155,36 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
         assert g["size"].sum() == size and abs(g.taken.sum() - target) <= max(3, 0.02 * target)
 
 
+def test_inclusion_grows_with_size_and_one_ranking_holds_unlike_odds(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(n), "a" if i % 4 else "b") for i, n in enumerate(rng.choice([4, 64, 512], 1200))]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(t).toPandas()
+    size, copies = got["size"].to_numpy(), got.copies.to_numpy()
+    for target, g in got.groupby("target"):
+        total = g["size"].sum()
+        level = target / (g["size"] * (8 + np.log2(g["size"]))).sum()
+        for n in (4, 64, 512):
+            expected = level * (8 + np.log2(n))
+            assert abs(g.copies[g["size"] == n].mean() - expected) < 0.15 and expected < 2 and total > 0
+    assert copies[size == 512].mean() > copies[size == 64].mean() > copies[size == 4].mean()
+    # Not the order of u alone: some document with a higher u is taken before one with a lower u of the same source.
+    u = {r["doc_id"]: r["u"] for r in t.select("doc_id", M.uniform(F.col("doc_id"), F.col("text")).alias("u")).collect()}
+    b = got[got.doc_id % 4 == 0]
+    extra = b.copies - b.copies.min()
+    assert max(u[i] for i in b.doc_id[extra > 0]) > min(u[i] for i in b.doc_id[extra == 0])
+
+
+@pytest.mark.parametrize("few", [1024, 2])
+def test_equal_ranks_are_parted_by_row(spark, few, monkeypatch):
+    """A third of all rows are one row repeated: its copies have one rank, and as many of them are taken as words are missing."""
+    rows = [(7, "same words here", "hot")] * 300 + [(i, "w " * (1 + i % 50), "hot") for i in range(100, 600)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    monkeypatch.setattr(M.find_edges, "__defaults__", (few,))
+    got = M.mix(t, share=0.6).toPandas()
+    assert abs(got.taken.sum() - 0.6 * got["size"].sum()) <= 2 and len(got) == 800
+
+
 def test_mixing_nothing(spark):
     assert M.mix(docs(spark, ["x"], source=["a"]).limit(0)).count() == 0
     r = M.mix(docs(spark, ["", None], source=["a", None])).toPandas()
