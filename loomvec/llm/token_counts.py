@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import narrow, read_table
+from .common import cut, narrow, read_table
 from .tokens import encoder, paths
 
 #: Lengths to a block of the two-step sums.
@@ -42,7 +42,14 @@ def histogram(docs: DataFrame, text: str = "text", tokenizer: tuple[str, str] |
 
 
 def with_sums(hist: DataFrame) -> DataFrame:
-    """The histogram with, for each length taken as a limit: docs_at_least, tokens_at_least, tokens_below, truncated_total, docs_total, tokens_total, rank (share of documents up to this length)."""
+    """The histogram with, for each length taken as a limit: docs_at_least, tokens_at_least, tokens_below, truncated_total, docs_total, tokens_total, rank (share of documents up to this length).
+
+    hist is read twice; a table (see cut()) spares encoding twice. A limit between two lengths has the
+    sums of the next longer one, its truncated total being tokens_below + limit * docs_at_least of that
+    row; above the longest length it is tokens_total. truncated_totals() does so for given limits.
+    Columns are hist's two; others of it are ignored, so names can't clash.
+    """
+    hist = hist.select("length", "n_docs")
     h = hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     above = W.orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1)
@@ -70,4 +77,4 @@ def quantile(hist: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_sums(histogram(read_table(spark, sf_dir, "documents")))
+    return with_sums(cut(histogram(read_table(spark, sf_dir, "documents"))))
