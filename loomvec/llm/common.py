@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one process has to hold all executors (local mode): a new folder of this machine then, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomvec-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -57,6 +59,11 @@ def narrow(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
 
 
+def private(names: list[str], name: str) -> str:
+    """A column name that no column of a table has: longer than all of its names together."""
+    return "_".join([*names, name])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

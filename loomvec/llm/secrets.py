@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, narrow, read_table
+from .common import cut, narrow, private, read_table
 
 #: The three base patterns of the contract, their least lengths, and the order of kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -155,15 +155,15 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     without spans are unchanged; repeated rows are replaced each; work is linear in a text's length.
     """
     names = docs.columns
-    key, spans_name = f"{'_'.join(names)}_row", f"{'_'.join(names)}_spans"  # longer than any column of docs, so it can't clash
+    key, spans_name, found_row = (private(names, k) for k in ("row", "spans", "found"))
     t = cut(docs.withColumn(key, F.monotonically_increasing_id()))
     x = scan(t, doc_id=key, text=text, row=key).where(F.size("found") > 0).select("row", F.explode("found").alias("x")).select("row", "x.start", "x.end")
     order = W.partitionBy("row").orderBy("start", "end")
     x = x.withColumn("reach", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
     x = x.withColumn("n", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order))
     x = x.groupBy("row", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    found = x.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans_name)).withColumnRenamed("row", f"{key}2")
-    t = t.join(found, F.col(key) == F.col(f"{key}2"), "left")
+    found = x.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans_name)).withColumnRenamed("row", found_row)
+    t = t.join(found, F.col(key) == F.col(found_row), "left")
     source, spans = F.col(text), F.col(spans_name)
     none = F.array(F.lit(0))
     gaps = F.arrays_zip(F.concat(none, F.transform(spans, lambda s: s["end"])).alias("a"), F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(source))).alias("b"))

@@ -3,12 +3,14 @@
 A fingerprint of 64 bits is cut into two segments of 32. Two fingerprints that differ in at most two
 bits have a segment in which they differ in at most one, so they share one of its variants: the
 segment with one bit deleted, and the bit's place. All 64 variants of every distinct fingerprint are
-indexed, equal variants meet, and the whole fingerprints are compared.
+indexed and equal variants meet.
 
-Rows with equal fingerprints are one fingerprint, so large groups of copies cost nothing. Where near
-copies put very many distinct fingerprints behind one variant, they aren't compared pair by pair: each
-looks up the few hundred fingerprints within reach of it, and the links of the group are handed on
-as a forest.
+What meets agrees in 31 bits, and a link may differ in the deleted bit and up to two bits of the other
+segment. So each fingerprint that meets any is verified by looking up the whole fingerprints that such
+differences allow among those that it meets; the work is linear in the group, however many near copies
+it holds, and no pairs are made. Links leave a task as a forest: components need no more.
+
+Rows with equal fingerprints are one fingerprint, so large groups of copies cost nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_spans, cut, drop_cut, narrow, pieces, read_table
+from .common import byte_spans, cut, drop_cut, narrow, private, read_table
 from .components import components
 
 #: Bits that may differ; the segments follow from it.
@@ -29,8 +31,6 @@ REACH = 2
 SEGMENT = 32
 WORDS = 3
 SEED = 42
-#: Fingerprints behind one variant up to which neighbours are compared by shifting; beyond it, by look-up.
-SMALL = 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,8 +38,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def fingerprint_many(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Fingerprints (uint64) of texts given as bytes and offsets."""
+def fingerprint_many(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """Fingerprints (uint64) of texts given as bytes and offsets, over shingles of `size` words."""
     out = np.zeros(len(offsets) - 1, np.uint64)
     digest = xxhash.xxh64_intdigest
     for i in range(len(out)):
@@ -50,14 +50,14 @@ def fingerprint_many(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         words = [w for w in low.tobytes().split(b" ") if w]
         if not words:
             continue
-        n = max(1, len(words) - WORDS + 1)
+        n = max(1, len(words) - size + 1)
         ones = np.zeros(64, np.int64)
         for lo in range(0, n, 65_536):
-            part = words[lo : lo + 65_536 + WORDS - 1]
-            if len(words) < WORDS:
+            part = words[lo : lo + 65_536 + size - 1]
+            if len(words) < size:
                 hashes = [digest(b" ".join(words), SEED)]
             else:
-                hashes = [digest(b" ".join(x), SEED) for x in zip(part, part[1:], part[2:], strict=False)]
+                hashes = [digest(b" ".join(x), SEED) for x in zip(*[part[j:] for j in range(size)], strict=False)]
             h = np.array(hashes, np.uint64)
             ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         bits = (2 * ones > n).astype(np.uint8)
@@ -65,13 +65,13 @@ def fingerprint_many(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None, words: int = WORDS) -> DataFrame:
     """(doc_id, row, fp): the fingerprint as a signed long; null, empty and blank texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = byte_spans(b.column(2))
-            fp = fingerprint_many(raw, at).view(np.int64)
+            fp = fingerprint_many(raw, at, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "row", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -121,8 +121,9 @@ def _look_up(fp: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def group_links(seg: int, bit: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links that belong to one large group: those that differ in the deleted bit, and, where it is bit 0, those
-    that don't differ in the segment. Other links of the group belong to another of its variants."""
+    """The links that belong to the groups of one segment and deleted bit: those that differ in the deleted bit, and, where
+    it is bit 0, those that don't differ in the segment. Other links of a group belong to another of its variants. A link
+    changes nothing that a group's fingerprints agree in, so many groups can be looked up in one sorted array."""
     fp = np.sort(fp)
     own = _ONE[seg * SEGMENT + bit]
     other = _ONE[[i for i in range(64) if i // SEGMENT != seg]]
@@ -132,75 +133,63 @@ def group_links(seg: int, bit: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _look_up(fp, np.array(masks, np.uint64))
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= REACH
+def met_links(seg: np.ndarray, bit: np.ndarray, rest: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """The links of whole groups; rows are sorted by (seg, bit, rest)."""
+    head = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (bit[1:] != bit[:-1]) | (seg[1:] != seg[:-1])]))
+    size = np.diff(np.append(head, len(fp)))
+    met = np.repeat(size > 1, size)
+    kind, fp = seg[met].astype(np.int64) * SEGMENT + bit[met], fp[met]
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for k in np.unique(kind):
+        x, y = group_links(int(k) // SEGMENT, int(k) % SEGMENT, fp[kind == k])
+        a.append(x)
+        b.append(y)
+    x, y = np.concatenate(a), np.concatenate(b)
+    x, y = _forest(x, y) if len(x) else (x, y)
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints (fp long), enough to make the same components as all links.
-
-    Groups of up to SMALL fingerprints are compared whole; of larger ones a forest is given.
-    """
+    """(a, b): links between distinct fingerprints (fp long), enough to make the same components as all links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
-
-        def work(seg: np.ndarray, bit: np.ndarray, rest: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-            head = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (bit[1:] != bit[:-1]) | (seg[1:] != seg[:-1])]))
-            size = np.diff(np.append(head, len(fp)))
-            a, b = [], []
-            group = np.repeat(np.arange(len(head)), size)
-            small = np.repeat((size > 1) & (size <= SMALL), size)
-            f, g = fp[small], group[small]
-            for d in range(1, min(SMALL, len(f))):
-                same = g[d:] == g[:-d]
-                if not same.any():
-                    break
-                x, y = f[:-d][same], f[d:][same]
-                near = _close(x, y)
-                a.append(x[near])
-                b.append(y[near])
-            for i in np.flatnonzero(size > SMALL):
-                x, y = group_links(int(seg[head[i]]), int(bit[head[i]]), fp[head[i] : head[i] + size[i]])
-                a.append(x)
-                b.append(y)
-            if not a or not sum(map(len, a)):
-                return None
-            x, y = _forest(np.concatenate(a), np.concatenate(b))
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+        held: list[list[np.ndarray]] = []  # parts of the group that may go on
+
+        def flush() -> pa.RecordBatch:
+            return met_links(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
         for batch in batches:
             cols = [np.asarray(batch.column(i)) for i in range(3)] + [np.asarray(batch.column(3)).view(np.uint64)]
-            if carry is not None:
-                cols = [np.concatenate([c, x]) for c, x in zip(carry, cols, strict=True)]
             if not len(cols[0]):
                 continue
-            # The last group may go on in the next batch.
-            last = np.flatnonzero((cols[2] != cols[2][-1]) | (cols[1] != cols[1][-1]) | (cols[0] != cols[0][-1]))
-            cut_at = int(last[-1]) + 1 if len(last) else 0
-            carry = [c[cut_at:] for c in cols]
+            if held and any(h[-1] != c[0] for h, c in zip(held[-1][:3], cols[:3], strict=True)):
+                yield flush()
+                held = []
+            # The last group may go on in the next batch; its parts are joined once, when it ends.
+            other = np.flatnonzero((cols[2] != cols[2][-1]) | (cols[1] != cols[1][-1]) | (cols[0] != cols[0][-1]))
+            cut_at = int(other[-1]) + 1 if len(other) else 0
             if cut_at:
-                out = work(*[c[:cut_at] for c in cols])
-                if out is not None:
-                    yield out
-        if carry is not None and len(carry[0]):
-            out = work(*carry)
-            if out is not None:
-                yield out
+                held.append([c[:cut_at] for c in cols])
+                yield flush()
+                held = []
+            held.append([c[cut_at:] for c in cols])
+        if held:
+            yield flush()
 
     v = variants(fps)
     return v.repartition("seg", "bit", "rest").sortWithinPartitions("seg", "bit", "rest").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None, words: int = WORDS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id, row.
 
     component_id is the least doc_id that links reach, a document's own included; null ids are never
     the least, and a component of null ids has null. Null, empty and blank texts have fingerprint
-    zero and are linked like others. Repeated rows are linked by their equal fingerprints. An empty
-    table gives an empty table; other columns of docs are ignored.
+    zero and are linked like others; a bit that is set in exactly half of the shingles is 0. Texts of
+    any length are taken whole, a part of their shingles at a time. Repeated rows are linked by their
+    equal fingerprints. An empty table gives an empty table; other columns of docs are ignored.
     """
-    t = cut(fingerprints(docs, doc_id, text, row))
+    t = cut(fingerprints(docs, doc_id, text, row, words))
     least = cut(t.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = cut(links(least.select("fp")))
     roots = components(found)
@@ -211,15 +200,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """The rows of docs less all but one of each component: the row of the least doc_id, of equal ones the first."""
     names = docs.columns
-    t = cut(docs.withColumn("loomvec_row", F.monotonically_increasing_id()))
-    n = near_duplicates(t, doc_id, text, row="loomvec_row")
+    key = private(names, "row")
+    t = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    n = near_duplicates(t, doc_id, text, row=key, words=words)
     # Rows without an id come last; a component is its fingerprint's, so that components of null ids stay apart.
     firsts = n.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("one"))
-    kept = firsts.select(F.col("one.row").alias("loomvec_kept"))
-    return t.join(kept, F.col("loomvec_row") == F.col("loomvec_kept"), "left_semi").select(*names)
+    kept = firsts.select(F.col("one.row").alias(private(names, "kept")))
+    return t.join(kept, F.col(key) == F.col(private(names, "kept")), "left_semi").select(*names)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

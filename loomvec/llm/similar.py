@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, cut, drop_cut, narrow
+from .common import byte_spans, cut, drop_cut, narrow, private
 from .components import components
 from .simhash import _IS_SPACE, _LOWER
 
@@ -150,8 +150,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     last. An empty table gives an empty table.
     """
     names = docs.columns
-    whole = cut(docs.withColumn("loomvec_row", F.monotonically_increasing_id()))
-    t = narrow(whole, doc_id=doc_id, row="loomvec_row", text=text)
+    key = private(names, "row")
+    whole = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    t = narrow(whole, doc_id=doc_id, row=key, text=text)
     s = cut(sketches(t, words))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     firsts = cut(s.groupBy("same").agg(F.min(order).alias("one")).select(F.col("one.no_id").alias("no_id"), F.col("one.doc_id").alias("doc_id"), F.col("one.row").alias("first")))
@@ -168,6 +169,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     more = verified(t, cut(rest_pairs(left, similarity)), words, similarity)
     roots = components(near.unionByName(more))
     ends = firsts.join(roots, F.col("first") == F.col("node"), "left").groupBy(F.coalesce("root", "first")).agg(F.min(F.struct("no_id", "doc_id", F.col("first").alias("row"))).alias("one"))
-    kept = cut(ends.select(F.col("one.row").alias("loomvec_kept")))
+    kept = cut(ends.select(F.col("one.row").alias(private(names, "kept"))))
     drop_cut(s)
-    return whole.join(kept, F.col("loomvec_row") == F.col("loomvec_kept"), "left_semi").select(*names)
+    return whole.join(kept, F.col(key) == F.col(private(names, "kept")), "left_semi").select(*names)
