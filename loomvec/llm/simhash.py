@@ -180,6 +180,19 @@ def links(fps: DataFrame) -> DataFrame:
     return v.repartition("seg", "bit", "rest").sortWithinPartitions("seg", "bit", "rest").mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, doc_id: str, text: str, row: str | None, words: int) -> DataFrame:
+    """(doc_id, fp, component_id, row, root): root is a component's own fingerprint, for components whose least ids are equal or null."""
+    t = cut(fingerprints(docs, doc_id, text, row, words))
+    least = cut(t.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = cut(links(least.select("fp")))
+    roots = components(found)
+    named = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = t.join(cut(named.join(ids, "root").select("fp", "component_id", "root")), "fp")
+    drop_cut(found)
+    return out
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None, words: int = WORDS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id, row.
 
@@ -189,15 +202,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     any length are taken whole, a part of their shingles at a time. Repeated rows are linked by their
     equal fingerprints. An empty table gives an empty table; other columns of docs are ignored.
     """
-    t = cut(fingerprints(docs, doc_id, text, row, words))
-    least = cut(t.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = cut(links(least.select("fp")))
-    roots = components(found)
-    named = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = t.join(cut(named.join(ids, "root").select("fp", "component_id")), "fp")
-    drop_cut(found)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row")
+    return grouped(docs, doc_id, text, row, words).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -205,9 +210,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     names = docs.columns
     key = private(names, "row")
     t = cut(docs.withColumn(key, F.monotonically_increasing_id()))
-    n = near_duplicates(t, doc_id, text, row=key, words=words)
-    # Rows without an id come last; a component is its fingerprint's, so that components of null ids stay apart.
-    firsts = n.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("one"))
+    # Rows without an id come last.
+    n = grouped(t, doc_id, text, key, words)
+    firsts = n.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("one"))
     kept = firsts.select(F.col("one.row").alias(private(names, "kept")))
     return t.join(kept, F.col(key) == F.col(private(names, "kept")), "left_semi").select(*names)
 

@@ -334,7 +334,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
                 held[y].update(features(t))
                 if len(held[0]) + len(held[1]) > 200_000:
                     yield flush()
-        yield flush()
+        if held[0] or held[1]:
+            yield flush()
 
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
