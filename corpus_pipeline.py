@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of
 documents; the last returns the pieces of the packed sequences. run() writes every stage's result to
 the shared folder and reads it again as the next stage's input.
+
+In every stage null and empty texts are documents without words, texts of any length are worked on
+whole, repeated rows are rows of their own (near-duplicates keeps one of them), an empty table gives an
+empty table, and columns beside doc_id, text, source and n_chars pass through untouched, whatever their
+names. What a stage does with ties is in the docstring of its operator.
 """
 
 from __future__ import annotations
@@ -10,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import mixing, packing, secrets, similar, toxicity
-from loomvec.llm.common import cut, read_table
+from loomvec.llm import mixing, packing, secrets, simhash, similar, toxicity
+from loomvec.llm.common import cut, private, read_table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +25,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard similarity 0.8 or more stays, the one with the least id."""
-    return similar.keep_one(docs)
+    """One document of each group stays, the one with the least id.
+
+    Groups by SimHash over five words first: copies and the nearest of near copies. Fingerprints of 64
+    bits can't hold apart what has a similarity of 0.8 (about ten bits differ), so what is left is then
+    grouped by the Jaccard similarity of its five-word shingles, 0.8 or more, verified on whole texts.
+    """
+    return similar.keep_one(cut(simhash.keep_one(docs, words=similar.WORDS)))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +42,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    t = cut(docs.withColumn("loomvec_row", F.monotonically_increasing_id()))
-    taken = mixing.mix(t, row="loomvec_row").where("copies > 0").select(F.col("row").alias("loomvec_row2"), F.col("copies").alias("loomvec_copies"))
-    t = t.join(taken, F.col("loomvec_row") == F.col("loomvec_row2"))
-    return t.withColumn("loomvec_copy", F.explode(F.sequence(F.lit(1), F.col("loomvec_copies").cast("int")))).select(*docs.columns)
+    row, taken_row, copies, copy = (private(docs.columns, k) for k in ("row", "taken", "copies", "copy"))
+    t = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mixing.mix(t, row=row).where("copies > 0").select(F.col("row").alias(taken_row), F.col("copies").alias(copies))
+    t = t.join(taken, F.col(row) == F.col(taken_row))
+    return t.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +61,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-#: The toxicity grammar, fingerprints and packing aren't SQL; the tests hold run() against a plain version.
+#: The toxicity grammar, fingerprints and packing aren't SQL; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
