@@ -106,6 +106,12 @@ def consecutive(df: DataFrame, columns: tuple[str, ...], order: str = "s", group
     return t.where(F.col(f"{columns[0]}2").isNotNull())
 
 
+def in_blocks(df: DataFrame, size: int, columns: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
+    """(keep, block, one column for each of `columns` under its new name): every block of `size` elements of the vectors as a row."""
+    pieces = F.arrays_zip(*[E.blocks(F.col(c), size).alias(name) for c, name in columns.items()])
+    return df.select(*keep, F.posexplode(pieces).alias("block", "p")).select(*keep, "block", *[F.col(f"p.{n}").alias(n) for n in columns.values()])
+
+
 def fidelity(df: DataFrame, d: int, original: str = "a", quantized: str = "q", order: str = "s", group: tuple[str, ...] = ("b", "h")) -> DataFrame:
     """(group, order, pre, post, ratio) of consecutive triplets: associator norms of unit vectors before and after quantization."""
     t = df.select(*group, order, E.unit_plus(F.col(original)).alias("a"), E.unit_plus(F.col(quantized)).alias("q"))
@@ -169,11 +175,11 @@ def zero_divisor_affinity(df: DataFrame, column: str = "vec", out: str = "affini
 def quartile_means(df: DataFrame, by: str, value: str, tie: str) -> DataFrame:
     """(quartile, mean): rows in rising order of `by` in four parts, the last with the remainder; no quartile under four rows.
 
-    Ranks come from counts of value ranges, so only the rows of one range are sorted together."""
+    Ranks come from counts of value ranges (bounds by approximate quantiles), so only the rows of one range are sorted together."""
     n = df.count()
     if n < 4:
         return df.sparkSession.createDataFrame([(i, float("nan")) for i in range(4)], "quartile int, mean double")
-    cuts = df.approxQuantile(by, [i / 64 for i in range(1, 64)], 0.001) if n > 100_000 else []
+    cuts = df.approxQuantile(by, [i / 64 for i in range(1, 64)], 0.001)
     cell = F.lit(0)
     for c in cuts:
         cell = cell + (F.col(by) > c).cast("int")
@@ -208,19 +214,19 @@ def rank_and_bits(df: DataFrame, rows: int, d: int, budget_bytes: float, ranks:
     return choice
 
 
-def per_head_rotation(df: DataFrame, names: tuple[str, ...] = ("wht", "haar", "cd8", "hybrid"), bits: int = 3, head: str = "h", column: str = "vec", seed: int = 42) -> DataFrame:
+def per_head_rotation(df: DataFrame, names: tuple[str, ...] = ("wht", "haar", "cd8", "hybrid"), bits: int = 3, head: str = "h", column: str = "vec", seed: int = 42, order: str = "s") -> DataFrame:
     """(head, rotation, score): for each head the candidate with the best 0.3 fidelity + 0.7 cosine; wht under 16 dimensions or 3 rows.
 
-    A head's sums over candidates are made row by row, so a hot head isn't gathered."""
+    Cosines are averaged before the shuffle. Fidelity is that of all blocks of eight; its triplets follow `order` within a head and block."""
     from .quantizers import Scalar
 
     d = E.require_dim(df, column)
     parts = None
     for name in names if d >= 16 else ():
         rot, q = R.make(name, d, seed), Scalar(d, bits)
-        t = df.select(head, F.monotonically_increasing_id().alias("s"), E.unit(F.col(column)).alias("x")).withColumn("y", rot.column(q.round_trip(rot.column(F.col("x"))), True))
+        t = df.select(head, order, E.unit(F.col(column)).alias("x")).withColumn("y", rot.column(q.round_trip(rot.column(F.col("x"))), True))
         cos = t.groupBy(head).agg(F.avg(E.cosine(F.col("x"), F.col("y"))).alias("cos"), F.count("*").alias("n"))
-        fid = fidelity(t.select(head, "s", F.slice("x", 1, 8).alias("a"), F.slice("y", 1, 8).alias("q")), 8, group=(head,)).groupBy(head).agg(F.avg("ratio").alias("f"))
+        fid = fidelity(in_blocks(t, 8, {"x": "a", "y": "q"}, (head, order)), 8, order=order, group=(head, "block")).groupBy(head).agg(F.avg("ratio").alias("f"))
         score = F.lit(0.3) * (1 - F.least(F.abs(F.coalesce("f", F.lit(1.0)) - 1), F.lit(1.0))) + F.lit(0.7) * F.col("cos")
         one = cos.join(fid, head, "left").select(head, F.lit(name).alias("rotation"), F.when(F.col("n") >= 3, score).alias("score"))
         parts = one if parts is None else parts.unionByName(one)
@@ -228,3 +234,8 @@ def per_head_rotation(df: DataFrame, names: tuple[str, ...] = ("wht", "haar", "c
         return df.select(head).distinct().select(head, F.lit("wht").alias("rotation"), F.lit(None).cast("double").alias("score"))
     best = parts.groupBy(head).agg(F.max(F.struct("score", "rotation")).alias("b"))
     return best.select(head, F.when(F.col("b.score").isNull(), "wht").otherwise(F.col("b.rotation")).alias("rotation"), F.col("b.score").alias("score"))
+
+
+def rotation_counts(chosen: DataFrame, rotation: str = "rotation") -> DataFrame:
+    """(rotation, heads): how many heads were given each rotation."""
+    return chosen.groupBy(rotation).agg(F.count("*").alias("heads"))

@@ -29,6 +29,7 @@ from ..operators import quantizers as Q
 from ..operators import rotations as R
 from ..operators import scoring as S
 from ..sources import vectors as X
+from . import composite_sql as Z
 from . import evaluation
 from . import oracle as O
 
@@ -215,10 +216,20 @@ def rotate_pca(spark, d):
     return Y.distribution(R.rotate(t, R.pca(t)), "rotated").select("ch", r6(F.col("variance"), "variance"))
 
 
-@query(f"with {O.V}, n as (select count(*) as n from v) select 'hybrid' as rotation, 0.0::double as invertibility, 0.0::double as isometry")
+@query(Z.pca_invariants)
+def pca_invariants(spark, d):
+    """What the principal axes must keep whatever the signs of eigenvectors: the total variance, and the squares of all covariances in the variances alone."""
+    t = X.vectors(spark, d)
+    v = Y.distribution(R.rotate(t, R.pca(t)), "rotated").select("ch", "variance")
+    falling = F.forall(F.sequence(F.lit(1), F.size("v") - 1), lambda i: F.get("v", i - 1) >= F.get("v", i) - 1e-12)
+    v = v.agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "variance"))), lambda x: x["variance"]).alias("v"))
+    return v.select(r6(E.total(F.col("v")), "total"), r6(E.dot(F.col("v"), F.col("v")), "squares"), F.size("v").alias("channels"), falling.alias("falling"))
+
+
+@query(Z.rotation_quality)
 def rotation_quality(spark, d):
     q = R.quality(X.vectors(spark, d), R.hybrid(D))
-    return q.select(F.lit("hybrid").alias("rotation"), r6(F.col("invertibility_error"), "invertibility"), r6(F.col("isometry_error"), "isometry"))
+    return q.select(F.lit("hybrid").alias("rotation"), r6(F.col("invertibility_error"), "invertibility"), r6(F.col("isometry_error"), "isometry"), r6(F.col("coord_variance"), "coord_variance"), r6(F.col("max_cross_corr"), "max_cross_corr"))
 
 
 # Quantizers
@@ -283,13 +294,13 @@ def e8_errors(spark, d):
     return t.select("vec_id", "block", r6(E.dot(e, e), "error"))
 
 
-@query()
+@query(Z.e8_scale_search)
 def e8_scale_search(spark, d):
     t = X.vectors(spark, d)
     return Q.scale_errors(t, "vec", Q.table_rms(t, "vec")).select("step", r6(F.col("scale"), "scale"), r6(F.col("mse"), "mse"))
 
 
-@query(lambda: "select 240 as roots, 2.0::double as norm_sq, 112 as whole")
+@query(Z.e8_root_counts)
 def e8_root_counts(spark, d):
     t = spark.createDataFrame([(r.tolist(),) for r in C.e8_roots()], "r array<double>")
     return t.agg(F.count("*").cast("int").alias("roots"), F.max(E.dot(F.col("r"), F.col("r"))).alias("norm_sq"), F.sum((F.get("r", F.lit(0)) == F.rint(F.get("r", F.lit(0)))).cast("int")).cast("int").alias("whole"))
@@ -466,7 +477,7 @@ def topk_exact(spark, d):
     return S.ranked(s, ("q_id",), 5).select("q_id", "k_id", "rank")
 
 
-@query()
+@query(Z.topk_compressed)
 def topk_compressed(spark, d):
     """The flagship: keys in three bits with normalisation, packed sketches of residuals, the top five of each query."""
     k, q = key_queries(spark, d)
@@ -474,13 +485,14 @@ def topk_compressed(spark, d):
     return S.ranked(c.scores(q, c.compress(k)), ("q_id",), 5).select("q_id", "k_id", "rank", r6(F.col("score"), "score"))
 
 
-@query()
+@query(Z.estimate_quality)
 def estimate_quality(spark, d):
     k, q = key_queries(spark, d)
     exact = S.all_scores(q, k.select("b", "h", "k_id", vec().alias("k")))
     c = P.KeyCompressor(D, 4, "wht")
     est = c.scores(q, c.compress(k))
-    return S.errors(exact, est).crossJoin(S.top1_match(exact, est)).crossJoin(S.recall(exact, est))
+    t = S.errors(exact, est).crossJoin(S.top1_match(exact, est)).crossJoin(S.recall(exact, est))
+    return t.select(*[r6(F.col(c), c) for c in ("bias", "rmse", "corr")], "top1_match", "recall")
 
 
 @query(f"with {O.V}, n as (select count(*) // 3 as at from v), s as (select v.vec_id, {O.dot('v.vec', 'q.vec')} as s, v.vec_id = n.at as hit from v, n, v q where q.vec_id = n.at) select 0 as q_id, (select count(*) from s a, s b where b.hit and (a.s > b.s or a.s = b.s and a.vec_id < b.vec_id)) + 1 as rank")
@@ -492,7 +504,7 @@ def needle_exact(spark, d):
     return S.needle_rank(scores, F.col("k_id") == at)
 
 
-@query()
+@query(Z.needle_compressed)
 def needle_compressed(spark, d):
     k = X.keys(spark, d)
     at = k.count() // 3
@@ -522,10 +534,11 @@ def distribution(spark, d):
     return Y.distribution(X.vectors(spark, d)).select("ch", *[r6(F.col(c), c) for c in ("variance", "skewness", "kurtosis", "entropy", "neighbour_corr")])
 
 
-@query()
+@query(Z.rotation_score)
 def rotation_score(spark, d):
     t = R.rotate(X.with_outliers(X.vectors(spark, d), OUTLIERS), R.wht(D))
-    return Y.quality_score(t)
+    q = Y.quality_score(t)
+    return q.select(*[r6(F.col(c), c) for c in ("variance_uniformity", "mean_cross_correlation", "mean_excess_kurtosis")], *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("isometry_error", 5), ("combined_score", 4))])
 
 
 @query(f"with {O.V} select (i - 1)::int as ch, {O.r6('sum(vec[i] * vec[i])', 'energy')} from v, unnest(range(1, 65)) as t(i) group by i")
@@ -579,6 +592,18 @@ def bit_allocations(spark, d):
     return spark.createDataFrame(rows, "kind string, region int, bits int")
 
 
+@query(lambda: Z.spectral_bits(B.SLOPE))
+def spectral_bits(spark, d):
+    bits = B.spectral(X.vectors(spark, d), 3.0)
+    return spark.createDataFrame(list(enumerate(bits)), "region int, bits int")
+
+
+@query(lambda: Z.layer_bits(B.SLOPE))
+def layer_bits(spark, d):
+    bits = B.per_layer(X.vectors(spark, d).withColumn("layer", F.col("label")))
+    return spark.createDataFrame([(int(k), b) for k, b in bits.items()], "layer int, bits int")
+
+
 @query(f"with {O.V} select count(*) * (64 * 2 / 8e0 + 8 + 4 + 4) + 128 as total, count(*) * 128e0 as original from v")
 def storage_bytes(spark, d):
     s = P.storage(X.vectors(spark, d).count(), D, 3)
@@ -608,9 +633,15 @@ def explained_variance(spark, d):
     return spark.createDataFrame(list(enumerate(Y.explained_variance(X.vectors(spark, d), 16))), "i int, share double")
 
 
-@query()
+@query(Z.head_rotations)
 def head_rotations(spark, d):
-    return Y.per_head_rotation(X.keys(spark, d)).select("h", "rotation")
+    return Y.per_head_rotation(X.keys(spark, d)).select("h", "rotation", r6(F.col("score"), "score"))
+
+
+@query(Z.rotation_counts)
+def rotation_counts(spark, d):
+    """Heads by the rotation that was chosen for them."""
+    return Y.rotation_counts(Y.per_head_rotation(X.keys(spark, d)))
 
 
 # Hypercomplex and geometric algebra
@@ -673,7 +704,7 @@ def rotor_sandwich(spark, d):
 _ROTOR = A.rotor(np.random.default_rng(5)).tolist()
 
 
-@query("select 1 as pair, true as zero union all select 2, false")
+@query(Z.zero_divisor_pairs)
 def zero_divisor_pairs(spark, d):
     e = np.eye(16)
     rows = [(1, (e[1] + e[10]).tolist(), (e[4] - e[15]).tolist()), (1, (e[1] + e[10]).tolist(), (e[5] + e[14]).tolist()), (2, e[1].tolist(), e[2].tolist())]
@@ -689,10 +720,11 @@ def distortion_parts(spark, d):
     return t.select("vec_id", Y.decomposition(vec(), F.col("y")).alias("p")).select("vec_id", *[r6(F.col(f"p.{c}"), c) for c in ("total", "magnitude", "phase")])
 
 
-@query()
+@query(Z.triplet_fidelity)
 def triplet_fidelity(spark, d):
-    t = X.keys(spark, d).select("b", "h", "s", F.slice("vec", 1, 8).alias("a"), F.slice(Q.Scalar(D, 3).round_trip(vec()), 1, 8).alias("q"))
-    return Y.fidelity_summary(t, 8)
+    t = X.keys(spark, d).withColumn("y", Q.Scalar(D, 3).round_trip(vec()))
+    f = Y.fidelity_summary(Y.in_blocks(t, 8, {"vec": "a", "y": "q"}, ("b", "h", "s")), 8, group=("b", "h", "block"))
+    return f.select(*[r6(F.col(c), c) for c in ("mean", "min", "max", "std", "mean_pre", "mean_post")], "n")
 
 
 @query(lambda: f"""with {_AB}, p as (select *, {_assoc_sql(('a', 'b', 'c'), '')} from a), q as (select *, case when c is not null then sqrt(list_sum([(l[i] - r[i]) * (l[i] - r[i]) for i in range(1, 9)])) / ({O.norm('a')} * {O.norm('b')} * {O.norm('c')} + 1e-8) end as x
@@ -703,7 +735,7 @@ def token_associators(spark, d):
     return Y.residual_associators(t, 8).select("h", "s", r6(F.col("value"), "value"))
 
 
-@query()
+@query(Z.zero_divisor_quartiles)
 def zero_divisor_quartiles(spark, d):
     t = X.vectors(spark, d).withColumn("y", Q.Scalar(D, 2).round_trip(vec())).withColumn("e", E.minus(vec(), F.col("y")))
     t = Y.zero_divisor_affinity(t.select("vec_id", F.col("e").alias("vec")).withColumn("err", E.dot(vec(), vec())))
@@ -733,42 +765,45 @@ def lattice_catalogue(spark, d):
     return catalog.barnes_wall(spark).select("dim", "roots")
 
 
-@query()
+@query(Z.method_catalogue)
 def method_catalogue(spark, d):
     return catalog.methods(spark, D)
 
 
-@query()
+@query(Z.evaluate_rotations)
 def evaluate_rotations(spark, d):
-    return evaluation.rotation_benchmark(X.vectors(spark, d), ("haar", "wht", "cd8", "hybrid"), (2, 3))
+    t = evaluation.rotation_benchmark(X.vectors(spark, d), ("haar", "wht", "cd8", "hybrid"), (2, 3))
+    return t.select("rotation", "elements", "bits", *[r6(F.col(c), c) for c in ("mse", "invertibility", "isometry")])
 
 
-@query()
+@query(Z.evaluate_quantizers)
 def evaluate_quantizers(spark, d):
-    return evaluation.quantizer_benchmark(X.vectors(spark, d), ("scalar", "e8", "z8_256"))
+    t = evaluation.quantizer_benchmark(X.vectors(spark, d), ("scalar", "e8", "z8_256"))
+    return t.select("quantizer", *[r6(F.col(c), c) for c in ("bits_per_dim", "mse", "bias", "rmse", "corr")])
 
 
-@query()
+@query(Z.evaluate_attention)
 def evaluate_attention(spark, d):
     k, q = key_queries(spark, d)
-    return evaluation.attention_fidelity(k, q, (3,))
+    return evaluation.attention_fidelity(k, q, (3,)).select("b", "h", *[r6(F.col(c), c) for c in ("cosine", "top1", "top5")], "bits")
 
 
-@query()
+@query(Z.evaluate_ablation)
 def evaluate_ablation(spark, d):
     k, q = key_queries(spark, d)
-    return evaluation.ablation(X.with_outliers(k, OUTLIERS), q)
+    t = evaluation.ablation(X.with_outliers(k, OUTLIERS), q)
+    return t.select("step", "b", "h", *[r6(F.col(c), c) for c in ("cosine", "top1", "top5")], "bytes")
 
 
-@query()
+@query(Z.evaluate_variants)
 def evaluate_variants(spark, d):
-    return evaluation.compare(X.vectors(spark, d), (3,))
+    return evaluation.compare(X.vectors(spark, d), (3,)).select("variant", "bits", r6(F.col("mse"), "mse"))
 
 
-@query()
+@query(Z.evaluate_cache)
 def evaluate_cache(spark, d):
     k = X.keys(spark, d)
-    return evaluation.compress_cache({0: (k, k), 1: (k, k)})
+    return evaluation.compress_cache({0: (k, k), 1: (k, k)}).select("layer", "kind", "n", r6(F.col("mse"), "mse"), "bytes")
 
 
 @query(lambda: f"with {O.V}, q as (select vec as q from v order by vec_id limit 1), n as (select vec_id, vec, {O.norm('vec')} as n from v), z as (select vec_id, n, {_deq_sql(3, '[x / n for x in vec]')} as z from n) select vec_id, {O.r6('n * ' + O.dot('q.q', 'z.z'), 'dot')} from z, q")
@@ -781,7 +816,7 @@ def dequantized_dots(spark, d):
     return t.select("vec_id", r6(F.col("n") * E.dot(first, q.dequantize(F.col("idx"))), "dot"))
 
 
-@query()
+@query(Z.hybrid_keys)
 def hybrid_keys(spark, d):
     c = P.KeyCompressor(D, 3, "hybrid", full_nsn=True)
     t = c.compress(X.keys(spark, d))
@@ -794,7 +829,7 @@ def structure_factors(spark, d):
     return spark.createDataFrame([(b, B.structure_factor(t, b)) for b in (8, 16)], "block int, factor double")
 
 
-@query()
+@query(Z.streamed_cache)
 def streamed_cache(spark, d):
     """Vectors streamed into a compressed cache, then scored against the first of them."""
     from ..streaming.cache import Cache
