@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_spans, narrow, pieces, read_table
+from .common import byte_spans, cut, narrow, pieces, read_table
 
 BLOCK = 192
 RATE = 8000
@@ -477,8 +477,8 @@ def feature(samples: np.ndarray) -> str:
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: the text stored as a FLAC stream, read back from the stored bytes, and described.
+def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media): each text's bytes, padded with spaces to a multiple of 192, as a FLAC stream; n_bytes is the unpadded length.
 
     Null and empty texts are 192 spaces. Long texts are coded in parts of CHUNK frames. Repeated rows
     are stored each, an empty table gives an empty table, other columns of docs are ignored.
@@ -488,18 +488,34 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         for batch in batches:
             raw, at = byte_spans(batch.column(1))
             for lo, hi in pieces(at, CHUNK * BLOCK):
-                texts = [padded(raw[at[i] : at[i + 1]]) for i in range(lo, hi)]
-                media = encode_many(texts)
-                back = decode_many(media)
+                media = encode_many([padded(raw[at[i] : at[i + 1]]) for i in range(lo, hi)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(at[lo : hi + 1])), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return narrow(docs, doc_id=F.col(doc_id).cast("long"), text=text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def describe(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) as stored -> DIGEST: the streams decoded, their checksums verified, and what the samples say. Equal streams give equal rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            streams = [m.as_py() for m in batch.column(2)]
+            ends = np.cumsum([0] + [len(m) for m in streams])
+            for lo, hi in pieces(ends, CHUNK * BLOCK):
                 rows = []
-                for i, m, x in zip(range(lo, hi), media, back, strict=True):
+                for m, x in zip(streams[lo:hi], decode_many(streams[lo:hi]), strict=True):
                     p = (x + 128).astype(np.uint8).tobytes()
-                    rows.append((int(at[i + 1] - at[i]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(x)))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(x)))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *cols], names=[c.split()[0] for c in DIGEST.split(", ")])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
 
-    return narrow(docs, doc_id=F.col(doc_id).cast("long"), text=text).mapInArrow(run, DIGEST)
+
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: its text stored as a FLAC stream in a table of the shared folder, read back from there, and described. Edge cases are those of store()."""
+    return describe(cut(store(docs, doc_id, text)))
 
 
 def pcm_blocks(streams: DataFrame, key: str = "doc_id", media: str = "media", samples: int = 4096) -> DataFrame:
@@ -534,17 +550,8 @@ def pcm_blocks(streams: DataFrame, key: str = "doc_id", media: str = "media", sa
 
 
 def encode_column(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, media): each text, padded with spaces to a multiple of 192 bytes, as a FLAC stream."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = byte_spans(batch.column(1))
-            for lo, hi in pieces(at, CHUNK * BLOCK):
-                media = encode_many([padded(raw[at[i] : at[i + 1]]) for i in range(lo, hi)])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(media, pa.binary())], names=["doc_id", "media"])
-
-    return narrow(docs, doc_id=doc_id, text=text).mapInArrow(run, f"doc_id {kind}, media binary")
+    """(doc_id, media) of store()."""
+    return store(docs, doc_id, text).select("doc_id", "media")
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

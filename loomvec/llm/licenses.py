@@ -25,17 +25,52 @@ from .common import byte_spans, narrow, pieces, read_table
 #: The base phrases of the contract and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Own templates: label -> wording. Words are compared after lower-casing A-Z, punctuation is not.
+#: The wording of public licenses and of their standard notices, with what may be left out in [[ ]] and what
+#: may be replaced in {{ }}. Words are compared after lower-casing A-Z; punctuation, bullets and line breaks aren't.
+GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+BSD_1 = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+BSD_2 = "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_3 = "[[3]] neither the name of {{holder:1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_END = "this software is provided by {{holder:1-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{holder:1-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
+
+def notice(kind: str, version: str, later: bool) -> str:
+    """The standard notice of a GNU license; `kind` stands before "general public license"."""
+    end = f"either version {version} of the license or at your option any later version" if later else f"version {version} [[of the license]] only"
+    return f"is free software you can redistribute it and or modify it under the terms of the gnu {kind} general public license as published by the free software foundation {end}"
+
+
 TEMPLATES = {
+    "mit": f"{GRANT} {WARRANTY}",
+    "mit-grant": GRANT.split(" including without limitation")[0],
+    "mit-release": "[[{{what:0-4}} is]] released under the [[terms of the]] mit license",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd-2-clause": f"{BSD_1} {BSD_2} {BSD_END}",
+    "bsd-3-clause": f"{BSD_1} {BSD_2} {BSD_3} {BSD_END}",
+    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "apache-2.0": "licensed under the apache license [[version]] 2 0 [[the license]]",
-    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license [[you may obtain a copy of the license at {{address:1-8}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied]]",
+    "gpl-2.0-or-later": notice("", "2", True),
+    "gpl-3.0-or-later": notice("", "3", True),
+    "gpl-2.0-only": notice("", "2", False),
+    "gpl-3.0-only": notice("", "3", False),
+    "lgpl-2.1-or-later": notice("lesser", "2 1", True),
+    "lgpl-3.0-or-later": notice("lesser", "3", True),
+    "agpl-3.0-or-later": notice("affero", "3", True),
     "gpl-3.0": "[[this]] {{work:0-3}} is licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 3 [[or later]]",
     "gpl-2.0": "[[this]] {{work:0-3}} is licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 2 [[or later]]",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[{{address:1-6}}]]",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license [[v]] 2 0",
+    "bsl-1.0": "distributed under the boost software license version 1 0",
     "cc-by-nc-4.0": "licensed under [[a]] [[creative commons]] cc by nc 4 0 [[international]]",
+    "cc-by-sa-4.0": "licensed under [[a]] [[creative commons]] cc by sa 4 0 [[international]]",
     "cc-by-4.0": "licensed under [[a]] [[creative commons]] cc by 4 0 [[international]]",
-    "mit-release": "[[{{what:0-4}} is]] released under the [[terms of the]] mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "cc-by-4.0-notice": "licensed under [[a]] [[the]] creative commons attribution 4 0 international [[public]] [[license]]",
+    "cc-by-sa-4.0-notice": "licensed under [[a]] [[the]] creative commons attribution sharealike 4 0 international [[public]] [[license]]",
+    "cc0-1.0": "to the extent possible under law {{who:1-10}} waived all copyright and related or neighboring rights to",
     "all-rights-reserved": "copyright [[c]] {{year:1-2}} {{holder:0-6}} all rights reserved",
 }
 
@@ -172,8 +207,9 @@ DIGEST = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per row of docs with its words, base places and labels.
 
-    score is 1 where a template is accepted, 0.5 where only a base phrase stands, else 0. Null and
-    empty texts have no words and score 0; repeated rows are scanned each; an empty table gives an
+    score is 1 where a template is accepted, 0.5 where only a base phrase stands, else 0. Of several
+    places of a template the longest counts, and equal ones are one label. Null and empty texts have no
+    words and score 0; texts of any length are scanned whole, repeated rows each; an empty table gives an
     empty table; other columns of docs are ignored. Work on a text is linear in its length.
     """
     automata = [compile_template(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]

@@ -114,6 +114,15 @@ def test_digests_and_pcm_blocks(spark):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
     assert got[5]["media_sha256"] == got[6]["media_sha256"] and got[5]["feature"] == got[6]["feature"]
+    stored = {r["doc_id"]: r["media"] for r in M.encode_column(t).collect()}
+    for i, x in enumerate(texts):  # a second implementation: the plain decoder, and the feature by hand
+        raw = (x or "").encode()
+        p = np.frombuffer(raw + b" " * (-len(raw) % 192 if raw else 192), np.uint8).astype(int) - 128
+        if len(raw) < 2000:
+            assert (np.concatenate([y[0] for _, _, y in M.decode_blocks(stored[i])]) == p).all()
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(p[:-1], p[1:], strict=True))
+        assert got[i]["feature"] == f"n={len(p)};mean={sum(p) / len(p):.4f};rms={(sum(p * p) / len(p)) ** 0.5:.4f};peak={max(abs(p))};zc={crossings}"
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
     blocks = M.pcm_blocks(M.encode_column(t.where("doc_id = 4")), samples=500).orderBy("block").collect()
     pcm = b"".join(b["pcm"] for b in blocks)
     assert (np.frombuffer(pcm, np.int8).astype(int) + 128).astype(np.uint8).tobytes().rstrip(b" ") == texts[4].encode()

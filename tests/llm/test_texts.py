@@ -371,6 +371,29 @@ def test_base_places_against_brute_force(spark):
     assert L.scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+NOTICES = {
+    "gpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-or-later": "foo is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n3. Neither the name of the Example Foundation nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+}
+
+
+def test_standard_notices_are_accepted_and_altered_ones_are_not():
+    automata = [L.compile_template(k, v) for k, v in L.TEMPLATES.items()]
+    low = lambda t: t.lower().encode()
+    for label, text in NOTICES.items():
+        assert label in L.find_templates(low("Intro. " + text + " outro"), automata, L.COMMON), label
+        words = text.split(" ")
+        assert label not in L.find_templates(low(" ".join([*words[:-3], "never", *words[-3:]])), automata, L.COMMON), label
+    assert "gpl-3.0-only" not in L.find_templates(low(NOTICES["gpl-3.0-or-later"]), automata, L.COMMON)
+    long = ("word " * 200_000 + NOTICES["isc"] + " tail" * 200_000).lower().encode()
+    assert set(L.find_templates(long, automata, L.COMMON)) == {"isc"}
+
+
 @pytest.mark.parametrize(("text", "n"), [("a b d", 3), ("a b c d", 4), ("a b x d", 0), ("a d", 0), ("a b c x d", 0), ("z a b d", 0)])
 def test_optional_regions(text, n):
     assert L.compile_template("t", "a b [[c]] d").accepts_from([w.encode() for w in text.split()], 0) == n
