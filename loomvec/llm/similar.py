@@ -1,12 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash, carried on to a Jaccard similarity of word shingles.
 
-Texts with equal sets of shingles are one text. Candidates meet in bands of MinHash values: at the
+Texts whose fingerprints SimHash links are one group. Fingerprints of 64 bits can't hold apart what has
+a Jaccard similarity of 0.8 (about ten bits differ), so one text of each group goes on: candidates meet in bands of MinHash values: at the
 bound of similarity a pair shares one of BANDS bands of ROWS values with probability
 1 - (1 - 0.8 ** 5) ** 24 = 0.9999 at 0.8. Every candidate is then verified on the whole sets of shingles.
 
-A band's texts are first compared with the first of them only. What that links is settled; where a
-band holds more than one component afterwards, all pairs of different components are compared too,
-so large groups of near copies cost a comparison a text and nothing that a band holds is left out.
+A band's texts are first compared with one of them only, the one that meets most texts over all its
+bands: of near copies that is the text they were made of, or one close to it. What that links is
+settled; where a band holds more than one component afterwards, all pairs of different components are
+compared too, so large groups of near copies cost about a comparison a text and nothing that a band
+holds is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_spans, cut, drop_cut, narrow, private
 from .components import components
-from .simhash import _IS_SPACE, _LOWER
+from .simhash import _IS_SPACE, _LOWER, fingerprint_many, links
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 5
@@ -54,23 +57,23 @@ def least_hashes(grams: np.ndarray) -> np.ndarray:
 
 
 def sketches(t: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row, same, sig, bands) of (doc_id, row, text): same is equal for equal sets; sets without shingles have no bands."""
+    """(doc_id, row, fp, sig, bands) of (doc_id, row, text): the fingerprint, MinHash values in a byte each, and bands; sets without shingles have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = byte_spans(b.column(2))
-            same, sig, bands = [], [], []
+            sig, bands = [], []
+            fp = pa.array(fingerprint_many(raw, at, words).view(np.int64))
             for i in range(b.num_rows):
                 g = shingles(raw[at[i] : at[i + 1]], words)
                 least = least_hashes(g)
-                same.append(xxhash.xxh3_128_digest(g.tobytes()))
                 sig.append(least.astype(np.uint8).tobytes())
                 bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))] if len(g) else [])
             flat = pa.array(np.array([x for y in bands for x in y], np.uint64).view(np.int64))
             ends = pa.array(np.cumsum([0] + [len(y) for y in bands]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "row", "same", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array(sig, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "row", "fp", "sig", "bands"])
 
-    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, row long, same binary, sig binary, bands array<long>")
+    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, row long, fp long, sig binary, bands array<long>")
 
 
 def verified(t: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -145,9 +148,10 @@ def rest_pairs(met: DataFrame, similarity: float) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs less all but one of each component of similar texts: the row of the least doc_id, of equal ones the first.
 
-    Two texts are linked if the Jaccard similarity of their sets of shingles of `words` words is at
-    least `similarity`. Null, empty and blank texts are equal to each other; rows without an id come
-    last. An empty table gives an empty table.
+    Two texts are linked if their SimHash fingerprints over `words` words are, or if the Jaccard
+    similarity of their sets of shingles is at least `similarity`. Null, empty and blank texts are equal
+    to each other; rows without an id come last; of equal ids the first row stays. Texts of any length
+    are taken whole. An empty table gives an empty table; other columns pass through.
     """
     names = docs.columns
     key = private(names, "row")
@@ -155,13 +159,22 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     t = narrow(whole, doc_id=doc_id, row=key, text=text)
     s = cut(sketches(t, words))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    firsts = cut(s.groupBy("same").agg(F.min(order).alias("one")).select(F.col("one.no_id").alias("no_id"), F.col("one.doc_id").alias("doc_id"), F.col("one.row").alias("first")))
+    groups = components(links(s.select("fp").distinct())).select("node", F.col("root").alias("group"))
+    least = cut(s.groupBy("fp").agg(F.min(order).alias("one")))
+    by_group = least.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("group", "fp").alias("group"))
+    firsts = cut(by_group.agg(F.min("one").alias("one")).select(F.col("one.no_id").alias("no_id"), F.col("one.doc_id").alias("doc_id"), F.col("one.row").alias("first")))
     once = s.join(firsts.select("first"), F.col("row") == F.col("first"), "left_semi")
     bands = cut(once.select("row", F.explode("bands").alias("band")))
-    shared = bands.groupBy("band").agg(F.min("row").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("band2"), "lead")
-    met = cut(bands.join(shared, F.col("band") == F.col("band2")).select("band", "row", "lead"))
+    counts = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("band2"), "n")
+    several = cut(bands.join(counts, F.col("band") == F.col("band2")).select("band", "row", "n"))
+    # The lead of a band is the row that meets most others over all its bands.
+    degree = several.groupBy("row").agg(F.sum("n").alias("degree")).withColumnRenamed("row", "row2")
+    known = several.join(degree, F.col("row") == F.col("row2")).select("band", "row", "degree")
+    shared = known.groupBy("band").agg(F.max_by("row", F.struct("degree", -F.col("row"))).alias("lead")).withColumnRenamed("band", "band2")
+    met = cut(several.join(shared, F.col("band") == F.col("band2")).select("band", "row", "lead"))
+    drop_cut(several)
     drop_cut(bands)
-    near = verified(t, cut(met.where("row > lead").select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct()), words, similarity)
+    near = verified(t, cut(met.where("row <> lead").select(F.greatest("row", "lead").alias("a"), F.least("row", "lead").alias("b")).distinct()), words, similarity)
     roots = components(near).select(F.col("node"), F.col("root"))
     met = met.join(roots, F.col("row") == F.col("node"), "left").select("band", "row", "lead", F.coalesce("root", "row").alias("root"))
     open_ = met.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select(F.col("band").alias("band2"))
