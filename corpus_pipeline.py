@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import mixing, packing, secrets, simhash, similar, toxicity
+from loomvec.llm import mixing, packing, secrets, similar, toxicity
 from loomvec.llm.common import cut, private, read_table
 
 
@@ -27,11 +27,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least id.
 
-    Groups by SimHash over five words first: copies and the nearest of near copies. Fingerprints of 64
-    bits can't hold apart what has a similarity of 0.8 (about ten bits differ), so what is left is then
-    grouped by the Jaccard similarity of its five-word shingles, 0.8 or more, verified on whole texts.
+    Groups are SimHash's over five words: copies and the nearest of near copies. Fingerprints of 64 bits
+    can't hold apart what has a similarity of 0.8 (about ten bits differ), so groups are also linked by
+    the Jaccard similarity of five-word shingles, 0.8 or more, verified on whole texts.
     """
-    return similar.keep_one(cut(simhash.keep_one(docs, words=similar.WORDS)))
+    return similar.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
