@@ -109,9 +109,11 @@ class KeyCompressor:
     use_nsn: bool = True
     full_nsn: bool = False
     mean: list[float] | None = None
+    use_qjl: bool = True
 
     def __post_init__(self) -> None:
-        self.mse = Mse(self.d, max(1, self.bits - 1), self.rotation, self.quantizer, self.seed)
+        # Without a sketch its bit goes to the quantizer.
+        self.mse = Mse(self.d, max(1, self.bits - 1) if self.use_qjl else self.bits, self.rotation, self.quantizer, self.seed)
         self.sketch = sketch_matrix(self.d, self.d, self.seed + 10_000)
 
     def compress(self, keys: DataFrame, column: str = "vec") -> DataFrame:
@@ -123,7 +125,10 @@ class KeyCompressor:
         self.mse.fit(t, "_x")
         t = t.withColumn("idx", self.mse.quant.quantize(self.mse.rot.column(F.col("_x")))) if hasattr(self.mse.quant, "quantize") else t.withColumn("points", self.mse.quant.round_trip(self.mse.rot.column(F.col("_x"))))
         t = self._rebuild(t)
-        t = t.withColumn("k_mse", F.transform("k_mse", lambda x: E.clamp(x))).withColumn("_r", E.minus(F.col(column), F.col("k_mse")))
+        t = t.withColumn("k_mse", F.transform("k_mse", lambda x: E.clamp(x)))
+        if not self.use_qjl:
+            return t.withColumn("residual_norm", F.lit(0.0)).withColumn("sign_words", F.lit(None).cast("array<long>")).drop("_x")
+        t = t.withColumn("_r", E.minus(F.col(column), F.col("k_mse")))
         t = t.withColumn("residual_norm", E.clamp(E.norm(F.col("_r"))))
         return t.withColumn("sign_words", E.pack_signs(sketch_signs(F.col("_r"), self.sketch), self.d)).drop("_r", "_x")
 
@@ -145,6 +150,8 @@ class KeyCompressor:
 
     def scores(self, queries: DataFrame, compressed: DataFrame, on: tuple[str, ...] = ("b", "h")) -> DataFrame:
         """(on, q_id, k_id, score) for queries (on, q_id, q) and compressed keys (on, k_id, ...): an equi join on the group, S q computed before it."""
+        if not self.use_qjl:
+            return queries.join(compressed.select(*on, "k_id", "k_mse"), list(on)).select(*on, "q_id", "k_id", E.dot(F.col("q"), F.col("k_mse")).alias("score"))
         q = queries.withColumn("q_proj", R.apply_matrix(self.sketch)(F.col("q")))
         k = compressed.select(*on, "k_id", "k_mse", "sign_words", "residual_norm")
         t = q.join(k, list(on))

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from ..operators.compressors import KeyCompressor, ValueCompressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import expr as E
+from ..operators import allocation as B
+from ..operators import normalize as N
+from ..operators.compressors import KeyCompressor, Mse, ValueCompressor, tower_transform
 
 
 @dataclass(frozen=True)
@@ -20,7 +26,21 @@ class Preset:
     max_level_bits: int = 5
 
     def keys(self, d: int, seed: int = 42) -> KeyCompressor:
-        return KeyCompressor(d, self.bits, self.rotation, self.quantizer, seed)
+        """Keys with a sketch of the residual if the preset has one. `adaptive` and `hierarchical` are what restored() does; use_sign_packing is how many bytes a sign takes (sign_bytes)."""
+        return KeyCompressor(d, self.bits, self.rotation, self.quantizer, seed, use_qjl=self.use_qjl)
+
+    def sign_bytes(self, d: int) -> int:
+        """Bytes of a key's signs: none without a sketch, packed or one byte a sign."""
+        return 0 if not self.use_qjl else E.packed_bytes(d) if self.use_sign_packing else E.unpacked_bytes(d)
+
+    def restored(self, df: DataFrame, d: int, column: str = "vec", out: str = "restored", seed: int = 42) -> DataFrame:
+        """df with vectors through the preset's quantizer and back: by levels of a tower where it is hierarchical, scaled to the vector afterwards where it is adaptive."""
+        if self.hierarchical:
+            bits = B.tower_bits(d, self.bits * d, self.min_level_bits, self.max_level_bits)
+            t = tower_transform(df, bits, column, out, seed)
+        else:
+            t = Mse(d, self.bits, self.rotation, self.quantizer, seed).fit(df, column).transform(df, column, out)
+        return t.withColumn(out, N.adaptive_scale(F.col(column), F.col(out))) if self.adaptive else t
 
     def values(self, d: int, seed: int = 142) -> ValueCompressor:
         return ValueCompressor(d, self.bits, self.rotation, self.quantizer, seed)
@@ -68,8 +88,8 @@ class CachePreset:
 
 
 def per_axis(key_bits: int = 2, value_bits: int = 2) -> CachePreset:
-    return CachePreset(Preset(bits=key_bits, use_qjl=False), Preset(bits=value_bits, use_qjl=False))
+    return CachePreset(Preset(bits=key_bits), Preset(bits=value_bits, use_qjl=False))
 
 
 def enhanced(key_bits: int = 3, value_bits: int = 3) -> CachePreset:
-    return CachePreset(Preset(bits=key_bits), Preset(bits=value_bits, use_qjl=False))
+    return CachePreset(Preset(bits=key_bits, use_qjl=key_bits <= 3), Preset(bits=value_bits, use_qjl=False))
