@@ -835,7 +835,11 @@ def streamed_cache(spark, d):
     from ..streaming.cache import Cache
 
     t = spark.read.parquet(f"{d}/embeddings.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomvec-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="loomvec-")
     path = f"{shared.rstrip('/')}/cache-{uuid.uuid4().hex}"
     source = spark.readStream.schema(t.schema).parquet(f"{d}/embeddings.parquet*")
     x = E.doubles(F.col("embedding"))
