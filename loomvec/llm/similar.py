@@ -9,7 +9,8 @@ A band's texts are first compared with one of them only, the one that meets most
 bands: of near copies that is the text they were made of, or one close to it. What that links is
 settled; where a band holds more than one component afterwards, all pairs of different components are
 compared too, so large groups of near copies cost about a comparison a text and nothing that a band
-holds is left out.
+holds is left out. Those pairs are judged by samples of the sets first (`may_be_similar`), in blocks of
+rows, so that a task never holds a whole large band; what the samples don't rule out is verified.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from .simhash import _IS_SPACE, _LOWER, fingerprint_many, links
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 5
-#: Pairs whose MinHash values agree less than the similarity by this much, five deviations, aren't candidates.
-SLACK = 0.2
+#: Places of a sample: the least hash of each of so many equal ranges, in a byte; 0 where a range is empty.
+PLACES = 512
+#: A pair whose samples agree less than a similar pair's by more than so many standard deviations isn't verified.
+DEVIATIONS = 5
+#: Rows of a band that a task compares with as many others.
+BLOCK = 4096
 
 _RNG = np.random.default_rng(SEED)
 _FLIP = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64)[:, None]
@@ -56,24 +61,51 @@ def least_hashes(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+_EDGES = (np.arange(PLACES, dtype=np.uint64) * np.uint64(2**64 // PLACES)).astype(np.uint64)
+
+
+def sample_of(grams: np.ndarray) -> np.ndarray:
+    """The sample (uint8) of a set of sorted hashes."""
+    out = np.zeros(PLACES, np.uint8)
+    at = np.searchsorted(grams, _EDGES)
+    some = at < np.append(at[1:], len(grams))
+    out[some] = grams[at[some]] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def may_be_similar(sample: np.ndarray, size: int, samples: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the sets may be similar to one, by sizes and samples.
+
+    A place that is filled in either sample shows a random element of the union, so among the filled
+    places the common elements are hypergeometric: as many as the similarity says, less deviations that
+    vanish where every element has a place of its own. Bytes that are equal by chance only add to them.
+    """
+    filled = ((samples | sample) != 0).sum(axis=1)
+    common = ((samples == sample) & (samples != 0)).sum(axis=1)
+    union = (sizes + size) / (1 + similarity)
+    spread = np.sqrt(filled * similarity * (1 - similarity) * np.clip(1 - filled / union, 0, None))
+    return (np.minimum(sizes, size) + 1e-9 >= similarity * np.maximum(sizes, size)) & (common + 1e-9 >= similarity * filled - DEVIATIONS * spread)
+
+
 def sketches(t: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row, fp, sig, bands) of (doc_id, row, text): the fingerprint, MinHash values in a byte each, and bands; sets without shingles have no bands."""
+    """(doc_id, row, fp, size, sample, bands) of (doc_id, row, text): the fingerprint, the size and the sample of the set, and bands; sets without shingles have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = byte_spans(b.column(2))
-            sig, bands = [], []
+            size, sample, bands = [], [], []
             fp = pa.array(fingerprint_many(raw, at, words).view(np.int64))
             for i in range(b.num_rows):
                 g = shingles(raw[at[i] : at[i + 1]], words)
                 least = least_hashes(g)
-                sig.append(least.astype(np.uint8).tobytes())
+                size.append(len(g))
+                sample.append(sample_of(g).tobytes())
                 bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))] if len(g) else [])
             flat = pa.array(np.array([x for y in bands for x in y], np.uint64).view(np.int64))
             ends = pa.array(np.cumsum([0] + [len(y) for y in bands]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array(sig, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "row", "fp", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array(size, pa.int64()), pa.array(sample, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "row", "fp", "size", "sample", "bands"])
 
-    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, row long, fp long, sig binary, bands array<long>")
+    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, row long, fp long, size long, sample binary, bands array<long>")
 
 
 def verified(t: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -107,42 +139,44 @@ def verified(t: DataFrame, pairs: DataFrame, words: int, similarity: float) -> D
 
 
 def rest_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of (band, row, lead, root, sig): pairs of one band and of different roots, less those with the lead."""
-    least = (similarity - SLACK) * BANDS * ROWS
+    """(a, b) of (band, row, lead, root, n, size, sample), n the rows of the band: pairs of one band and of different roots that may be similar, less those with the lead."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        band, i, j, side, row, lead, root, size = (t.column(k).to_numpy() for k in ("band", "i", "j", "side", "row", "lead", "root", "size"))
+        sample = np.frombuffer(b"".join(t.column("sample").to_pylist()), np.uint8).reshape(len(row), -1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        new = (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        heads = np.append(np.flatnonzero(np.concatenate([[True], new])), len(band))
+        for lo, hi in zip(heads[:-1], heads[1:], strict=True):
+            for k in range(lo, hi - 1):
+                if row[k] == lead[k]:
+                    continue
+                at = np.flatnonzero((root[k + 1 : hi] != root[k]) & (row[k + 1 : hi] != lead[k]) & ((i[k] == j[k]) | (side[k + 1 : hi] != side[k]))) + k + 1
+                at = at[may_be_similar(sample[k], size[k], sample[at], size[at], similarity)]
+                a.append(np.maximum(row[at], row[k]))
+                b.append(np.minimum(row[at], row[k]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(t: pa.Table) -> pa.RecordBatch:
-            band, row, lead, root = (t.column(k).to_numpy() for k in ("band", "row", "lead", "root"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(row), -1)
-            a, b = [], []
-            heads = np.append(np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])), len(band))
-            for lo, hi in zip(heads[:-1], heads[1:], strict=True):
-                for i in range(lo, hi - 1):
-                    at = np.flatnonzero((root[i + 1 : hi] != root[i]) & (row[i + 1 : hi] != lead[i])) + i + 1
-                    if row[i] == lead[i] or not len(at):
-                        continue
-                    at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
-                    a.append(np.maximum(row[at], row[i]))
-                    b.append(np.minimum(row[at], row[i]))
-            none = [np.zeros(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], names=["a", "b"])
-
         carry: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             carry = t if carry is None else pa.concat_tables([carry, t])
             if not len(carry):
                 continue
-            # The last band may go on in the next batch.
-            band = carry.column("band").to_numpy()
-            other = np.flatnonzero(band != band[-1])
+            # The last two blocks may go on in the next batch; they are of bounded size.
+            band, i, j = (carry.column(k).to_numpy() for k in ("band", "i", "j"))
+            other = np.flatnonzero((band != band[-1]) | (i != i[-1]) | (j != j[-1]))
             if len(other):
                 yield work(carry.slice(0, int(other[-1]) + 1))
                 carry = carry.slice(int(other[-1]) + 1)
         if carry is not None and len(carry):
             yield work(carry)
 
-    return met.repartition("band").sortWithinPartitions("band", "row").mapInArrow(run, "a long, b long").distinct()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    dealt = met.withColumn("side", F.pmod(F.xxhash64("row"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "row", "lead", "root", "size", "sample")
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "row").mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -177,8 +211,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     near = verified(t, cut(met.where("row <> lead").select(F.greatest("row", "lead").alias("a"), F.least("row", "lead").alias("b")).distinct()), words, similarity)
     roots = components(near).select(F.col("node"), F.col("root"))
     met = met.join(roots, F.col("row") == F.col("node"), "left").select("band", "row", "lead", F.coalesce("root", "row").alias("root"))
-    open_ = met.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select(F.col("band").alias("band2"))
-    left = met.join(open_, F.col("band") == F.col("band2"), "left_semi").join(s.select(F.col("row").alias("row2"), "sig"), F.col("row") == F.col("row2")).select("band", "row", "lead", "root", "sig")
+    open_ = met.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select(F.col("band").alias("band2"), "n")
+    left = met.join(open_, F.col("band") == F.col("band2")).join(s.select(F.col("row").alias("row2"), "size", "sample"), F.col("row") == F.col("row2")).select("band", "row", "lead", "root", "n", "size", "sample")
     more = verified(t, cut(rest_pairs(left, similarity)), words, similarity)
     roots = components(near.unionByName(more))
     ends = firsts.join(roots, F.col("first") == F.col("node"), "left").groupBy(F.coalesce("root", "first")).agg(F.min(F.struct("no_id", "doc_id", F.col("first").alias("row"))).alias("one"))

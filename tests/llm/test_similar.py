@@ -54,3 +54,29 @@ def test_stage_keeps_what_brute_force_keeps(spark):
 def test_ids_and_an_empty_table(spark):
     t = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f"), (3, "a b c d e f"), (None, "x y z"), (5, None), (4, "")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in N.keep_one(t).collect()) == ["3", "4", "None"] and N.keep_one(t.limit(0)).count() == 0
+
+
+def test_samples_keep_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 10, 40, 160, 600, 5000):
+        for _ in range(60):
+            union = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            common = -(-8 * len(union) // 10)
+            order = rng.permutation(len(union))
+            cut = common + int(rng.integers(0, len(union) - common + 1))
+            a, b = np.sort(union[order[:cut]]), np.sort(union[np.concatenate([order[:common], order[cut:]])])
+            assert N.may_be_similar(N.sample_of(a), len(a), N.sample_of(b)[None], np.array([len(b)]), 0.8).all()
+    a, b = (np.unique(rng.integers(0, 2**64, 300, np.uint64)) for _ in range(2))
+    assert not N.may_be_similar(N.sample_of(a), len(a), N.sample_of(b)[None], np.array([len(b)]), 0.8).any()
+
+
+def test_blocks_of_a_band_meet_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**64, 100, np.uint64))
+    sets = [np.sort(np.append(rng.permutation(base)[:97], rng.integers(0, 2**64, 1, np.uint64))) for _ in range(40)]
+    rows = [(7, k, 0, k // 2, 40, len(g), bytearray(N.sample_of(g).tobytes())) for k, g in enumerate(sets)]
+    t = spark.createDataFrame(rows, "band long, row long, lead long, root long, n long, size long, sample binary")
+    want = {(a, b) for a in range(1, 40) for b in range(1, a) if a // 2 != b // 2}
+    for block in (4096, 7):
+        monkeypatch.setattr(N, "BLOCK", block)
+        assert {(r["a"], r["b"]) for r in N.rest_pairs(t, 0.8).collect()} == want
