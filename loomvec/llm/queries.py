@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, flac, licenses, mixing, packing, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
+from . import collocations, flac, licenses, mixing, packing, pii, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": topk.op8_topk,
         "op9_flac": flac.op9_flac,
         "op10_licenses": licenses.op10_licenses,
+        "op12_pii": pii.op12_pii,
         "op13_collocations": collocations.op13_collocations,
     }
 
