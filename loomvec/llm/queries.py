@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, flac, licenses, mixing, packing, pii, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
+from . import collocations, flac, licenses, mixing, negatives, packing, pii, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": topk.op8_topk,
         "op9_flac": flac.op9_flac,
         "op10_licenses": licenses.op10_licenses,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
         "op12_pii": pii.op12_pii,
         "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op5_secrets": secrets.op5_sql(), "op8_topk": topk.OP8_SQL, "op13_collocations": collocations.OP13_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op5_secrets": secrets.op5_sql(), "op8_topk": topk.OP8_SQL, "op11_hard_negatives": negatives.OP11_SQL, "op13_collocations": collocations.OP13_SQL}
