@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from loomvec.llm import similar as N
+from loomvec.llm import simhash
 
 
 def gram_set(text, words=5):
@@ -56,27 +57,60 @@ def test_ids_and_an_empty_table(spark):
     assert sorted(str(r["doc_id"]) for r in N.keep_one(t).collect()) == ["3", "4", "None"] and N.keep_one(t.limit(0)).count() == 0
 
 
-def test_samples_keep_similar_sets():
+def test_a_text_between_two_groups_links_them(spark):
+    """A and B differ in one bit of their fingerprints, B and C are similar sets, A and C aren't: all three are one component."""
+    rng, found = np.random.default_rng(8), False
+    for _ in range(400):
+        b = [f"w{x}" for x in rng.integers(0, 5000, 1000)]
+        a, c = list(b), list(b)
+        at = int(rng.integers(0, 900))
+        a[at : at + 2] = ["alpha", "beta"]
+        for k in rng.choice(np.arange(10, 990), 24, replace=False):
+            c[int(k)] = f"new{k}"
+        fp = [simhash.fingerprint_many(np.frombuffer(x, np.uint8), np.array([0, len(x)]), 5)[0] for x in (" ".join(t).encode() for t in (a, b))]
+        sets = [gram_set(" ".join(t)) for t in (a, b, c)]
+        jaccard = lambda x, y: len(x & y) / len(x | y)
+        if bin(int(fp[0]) ^ int(fp[1])).count("1") <= 2 and jaccard(sets[1], sets[2]) >= 0.8 > jaccard(sets[0], sets[2]):
+            found = True
+            break
+    assert found
+    for order in ((a, b, c), (b, a, c), (c, b, a)):
+        t = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(order)], "doc_id long, text string")
+        assert [r["doc_id"] for r in N.keep_one(t).collect()] == [0]
+
+
+def test_intersections():
     rng = np.random.default_rng(3)
-    for n in (1, 2, 3, 5, 10, 40, 160, 600, 5000):
-        for _ in range(60):
-            union = np.unique(rng.integers(0, 2**64, n, np.uint64))
-            common = -(-8 * len(union) // 10)
-            order = rng.permutation(len(union))
-            cut = common + int(rng.integers(0, len(union) - common + 1))
-            a, b = np.sort(union[order[:cut]]), np.sort(union[np.concatenate([order[:common], order[cut:]])])
-            assert N.may_be_similar(N.sample_of(a), len(a), N.sample_of(b)[None], np.array([len(b)]), 0.8).all()
-    a, b = (np.unique(rng.integers(0, 2**64, 300, np.uint64)) for _ in range(2))
-    assert not N.may_be_similar(N.sample_of(a), len(a), N.sample_of(b)[None], np.array([len(b)]), 0.8).any()
-
-
-def test_blocks_of_a_band_meet_each_other(spark, monkeypatch):
+    for left, right, most in ((1, 3, 20), (30, 40, 300), (5, 9, 20_000), (4, 5, 1)):
+        sets = [np.unique(rng.integers(0, most * 2, rng.integers(0, most + 1))).astype(np.uint64) for _ in range(left + right)]
+        want = [[len(set(x.tolist()) & set(y.tolist())) for y in sets[left:]] for x in sets[:left]]
+        assert N.intersections(sets[:left], sets[left:]).tolist() == want
+
+
+def test_blocks_of_a_band_meet_each_other(spark):
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 2**64, 100, np.uint64))
     sets = [np.sort(np.append(rng.permutation(base)[:97], rng.integers(0, 2**64, 1, np.uint64))) for _ in range(40)]
-    rows = [(7, k, 0, k // 2, 40, len(g), bytearray(N.sample_of(g).tobytes())) for k, g in enumerate(sets)]
-    t = spark.createDataFrame(rows, "band long, row long, lead long, root long, n long, size long, sample binary")
-    want = {(a, b) for a in range(1, 40) for b in range(1, a) if a // 2 != b // 2}
-    for block in (4096, 7):
-        monkeypatch.setattr(N, "BLOCK", block)
-        assert {(r["a"], r["b"]) for r in N.rest_pairs(t, 0.8).collect()} == want
+    far = np.unique(rng.integers(0, 2**64, 100, np.uint64))
+    rows = [(7, i, j, minor, k, k // 2, bytearray(sets[k].astype("<u8").tobytes())) for i in range(2) for j in range(2) for minor in (True, False) for k in range(40) if k % 2 == (i if minor else j)]
+    rows += [(9, 0, 0, True, 100, 100, bytearray(far.astype("<u8").tobytes())), (9, 0, 0, False, 0, 0, bytearray(sets[0].astype("<u8").tobytes()))]
+    t = spark.createDataFrame(rows, "band long, i long, j long, minor boolean, row long, root long, grams binary")
+    found = {(r["node"], r["root"]) for r in N.components(N.block_links(t, 0.8)).collect()}
+    assert found == {(k, 0) for k in range(40)}
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Near copies that aren't near their lead, in small blocks."""
+    monkeypatch.setattr(N, "BLOCK", 5)
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{x}" for x in rng.integers(0, 3000, 200)], []
+    for family in range(8):
+        parent = list(base)
+        for at in rng.choice(200, 7, replace=False):
+            parent[int(at)] = f"f{family}x{at}"
+        for k in range(6):
+            child = list(parent)
+            child[int(rng.integers(0, 200))] = f"c{family}x{k}"
+            rows.append((len(rows), " ".join(child)))
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in N.keep_one(t).collect()} == brute_kept(rows)
