@@ -4,7 +4,9 @@ Base spans are matches of three patterns. The method adds weak candidates, which
 user or key identifiers, short or unlabelled secret-like strings (padded or not), secrets under a longer
 label, and endpoints. An interval join
 within a scope (a window of code points of one document) reports a weak candidate only where a part
-of another role stands close by: an identifier beside a secret, an endpoint beside either.
+of another role stands close by: an identifier beside a secret, an endpoint beside either. Parts that
+overlap don't complete each other, and what stands in the path or query of a link is part of the link
+and no candidate; a secret in its user part is one, and its endpoint completes it.
 
 DataFrame functions only. Positions come from the pattern alone: split() gives the text between
 matches, regexp_extract_all() the matches. Each match is a row with its length and the length of the
@@ -33,6 +35,8 @@ WEAK = (
     ("endpoint", "endpoint", r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:@-]{3,}"),
     ("labelled", "secret", r"""(?i:secret|private|access|auth|session|signing|encryption)[A-Za-z0-9_-]*(?i:key|token)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
 )
+#: A link, and what of it stands before its host: the rest is the link's body, in which nothing but its endpoint is a candidate.
+LINK, LINK_HEAD = r"[a-z][a-z0-9+]{1,9}://[^\x20\x09-\x0D]+", r"^[a-z][a-z0-9+]{1,9}://(?:[^\x20\x09-\x0D/@]*@)?"
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint", "labelled")
 #: An opaque string is secret-like if it is padded base64, or if it mixes capitals, small letters and digits.
 PADDED, MIXED = r"(^|[_-])[A-Za-z0-9+/]{32,}=", ("[a-z]", "[A-Z]", "[0-9]")
@@ -43,13 +47,14 @@ SCOPE = 256
 _PART = "array<struct<kind:string,i:int,gap:int,size:int,ok:boolean>>"
 
 
-def parts_of(text: Column, hint: Column, pattern: str, kind: str, keep=None) -> Column:
+def parts_of(text: Column, hint: Column, pattern: str, kind: str, keep=None, skip=None) -> Column:
     """One struct for each leftmost non-overlapping match: its number, the length of the text since the one before, its own, and whether keep(match) holds.
+    skip(match) characters at its beginning don't count as its own.
 
     Only where hint says that there can be any: most texts are passed over by one search."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(found.alias("match"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-    as_part = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("size"), (keep(x["match"]) if keep else F.lit(True)).alias("ok"))
+    as_part = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), (F.length(x["gap"]) + (skip(x["match"]) if skip else 0)).alias("gap"), (F.length(x["match"]) - (skip(x["match"]) if skip else 0)).alias("size"), (keep(x["match"]) if keep else F.lit(True)).alias("ok"))
     return F.when(hint, F.transform(pairs, as_part)).otherwise(F.array().cast(_PART))
 
 
@@ -61,6 +66,7 @@ def find_parts(text: Column) -> Column:
         parts_of(text, F.contains(text, F.lit("AKIA")), ACCESS, "access", lambda m: F.length(m) >= LEAST_ACCESS),
         parts_of(text, F.regexp_like(text, F.lit(HEX)), HEX, "hex"),
     ]
+    base.append(parts_of(text, F.contains(text, F.lit("://")), LINK, "link", skip=lambda m: F.length(F.regexp_extract(m, LINK_HEAD, 0))))
     like = lambda m: F.regexp_like(m, F.lit(PADDED)) | F.regexp_like(m, F.lit(MIXED[0])) & F.regexp_like(m, F.lit(MIXED[1])) & F.regexp_like(m, F.lit(MIXED[2]))
     return F.concat(*base, *[parts_of(text, F.regexp_like(text, F.lit(p)), p, k, like if k == "opaque" else None) for k, _, p in WEAK])
 
@@ -88,6 +94,23 @@ def place(kind: Column) -> Column:
     return F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind).cast("int")
 
 
+def in_cells(spans: DataFrame, scope: int) -> DataFrame:
+    """spans with a row for each cell of `scope` code points that they touch."""
+    cell = lambda c: F.floor(c / scope).cast("int")
+    return spans.withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))))
+
+
+def outside_links(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """spans (row, kind, start, end) less links, and less the weak ones other than endpoints that overlap a link's body."""
+    bodies = in_cells(spans.where("kind = 'link'"), scope).select(F.col("row").alias("row2"), F.col("cell").alias("cell2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    spans = spans.where("kind <> 'link'")
+    inner = is_weak(F.col("kind")) & (F.col("kind") != "endpoint")
+    touched = in_cells(spans.where(inner), scope)
+    hit = touched.join(bodies, (F.col("row") == F.col("row2")) & (F.col("cell") == F.col("cell2")) & (F.col("start") < F.col("e2")) & (F.col("s2") < F.col("end")), "left_semi")
+    hit = hit.select(F.col("row").alias("row2"), F.col("kind").alias("kind2"), F.col("start").alias("s2")).distinct()
+    return spans.join(hit, (F.col("row") == F.col("row2")) & (F.col("kind") == F.col("kind2")) & (F.col("start") == F.col("s2")), "left_anti")
+
+
 def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak ones of `spans` (row, kind, start, end) that have a part of another role within `scope`.
 
@@ -98,9 +121,12 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     p = spans.withColumn("role", role(F.col("kind")))
     cell = lambda c: F.floor(c / scope).cast("int")
-    there = p.select(F.col("row").alias("row2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("cell2"))
+    there = p.select(F.col("row").alias("row2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2"), F.col("kind").alias("k2"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("cell2"))
     here = p.where(is_weak(F.col("kind"))).withColumn("cell", F.explode(F.sequence(cell(F.col("start") - scope), cell(F.col("end") + scope))))
     near = (F.col("role") != F.col("r2")) & (F.col("start") - F.col("e2") <= scope) & (F.col("s2") - F.col("end") <= scope)
+    # What of an opaque string is left in a link stands in its user part, which its endpoint covers.
+    in_user_part = F.array_sort(F.array("kind", "k2")) == F.array(F.lit("endpoint"), F.lit("opaque"))
+    near &= (F.col("start") >= F.col("e2")) | (F.col("s2") >= F.col("end")) | in_user_part
     return here.join(there, (F.col("row") == F.col("row2")) & (F.col("cell") == F.col("cell2")) & near, "left_semi").select("row", "kind", "start", "end").distinct()
 
 
@@ -119,7 +145,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
     """
     t = narrow(docs, doc_id=doc_id, text=F.coalesce(F.col(text), F.lit("")), row=F.col(row) if row else F.monotonically_increasing_id())
     t = cut(t.select("doc_id", "row", find_parts(F.col("text")).alias("parts")))  # every text is read once; from here on there are only spans
-    spans = cut(placed(t))
+    spans = cut(outside_links(cut(placed(t)), scope))
     found = spans.where(~is_weak(F.col("kind"))).unionByName(linked(spans, scope)).select("row", F.struct("start", place(F.col("kind")).alias("place"), "kind", "end").alias("x"))
     by_row = found.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("found"))
     t = t.select("doc_id", "row").join(by_row, "row", "left")
@@ -179,10 +205,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
-def _sql_spans(kind: str, pattern: str, keep: str) -> str:
+def _sql_spans(kind: str, pattern: str, keep: str, skip: str = "0") -> str:
     """DuckDB: the spans of one kind; keep is a condition on found[i]."""
     p = pattern.replace("'", "''")
-    return f"""select row, '{kind}' as kind, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0))::bigint as start, length(found[i]) as size, found[i] as m
+    return f"""select row, '{kind}' as kind, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0))::bigint + {skip} as start, length(found[i]) - {skip} as size, found[i] as m
     from (select row, found, string_split_regex(text, '{p}') as gaps, unnest(range(1, len(found) + 1)) as i from (select row, text, regexp_extract_all(text, '{p}') as found from d) where len(found) > 0) where {keep}"""
 
 
@@ -191,11 +217,16 @@ def op5_sql() -> str:
     keeps = {"assign": f"length(regexp_replace(found[i], '{value}', '')) >= {LEAST_ASSIGN}", "access": f"length(found[i]) >= {LEAST_ACCESS}"}
     keeps["opaque"] = f"(regexp_matches(found[i], '{PADDED}') or " + " and ".join(f"regexp_matches(found[i], '{c}')" for c in MIXED) + ")"
     parts = [_sql_spans(k, p, keeps.get(k, "true")) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), *[(k, p) for k, _, p in WEAK])]
+    head = LINK_HEAD.replace("'", "''")
+    link = _sql_spans("link", LINK, "true", f"length(regexp_extract(found[i], '{head}'))")
     places = " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS))
     roles = "when 'access' then 'id' when 'assign' then 'secret' when 'hex' then 'secret' " + " ".join(f"when '{k}' then '{r}'" for k, r, _ in WEAK)
     return f"""with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
-p as (select row, kind, start, start + size as stop, case kind {places} end as place, case kind {roles} end as role, kind in ('assign', 'access', 'hex') as base from ({" union all ".join(parts)})),
-f as (select * from p where base or exists (select 1 from p q where q.row = p.row and q.role <> p.role and p.start - q.stop <= {SCOPE} and q.start - p.stop <= {SCOPE})),
+l as ({link}),
+p as (select row, kind, start, start + size as stop, case kind {places} end as place, case kind {roles} end as role, kind in ('assign', 'access', 'hex') as base from ({" union all ".join(parts)}) s
+  where kind not in ('ident', 'opaque', 'labelled') or not exists (select 1 from l where l.row = s.row and s.start < l.start + l.size and l.start < s.start + s.size)),
+f as (select * from p where base or exists (select 1 from p q where q.row = p.row and q.role <> p.role and p.start - q.stop <= {SCOPE} and q.start - p.stop <= {SCOPE}
+  and (p.start >= q.stop or q.start >= p.stop or (p.kind, q.kind) in (('opaque', 'endpoint'), ('endpoint', 'opaque'))))),
 g as (select row, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' order by start, place) filter (base) as base, string_agg(kind || ':' || start || ':' || stop, ',' order by start, place) as spans from f group by row)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans

@@ -31,6 +31,25 @@ def test_key_beside_its_identifier_is_found(spark):
     assert clean[0] == "aws_access_key_id = [SECRET]\naws_[SECRET]\nend" and clean[1] == "[SECRET] [SECRET]" and clean[3] == PAIRS[3]
 
 
+LINKS = [
+    "See https://en.wikipedia.org/wiki/Python_3_Programming_Language for more.",
+    "https://example.com/?user=bob1&session_key=AbCdEf123456789012345678 and text",
+    "git+ssh://host.example.org/A1b2C3d4E5f6G7h8I9j0K1l2/tree",
+    "user=A1b2C3d4E5f6G7h8I9j0K1l2 alone",
+    "two links https://a.example/A1b2C3d4E5f6G7h8I9j0K1 https://b.example/Z9y8X7w6V5u4T3s2R1q0",
+]
+
+
+def test_ordinary_links_are_left_alone(spark):
+    assert [r["text"] for r in S.redact(frame(spark, LINKS)).orderBy("doc_id").collect()] == LINKS
+
+
+def test_secrets_in_a_user_part_and_beside_a_link(spark):
+    key = "A1b2C3d4E5f6G7h8I9j0K1l2"
+    texts = [f"db://bob:{key}@host.example/base end", f"key {key} of https://host.example/path/Q1w2E3r4T5y6U7i8O9p0 end"]
+    assert [r["text"] for r in S.redact(frame(spark, texts)).orderBy("doc_id").collect()] == ["[SECRET]/base end", "key [SECRET] of [SECRET]/path/Q1w2E3r4T5y6U7i8O9p0 end"]
+
+
 @pytest.mark.parametrize(
     ("text", "secret"),
     [(f"user=alice {'Ab0/' * 86}== end", "Ab0/" * 86 + "=="), ("password=hunter222 db://" + "h" * 495 + " end", "db://" + "h" * 495), ("password=hunter222 account=" + "z" * 300 + " end", "account=" + "z" * 300)],
@@ -55,7 +74,7 @@ def test_many_spans_in_one_long_text(spark):
 def test_scan_equals_its_sql_on_pairs(spark):
     import duckdb
 
-    t = frame(spark, [*PAIRS, *PAIRS[:2], None, "", "user=ann key 'QWxhZGRpbjpvcGVuIHNlc2FtZQQWxhZGRpbjpvcGVu==' db://host/a"])
+    t = frame(spark, [*PAIRS, *PAIRS[:2], *LINKS, "db://bob:A1b2C3d4E5f6G7h8I9j0K1l2@host.example/base", None, "", "user=ann key 'QWxhZGRpbjpvcGVuIHNlc2FtZQQWxhZGRpbjpvcGVu==' db://host/a"])
     documents = t.toPandas()  # noqa: F841
     want = sorted(duckdb.sql(S.op5_sql()).fetchall())
     s = S.scan(t)
