@@ -6,6 +6,7 @@ otherwise compute it again for each element.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -154,6 +155,11 @@ def packed_dot(words: Column, v: Column, d: int, width: int = 64) -> Column:
     return 2 * total(positive) - total(v)
 
 
+def sketch_dot(words: Column, projected: Column, size: Column, m: int, width: int = 64) -> Column:
+    """The inner product that a sketch of m signs stands for: the packed dot times |r| sqrt(pi / 2) / m."""
+    return size * F.lit(math.sqrt(math.pi / 2) / m) * packed_dot(words, projected, m, width)
+
+
 def packed_bytes(d: int, width: int = 64) -> int:
     return -(-d // width) * (width // 8)
 

@@ -244,6 +244,15 @@ def svd_bytes(rows: int, d: int, rank: int, bits: int) -> float:
 # Storage
 
 
+def hybrid_storage(n: int, d: int) -> dict[str, float]:
+    """The hybrid pipeline's: indices of two bits whatever the setting, normalisation in 32 bits, the channel mean too."""
+    out = {"indices": n * d * 2 / 8, "signs": n * E.packed_bytes(d), "norms": n * 4.0, "nsn": n * 8.0 + d * 4.0}
+    out["total"] = sum(out.values())
+    out["original"] = n * d * 2.0
+    out["ratio"] = out["original"] / out["total"] if out["total"] else 0.0
+    return out
+
+
 def storage(n: int, d: int, bits: int, m: int | None = None, nsn: bool = True) -> dict[str, float]:
     """Bytes of compressed keys by part, of 16-bit originals, and their ratio."""
     m = m or d

@@ -56,6 +56,26 @@ def compressed(p: str, src: str, bits: int, rotation: str = "wht", seed: int = 4
     return ", ".join(out)
 
 
+def packed(p: str, src: str, bits: int, seed: int = 42) -> str:
+    """CTEs like compressed() for records whose norms are floats: what a record restores, its residual norm, its sketched residual."""
+    m, sk = R.make("wht", D, seed).matrix, P.sketch_matrix(D, D, seed + 10_000)
+    return f"""{p}m as (select {O.mat(m)} as m, {O.mat(m.T)} as mt, {O.mat(sk)} as sk),
+    {p}1 as (select h, k_id, vec, {O.norm('vec')} as vn from {src}), {p}2 as (select *, [x / greatest(vn, 1e-12) for x in vec] as u from {p}1),
+    {p}a as (select list(a order by i) as mean from (select i, avg(u[i]) as a from {p}2, unnest(range(1, {D + 1})) as t(i) group by i)),
+    {p}3 as (select {p}2.*, mean, [u[i] - mean[i] for i in range(1, {D + 1})] as c from {p}2, {p}a), {p}4 as (select *, {O.norm('c')} as n2 from {p}3), {p}5 as (select *, [x / (n2 + 1e-8) for x in c] as x from {p}4),
+    {p}6 as (select {p}5.*, m.mt, m.sk, {O.matvec('m.m', 'x')} as y from {p}5, {p}m m), {p}7 as (select *, {deq(max(1, bits - 1), 'y')} as z from {p}6),
+    {p}8 as (select *, {O.matvec('mt', 'z')} as r from {p}7), {p}9 as (select *, [(r[i] * n2::real::double + mean[i]) * vn::real::double for i in range(1, {D + 1})] as km from {p}8),
+    {p}10 as (select *, [vec[i] - km[i] for i in range(1, {D + 1})] as e from {p}9), {p}k as (select h, k_id, vec, km, ({O.norm('e')})::real::double as rn, {O.matvec('sk', 'e')} as s from {p}10)"""
+
+
+def topk_packed() -> str:
+    return f"with {KEYS}, {packed('a', 'ks', 3)}, {estimates('a', 'qs')}, r as (select *, row_number() over (partition by q_id order by score desc, k_id) as rank from ae) select q_id, k_id, rank::int as rank, {O.r6('score', 'score')} from r where rank <= 5"
+
+
+def rebuilt_keys() -> str:
+    return f"with {O.KV}, ks as (select h, k_id, vec from k), {packed('a', 'ks', 3)} select k_id, (i - 1)::int as i, {O.r6('km[i]', 'x')} from ak, unnest(range(1, {D + 1})) as t(i)"
+
+
 def estimates(p: str, queries: str, on: str = "q.h = k.h") -> str:
     """CTE <p>e (h, q_id, k_id, score) of queries (h, q_id, q)."""
     c = math.sqrt(math.pi / 2) / D
@@ -123,7 +143,7 @@ def evaluate_cache() -> str:
 def streamed_cache() -> str:
     m, sk, c = R.make("wht", D).matrix, P.sketch_matrix(D, D, 43), math.sqrt(math.pi / 2) / D
     return f"""with {O.V}, m as (select {O.mat(m)} as m, {O.mat(m.T)} as mt, {O.mat(sk)} as sk), u as (select vec_id, vec, mt, sk, {O.matvec('m', 'vec')} as y from v, m), z as (select vec_id, vec, mt, sk, {deq(2, 'y')} as z from u),
-    w as (select vec_id, vec, sk, {O.matvec('mt', 'z')} as km from z), e as (select *, [vec[i] - km[i] for i in range(1, 65)] as e from w), k as (select vec_id, km, {O.norm('e')} as rn, {O.matvec('sk', 'e')} as s from e),
+    w as (select vec_id, vec, sk, {O.matvec('mt', 'z')} as km from z), e as (select *, [vec[i] - km[i] for i in range(1, 65)] as e from w), k as (select vec_id, km, ({O.norm('e')})::real::double as rn, {O.matvec('sk', 'e')} as s from e),
     q as (select vec as q, {O.matvec('sk', 'vec')} as qp from v, m order by vec_id limit 1)
     select vec_id as pos, round({O.dot('q', 'km')} + rn * {O.num(c)} * list_sum([case when s[i] >= 0 then qp[i] else -qp[i] end for i in range(1, 65)]), 5) + 0.0 as score from k, q"""
 

@@ -25,6 +25,7 @@ from ..operators import analytics as Y
 from ..operators import codebooks as C
 from ..operators import compressors as P
 from ..operators import normalize as N
+from ..operators import packed as K
 from ..operators import quantizers as Q
 from ..operators import rotations as R
 from ..operators import scoring as S
@@ -429,6 +430,15 @@ def packed_dots(spark, d):
     return pairs(spark, d).select("vec_id", r6(E.packed_dot(E.pack_signs(E.signs(F.col("a")), D), F.col("b"), D), "dot"))
 
 
+@query(lambda: f"with {O.V}, m as (select {O.mat(_sketch())} as m), q as (select {O.matvec('m', 'vec')} as qp from v, m order by vec_id limit 1), p as (select vec_id, vec, {O.matvec('m', 'vec')} as p from v, m) select vec_id, {O.r6(O.norm('vec') + ' * ' + O.num(math.sqrt(math.pi / 2) / D) + ' * list_sum([case when p[i] >= 0 then qp[i] else -qp[i] end for i in range(1, 65)])', 'dot')} from p, q")
+def sketch_dots(spark, d):
+    """Inner products with the first vector, estimated from signs in words of 32 bits and norms alone."""
+    t = X.vectors(spark, d)
+    q = _sketch() @ np.array(t.orderBy("vec_id").first()["vec"])
+    t = t.select("vec_id", E.norm(vec()).alias("n"), E.pack_signs(P.sketch_signs(vec(), _sketch()), D, 32).alias("w"))
+    return t.select("vec_id", r6(E.sketch_dot(F.col("w"), E.literal(q), F.col("n"), D, 32), "dot"))
+
+
 @query(f"with {O.V} select count(*) * 8 as packed, count(*) * 64 as unpacked, 8.0::double as ratio from v")
 def sign_storage(spark, d):
     return X.vectors(spark, d).agg((F.count("*") * E.packed_bytes(D)).alias("packed"), (F.count("*") * E.unpacked_bytes(D)).alias("unpacked"), F.lit(E.packing_ratio(D)).alias("ratio"))
@@ -485,6 +495,22 @@ def topk_compressed(spark, d):
     return S.ranked(c.scores(q, c.compress(k)), ("q_id",), 5).select("q_id", "k_id", "rank", r6(F.col("score"), "score"))
 
 
+@query(Z.topk_packed)
+def topk_packed(spark, d):
+    """The same from stored records by look-up tables, without a rebuilt vector; each tile keeps its queries' best."""
+    k, q = key_queries(spark, d)
+    c = K.PackedKeys(D, 3, norm_types="<f4")
+    return c.scores(q, c.compress(k.select("b", "h", "k_id", "vec")), k=5).select("q_id", "k_id", "rank", r6(F.col("score"), "score"))
+
+
+@query(Z.rebuilt_keys)
+def rebuilt_keys(spark, d):
+    """Keys materialised late, from their records."""
+    c = K.PackedKeys(D, 3, norm_types="<f4")
+    t = c.compress(X.keys(spark, d).select("k_id", "vec"))
+    return flat(t, c.rebuild(F.col("record")), "k_id")
+
+
 @query(Z.estimate_quality)
 def estimate_quality(spark, d):
     k, q = key_queries(spark, d)
@@ -610,6 +636,23 @@ def storage_bytes(spark, d):
     return spark.createDataFrame([(float(s["total"]), float(s["original"]))], "total double, original double")
 
 
+@query(f"""with {O.V}, c as (select count(*) as n from v) select layout, n, bytes::bigint as stored, n * 128 as original, {O.r6('n * 128e0 / bytes', 'ratio')} from c,
+lateral (values ('hybrid', n * (64 * 2 // 8 + 8 + 2 + 2 + 4 + 4) + 64 * 4), ('keys 2', n * (64 // 8 + 8 + 8) + 128), ('keys 3', n * (64 * 2 // 8 + 8 + 8) + 128), ('keys 4', n * (64 * 3 // 8 + 8 + 8) + 128), ('values', n * (64 * 3 // 8 + 2))) t(layout, bytes)
+union all select 'cache', n, n * (16 + 8 + 2 + 24), n * 256, {O.r6('256e0 / 50', 'ratio')} from c""")
+def packed_layouts(spark, d):
+    """Bytes of each layout as its records are, constants included, against 16-bit floats: what the accounting says is what is stored."""
+    from ..streaming.cache import Cache
+
+    t, out = X.vectors(spark, d).select("vec_id", "vec"), None
+    keys = {f"keys {b}": K.PackedKeys(D, b) for b in (2, 3, 4)} | {"hybrid": K.PackedKeys(D, 3, "hybrid", full_nsn=True, norm_types=K.HYBRID), "values": K.PackedKeys(D, 3, seed=142, use_nsn=False, use_qjl=False)}
+    sizes = [(name, c.compress(t), (D * (4 if name == "hybrid" else 2)) * c.use_nsn, D * 2) for name, c in keys.items()]
+    both = Cache(spark, "", D).compress(t.select("vec_id", vec().alias("k"), vec().alias("v"))).select(F.concat("key", "value").alias("record"))
+    for name, packed, constants, half in [*sizes, ("cache", both, 0, D * 4)]:
+        one = K.stored_bytes(packed, constants).select(F.lit(name).alias("layout"), "n", "stored", (F.col("n") * half).alias("original"), r6(F.col("n") * float(half) / F.col("stored"), "ratio"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _HIST = f"with {O.V}, b as (select (vec_id % 3 + 2)::int as bits from v)"
 
 
@@ -843,7 +886,7 @@ def streamed_cache(spark, d):
     path = f"{shared.rstrip('/')}/cache-{uuid.uuid4().hex}"
     source = spark.readStream.schema(t.schema).parquet(f"{d}/embeddings.parquet*")
     x = E.doubles(F.col("embedding"))
-    c = Cache(spark, path, D)
+    c = Cache(spark, path, D, norm_type="<f4")
     c.stream(source.select(F.col("vec_id").alias("pos"), x.alias("k"), x.alias("v")), f"{path}/check").awaitTermination()
     first = X.vectors(spark, d).orderBy("vec_id").first()["vec"]
     return c.scores(list(first)).select("pos", (F.round("score", 5) + F.lit(0.0)).alias("score"))

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from loomvec.operators import quantizers as Q
@@ -31,6 +33,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert a.windowed(4, 20).where("quantized").count() == 36
 
 
+def test_chunks_of_a_stream_and_of_append_on_one_path(spark, tmp_path):
+    t = rows(spark, 40)
+    t.where("pos >= 20").coalesce(1).write.parquet(str(tmp_path / "in"))
+    c = S.Cache(spark, str(tmp_path / "c"), D)
+    c.append(t.where("pos < 20"), 0)
+    source = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="is there already"):
+        c.stream(source, str(tmp_path / "check0")).awaitTermination()
+    assert len(c) == 20
+    for _ in range(2):  # a stream that is started again on its checkpoint adds nothing twice
+        c.stream(source, str(tmp_path / "check1"), first=1).awaitTermination()
+        assert len(c) == 40 and {r["pos"] for r in c.rows().collect()} == set(range(40))
+    with pytest.raises(AnalysisException):
+        c.append(t, 1)
+    with pytest.raises(Exception, match="another stream"):
+        c.stream(source, str(tmp_path / "check2"), first=1).awaitTermination()
+    m = c.memory().first()
+    assert m["key_bits"] == 40 * 8 * c.keys.layout.size == 40 * (D * 2 + D + 16) and m["value_bits"] == 40 * D * 3 and m["ratio"] == 2 * D * 16 / (D * 6 + 16)
+
+
 def test_first_batch_fits_the_scale(spark, tmp_path):
     t = rows(spark, 20).select("pos", F.col("k").alias("vec"))
     for i in range(2):
