@@ -122,14 +122,18 @@ def scale_errors(df: DataFrame, column: str, rms: float, mode: str = "nearest")
 
 @dataclass(frozen=True)
 class Codebook:
-    """Nearest codeword of each scaled block of eight. kind: prefix (a level's name) or kmeans (a number of codewords)."""
+    """Nearest codeword of each scaled block of eight. kind: prefix (a level's name), kmeans (a number of codewords, trained on
+    unit normal points) or data (a name; its codewords are `given`, see trained_codebook())."""
 
     kind: str
     size: str
     scale: float | None = None
+    given: tuple[tuple[float, ...], ...] | None = None
 
     @property
     def codes(self) -> np.ndarray:
+        if self.given is not None:
+            return np.array(self.given)
         return C.prefix_codebook(self.size) if self.kind == "prefix" else C.kmeans_codebook(int(self.size))
 
     def bits_per_dimension(self) -> float:
@@ -137,6 +141,8 @@ class Codebook:
 
     def fit(self, df: DataFrame, column: str = "vec") -> Codebook:
         r = table_rms(df, column)
+        if self.given is not None:
+            return Codebook(self.kind, self.size, r / (C.rms(self.codes) + 1e-8), self.given)
         return Codebook(self.kind, self.size, r / (C.rms(self.codes) + 1e-8) if self.kind == "prefix" else r)
 
     def quantize(self, v: Column) -> Column:
@@ -170,6 +176,13 @@ class Codebook:
         return self.scale
 
 
+def trained_codebook(df: DataFrame, k: int, column: str = "vec", seed: int = 42, name: str = "data") -> Codebook:
+    """A codebook of k codewords trained on the blocks of eight of a table; its scale is 1, for the codewords are in the table's own units."""
+    from .clustering import train
+
+    return Codebook("data", name, 1.0, tuple(map(tuple, train(df, k, column, seed=seed)[0])))
+
+
 def make(which, d: int, bits: int):
     """By name: scalar (None), e8, z8_<level>, kmeans_<codewords>; a quantizer is returned as it is."""
     if which is None or which == "scalar":

@@ -22,8 +22,10 @@ from ..functions import catalog
 from ..functions import expr as E
 from ..operators import allocation as B
 from ..operators import analytics as Y
+from ..operators import clustering as G
 from ..operators import codebooks as C
 from ..operators import compressors as P
+from ..operators import factors as U
 from ..operators import normalize as N
 from ..operators import packed as K
 from ..operators import quantizers as Q
@@ -630,6 +632,101 @@ def layer_bits(spark, d):
     return spark.createDataFrame([(int(k), b) for k, b in bits.items()], "layer int, bits int")
 
 
+#: Blocks of two of every vector as rows: their Gram matrices have eigenvalues in closed form, which SQL can state.
+_TWO = f"""{O.KV}, t as (select h, k_id, (j - 1)::int as block, vec[2 * j - 1] as x, vec[2 * j] as y from k, unnest(range(1, 33)) as t(j)),
+g as (select h, block, count(*) as n, sum(x * x) as a, sum(x * y) as b, sum(y * y) as c from t group by h, block), r as (select *, sqrt(power((a - c) / 2, 2) + b * b) as r from g),
+e as (select *, (a + c) / 2 + r as v1, greatest((a + c) / 2 - r, 0e0) as v2, ((a - c) / 2 + r) / (2 * r) as pxx, b / (2 * r) as pxy, (r - (a - c) / 2) / (2 * r) as pyy from r)"""
+
+
+def twos(spark: SparkSession, d: str) -> DataFrame:
+    return Y.in_blocks(X.keys(spark, d), 2, {"vec": "vec"}, ("h", "k_id"))
+
+
+@query(f"with {_TWO} select h, block, 1 as k, {O.r6('v1 / (a + c)', 'share')} from e union all select h, block, 2, 1e0 from e")
+def explained_shares(spark, d):
+    return U.explained(U.eigenpairs(U.grams(twos(spark, d), ("h", "block")), ("h", "block")), ("h", "block")).select("h", "block", "k", r6(F.col("share"), "share"))
+
+
+@query(f"""with {O.KV}, g as (select h, i, j, sum(vec[i] * vec[j]) as x from k, unnest(range(1, 65)) as a(i), unnest(range(1, 65)) as b(j) group by h, i, j), n as (select h, count(*) as n from k group by h)
+select g.h, max(n) as n, 64::bigint as pairs, {O.r6('sum(case when i = j then x else 0e0 end)', 'total')}, {O.r6('sum(x * x)', 'square')}, true as certified, true as ordered, true as orthonormal from g join n on n.h = g.h group by g.h""")
+def eigen_certificates(spark, d):
+    """Each head's 64 pairs: that every residual is small, values fall, vectors are orthonormal, and that values sum to the trace and their squares to the Gram matrix's."""
+    p = U.eigenpairs(U.grams(X.keys(spark, d), ("h",)), ("h",)).withColumn("next", F.lead("value").over(W.partitionBy("h").orderBy("k")))
+    small = F.lit(1e-9) * F.col("total")
+    flat_ = p.select("h", "k", F.posexplode("vector").alias("i", "x"))
+    other = flat_.select(F.col("h").alias("h2"), F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("x").alias("x2"))
+    dots = flat_.join(other, (F.col("h") == F.col("h2")) & (F.col("i") == F.col("i2"))).groupBy("h", "k", "k2").agg(F.sum(F.col("x") * F.col("x2")).alias("dot"))
+    right = dots.groupBy(F.col("h").alias("h3")).agg((F.max(F.abs(F.col("dot") - (F.col("k") == F.col("k2")).cast("int"))) < 1e-9).alias("orthonormal"))
+    t = p.groupBy("h").agg(F.max("n").alias("n"), F.count("*").alias("pairs"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("square"), (F.max(F.col("residual") - small) < 0).alias("certified"), (F.min(F.coalesce(F.col("value") - F.col("next"), F.lit(0.0))) >= 0).alias("ordered"))
+    return t.join(right, F.col("h") == F.col("h3")).select("h", "n", "pairs", r6(F.col("total"), "total"), r6(F.col("square"), "square"), "certified", "ordered", "orthonormal")
+
+
+@query(f"with {_TWO}, q as (select t.* from t, (select min(k_id) as at from k) m where t.k_id = m.at), s as (select t.h, t.k_id, (q.x * (pxx * t.x + pxy * t.y) + q.y * (pxy * t.x + pyy * t.y)) as s from t join e on e.h = t.h and e.block = t.block join q on q.block = t.block) select h, k_id, {O.r6('sum(s)', 'score')} from s group by h, k_id")
+def factor_scores(spark, d):
+    """The first vector against all rows by the rank-one factors of every block of two: a query meets the factors, then each row's u."""
+    t = twos(spark, d)
+    rows, factors = U.factorize(t, 1, ("h", "block"))
+    at = t.agg(F.min("k_id").alias("at")).first()["at"]
+    q = t.where(F.col("k_id") == at).select("block", F.lit(0).alias("q_id"), vec().alias("q")).crossJoin(F.broadcast(t.select("h").distinct()))
+    s = U.factor_scores(q, rows, factors, ("h", "block"))
+    return s.groupBy("h", "k_id").agg(r6(F.sum("score"), "score"))
+
+
+@query(f"with {O.KV}, n as (select h, count(*) as n from k group by h) select h, n * 64 * 16 as original, (n * 16 + 16 * 64) * 4 as compressed, {O.r6('n * 1024e0 / ((n * 16 + 1024) * 4)', 'ratio')} from n")
+def factor_ratios(spark, d):
+    rows, factors = U.factorize(X.keys(spark, d), 16, ("h",))
+    return U.ratio(rows, factors, 4, ("h",)).select("h", "original", "compressed", r6(F.col("ratio"), "ratio"))
+
+
+@query(f"""with {O.KV}, n as (select h, count(*) as n, sum({O.dot('vec', 'vec')}) as total from k group by h)
+select n.h, {O.r6('total / (n * 64)', 'mse')} from n""")
+def factor_energy(spark, d):
+    """What rank 64 restores and what rank 16 leaves out make up the whole: the mean square of a head from both sides of its spectrum."""
+    t = X.keys(spark, d)
+    rows, factors = U.factorize(t, 16, ("h",))
+    kept = rows.select("h", F.posexplode("u").alias("i", "u")).groupBy("h", "i").agg(F.sum(F.col("u") * F.col("u")).alias("uu")).join(factors.select("h", (F.col("k") - 1).alias("i"), E.dot(F.col("sv"), F.col("sv")).alias("ss")), ["h", "i"])
+    kept = kept.groupBy("h").agg(F.sum(F.col("uu") * F.col("ss")).alias("kept"))
+    p = U.eigenpairs(U.grams(t, ("h",)), ("h",)).groupBy("h").agg(F.sum(F.when(F.col("k") > 16, F.col("value")).otherwise(0.0)).alias("left"), F.max("n").alias("n"))
+    return kept.join(p, "h").select("h", r6((F.col("kept") + F.col("left")) / (F.col("n") * D), "mse"))
+
+
+@query(f"""with {_TWO}, z as (select h, block, n, v2, a + c as total, rank, bits, (n + 2) * rank * bits as size, (n + 2) * (2 + block % 4) as budget, case when rank = 1 then v2 else 0e0 end / (n * 2) as error from e, (values (1), (2)) x(rank), (values (1), (2), (3), (4)) y(bits)),
+w as (select *, row_number() over (partition by h, block order by case when size <= budget then 0 else 1 end, case when size <= budget then round(error, 12) end, rank, bits) as o from z)
+select h, block, rank, bits, {O.r6('error', 'error')}, {O.r6('n * 32e0 / size', 'ratio')} from w where o = 1""")
+def ranks_and_bits(spark, d):
+    """For each head and block the rank and bits of least error within a budget of its own."""
+    p = U.eigenpairs(U.grams(twos(spark, d), ("h", "block")), ("h", "block"))
+    t = U.rank_and_bits(p, (F.col("n") + 2) * (2 + F.col("block") % 4), (1, 2), group=("h", "block"))
+    return t.select("h", "block", "rank", "bits", r6(F.col("error"), "error"), r6(F.col("ratio"), "ratio"))
+
+
+_BLOCKS8 = f"{O.V}, p as (select vec_id, j, vec[8 * j - 7 : 8 * j] as x from v, unnest(range(1, 9)) as t(j)), c as (select (row_number() over (order by vec_id) - 1)::int as code, x as c from p where j = 1 order by vec_id limit 16)"
+
+
+@query(f"""with {_BLOCKS8}, s as (select vec_id, j, x, code, round(list_sum([c[i] * c[i] for i in range(1, 9)]) - 2 * list_sum([x[i] * c[i] for i in range(1, 9)]), 12) as s, list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, 9)]) as e from p, c),
+a as (select * from s qualify row_number() over (partition by vec_id, j order by s, code) = 1), m as (select code, i, count(*) as n, avg(x[i]) as x, sum(e) as e from a, unnest(range(1, 9)) as t(i) group by code, i)
+select code, (i - 1)::int as i, n, {O.r6('x', 'x')}, {O.r6('e', 'e')} from m""")
+def kmeans_round(spark, d):
+    """One Lloyd round over all blocks of eight, from the first blocks of the first sixteen vectors."""
+    t = X.vectors(spark, d)
+    first = np.array([r["vec"][:8] for r in t.orderBy("vec_id").limit(16).collect()])
+    sums = G.lloyd_sums(t, first)
+    return sums.select("code", "n", "e", F.posexplode("s").alias("i", "s")).select("code", "i", "n", r6(F.col("s") / F.col("n"), "x"), r6(F.col("e"), "e"))
+
+
+@query(f"with {O.V} select 32 as codes, count(*) * 8 as points, true as falls, true as fits, true as beats_universal from v")
+def kmeans_training(spark, d):
+    """A codebook trained on the table itself: errors fall from round to round, every code is a mean of its points, and it beats one trained on normal points."""
+    t = X.vectors(spark, d)
+    c, errors = G.train(t, 32, rounds=12)
+    n = t.count() * 8
+    universal = Q.make("kmeans_32", D, 1).fit(t)
+    mse = lambda q: Y.mse(t.withColumn("y", q.round_trip(vec())), "vec", "y").first()["mse"]
+    _, sizes, last = G.step(t, c)
+    rows = [(len(c), int(sizes.sum()) if n else 0, all(x >= y - 1e-12 for x, y in zip(errors, [*errors[1:], last], strict=True)), bool((sizes > 0).all()), bool(last < mse(universal)))]
+    return spark.createDataFrame(rows, "codes int, points long, falls boolean, fits boolean, beats_universal boolean")
+
+
 @query(f"with {O.V} select count(*) * (64 * 2 / 8e0 + 8 + 4 + 4) + 128 as total, count(*) * 128e0 as original from v")
 def storage_bytes(spark, d):
     s = P.storage(X.vectors(spark, d).count(), D, 3)
