@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import algebra as A
 from ..functions import expr as E
+from . import sequences as H
 from . import rotations as R
 
 
@@ -50,15 +51,9 @@ def quality_score(df: DataFrame, original: str = "vec", rotated: str = "rotated"
 
 
 def coordinate_spectrum(df: DataFrame, order: str = "vec_id", column: str = "vec") -> DataFrame:
-    """(ch, freq, power): |rfft|^2 / n of each channel in the order of `order`. A channel's values are one task's; channels are many."""
-    flat = df.select(order, F.posexplode(column).alias("ch", "x"))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = f.sort_values(order)["x"].to_numpy()
-        p = np.abs(np.fft.rfft(x)) ** 2 / len(x)
-        return pd.DataFrame({"ch": f["ch"].iloc[0], "freq": range(len(p)), "power": p})
-
-    return flat.groupBy("ch").applyInPandas(run, "ch int, freq int, power double")
+    """(ch, freq, power): |rfft|^2 / n of each channel in the order of an integer column. A task holds about the root of the number of rows."""
+    t = H.spectrum(df, order, column)
+    return t.select(F.posexplode("power").alias("ch", "power"), F.col("freq").cast("int").alias("freq")).select("ch", "freq", "power")
 
 
 def mse(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
@@ -97,13 +92,10 @@ def bits_summary(df: DataFrame, column: str = "bits") -> DataFrame:
 # Fidelity
 
 
-def consecutive(df: DataFrame, columns: tuple[str, ...], order: str = "s", group: tuple[str, ...] = ("b", "h")) -> DataFrame:
-    """df with <c>1 and <c>2, the vectors of the next two rows of the group; rows without two followers go."""
-    w = W.partitionBy(*group).orderBy(order)
-    t = df
-    for c in columns:
-        t = t.withColumn(f"{c}1", F.lead(c, 1).over(w)).withColumn(f"{c}2", F.lead(c, 2).over(w))
-    return t.where(F.col(f"{columns[0]}2").isNotNull())
+def consecutive(df: DataFrame, columns: tuple[str, ...], order: str = "s", group: tuple[str, ...] = ("b", "h"), block: int = H.BLOCK) -> DataFrame:
+    """df with <c>1 and <c>2, the vectors of the next two rows of the group in the order of an integer column; rows without two followers go."""
+    t = H.following(H.numbered(df, order, group, "_s"), columns, "_s", group, block)
+    return t.where(F.col(f"{columns[0]}2").isNotNull()).drop("_s")
 
 
 def in_blocks(df: DataFrame, size: int, columns: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
@@ -130,12 +122,13 @@ def fidelity_summary(df: DataFrame, d: int, **names) -> DataFrame:
 
 def residual_associators(df: DataFrame, d: int, column: str = "vec", order: str = "s", group: tuple[str, ...] = ("b", "h")) -> DataFrame:
     """(group, order, value): mean associator norm over the triplets around a row, the divisors 1, 2, 3, ..., 3, 2, 1 as published (for three rows 1, 2, 1)."""
-    w, everything = W.partitionBy(*group).orderBy(order), W.partitionBy(*group)
-    t = df.select(*group, order, F.col(column).alias("a"))
-    t = t.withColumn("a1", F.lead("a", 1).over(w)).withColumn("a2", F.lead("a", 2).over(w)).withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(everything))
-    t = t.withColumn("x", F.when(F.col("a2").isNotNull(), A.associator_norm_column(F.col("a"), F.col("a1"), F.col("a2"), d)))
-    total = F.coalesce(F.sum("x").over(w.rowsBetween(-2, 0)), F.lit(0.0))
-    edge = F.least(F.col("i"), F.col("n") - F.col("i") + 1)
+    t = H.following(H.numbered(df.select(*group, order, F.col(column).alias("a")), order, group, "_s"), ("a",), "_s", group)
+    t = t.withColumn("x", F.when(F.col("a2").isNotNull(), A.associator_norm_column(F.col("a"), F.col("a1"), F.col("a2"), d))).select(*group, order, "_s", "x")
+    t = H.trailing_sum(t, "x", "_s", group, 2, "total")
+    sizes = t.groupBy(*[F.col(c).alias(f"{c}_") for c in group]).agg(F.count("*").alias("n"))
+    t = t.join(sizes, [F.col(c) == F.col(f"{c}_") for c in group])
+    i, total = F.col("_s") + 1, F.coalesce("total", F.lit(0.0))
+    edge = F.least(i, F.col("n") - i + 1)
     return t.select(*group, order, F.when(F.col("n") < 3, F.lit(0.0)).otherwise(total / F.least(edge, F.lit(3))).alias("value"))
 
 

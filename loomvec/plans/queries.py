@@ -578,6 +578,13 @@ def spectrum_energy(spark, d):
     return Y.coordinate_spectrum(t).groupBy("ch").agg(r6(F.sum(F.col("power") * twice), "energy"))
 
 
+@query(f"""with {O.V}, n as (select count(*) as n from v), t as (select row_number() over (order by vec_id) - 1 as t, vec from v), f as (select unnest([0, 1, 2, 7, 50]) as freq), a as (select freq, i, vec[i] as x, {O.num(2 * math.pi)} * ((freq * t) % n) / n as w, n from t, f, n, unnest(range(1, 65)) as c(i))
+select (i - 1)::int as ch, freq::int as freq, round((power(sum(x * cos(w)), 2) + power(sum(x * sin(w)), 2)) / max(n), 6) + 0.0 as power from a group by i, freq""")
+def spectrum_powers(spark, d):
+    """Powers of some frequencies of every channel, by the transform in steps; SQL has them by definition."""
+    return Y.coordinate_spectrum(X.vectors(spark, d)).where(F.col("freq").isin(0, 1, 2, 7, 50)).select("ch", "freq", r6(F.col("power"), "power"))
+
+
 _ATT = f"""{_QK}, e as (select h, q_id, k_id, exp(score - max(score) over (partition by h, q_id)) as e from s), p as (select h, q_id, greatest(e / sum(e) over (partition by h, q_id), 1e-10) as p from e),
 y as (select h, q_id, sum(-p * ln(p)) as hh, max(p) as peak, count(*) as n from p group by h, q_id), a as (select h, avg(hh) / ln(max(n)) as entropy, avg(peak) as peak from y group by h)"""
 

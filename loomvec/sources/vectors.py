@@ -6,10 +6,10 @@ import json
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..operators.sequences import numbered
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(b, h, s, k_id, vec): vectors as a key table, a head a label, positions in the order of ids."""
-    t = vectors(spark, sf_dir)
-    s = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    return t.select(F.lit(0).alias("b"), F.col("label").alias("h"), s.alias("s"), F.col("vec_id").alias("k_id"), "vec")
+    """(b, h, s, k_id, vec): vectors as a key table, a head a label, positions in the order of ids, numbered by ranges of ids."""
+    t = numbered(vectors(spark, sf_dir), "vec_id", ("label",), "s")
+    return t.select(F.lit(0).alias("b"), F.col("label").alias("h"), F.col("s").cast("int").alias("s"), F.col("vec_id").alias("k_id"), "vec")
 
 
 def from_arrays(spark: SparkSession, x: np.ndarray, names: tuple[str, ...] = ("b", "h", "s")) -> DataFrame:
