@@ -290,6 +290,42 @@ def layer_bits(slope: float) -> str:
     return f"""with {O.V}, s as (select label, var_samp(x) as v from (select label, unnest(vec) as x from v) group by label), w as (select label, (select max(v) from s) / (v + 1e-30) as v from s), l as (select label, ln(greatest(v, 1e-30)) as l from w), c as (select label, 3e0 + {O.num(slope)} * (l - (select avg(l) from l)) as goal from l), {swept('c', 3.0, 2, 4, 'label')} select label::int as layer, bits::int as bits from b3"""
 
 
+def tower_given(p: str, src: str = "v", budget: float = 3.0, least: int = 2, most: int = 5) -> str:
+    """CTE <p>t (level, dim, bits) of the tower's levels by their variances: three sweeps over regions of unlike sizes, region by region."""
+    from ..operators.allocation import SLOPE
+
+    levels = P.tower(D)
+    rows = ", ".join(f"({k}, {lo}, {hi})" for k, (lo, hi) in enumerate(levels))
+    m = len(levels)
+    return f"""{p}l as (select * from (values {rows}) t(level, lo, hi)),
+    {p}s as (select level, any_value(hi - lo) as dim, var_samp(vec[i]) as v from {src}, {p}l, unnest(range(1, {D + 1})) as t(i) where i > lo and i <= hi group by level),
+    {p}g as (select list(dim order by level) as n, list({O.num(budget)} + {O.num(SLOPE)} * (ln(greatest(v, 1e-30)) - (select sum(dim * ln(greatest(v, 1e-30))) / {D} from {p}s)) order by level) as goal from {p}s),
+    {p}w as (with recursive w as (
+      select 0 as t, n, goal, [greatest({least}, least({most}, round_even(x, 0)::int)) for x in goal] as b, []::int[] as o, 0 as sgn from {p}g
+      union all select t + 1, n, goal, case when i is not null and want <> 0 and abs(want) >= n[i] and b[i] + sg between {least} and {most} then [case when j = i then x + sg else x end for x, j in b] else b end, ord, sg
+      from (select *, ord[t % {m} + 1] as i from (select *, case when t % {m} = 0 then [x.i for x in list_sort([{{'k': -abs(goal[j] - b[j]) * n[j], 'i': j}} for j in range(1, {m + 1}) if b[j] + sg between {least} and {most}])]::int[] else o end as ord
+        from (select *, case when t % {m} = 0 then case when want > 0 then 1 else -1 end else sgn end as sg from (select *, (floor({O.num(budget)} * {D}) - list_sum([n[j] * b[j] for j in range(1, {m + 1})]))::int as want from w where t < {3 * m})))))
+      select b, n from w where t = {3 * m}),
+    {p}t as (select (k - 1)::int as level, n[k]::int as dim, b[k]::int as bits from {p}w, unnest(range(1, {m + 1})) as t(k))"""
+
+
+def bit_allocations(slope: float) -> str:
+    return f"""select 'spectral' as kind, region, bits from ({spectral_bits(slope)}) union all select 'layer', layer, bits from ({layer_bits(slope)})
+    union all select 'tower', level, bits from (with {O.V}, {tower_given('tw')} select level, bits from twt)"""
+
+
+def compare_with_uniform() -> str:
+    levels, m = P.tower(D), R.make("wht", D).matrix
+    err = lambda lo, hi, b, dim: f"(select avg(power(x - {O.arr(C.lloyd_max(dim, b)[0])}[{O.count_above('x', C.lloyd_max(dim, b)[1])} + 1], 2)) from (select unnest(y[{lo + 1}:{hi}]) as x from u))"
+    curve = " union all ".join(f"select {k} as level, {hi - lo} as dim, {b} as bits, {err(lo, hi, b, hi - lo)} as mse" for k, (lo, hi) in enumerate(levels) for b in (2, 3, 4, 5))
+    return f"""with {O.V}, m as (select {O.mat(m)} as m), u as (select {O.matvec('m', 'vec')} as y from v, m), c as ({curve}), {tower_given('tw')},
+    g as (select *, min(gain) over (partition by level order by bits) as step from (select *, lag(mse) over (partition by level order by bits) - mse as gain from c)),
+    s as (select *, case when step is null then 0 else dim end as cost, sum(case when step is null then dim * bits else dim end) over (order by step desc nulls first, level, bits) as spent from g),
+    k as (select level, dim, max(bits) as bits, arg_max(mse, bits) as mse from s where step is null or spent <= {3 * D} and step > 0 group by level, dim),
+    r as (select 'uniform' as method, 3e0 as bits, {err(0, D, 3, D)} as mse union all select 'variance', sum(c.dim * c.bits) / {D}e0, sum(c.dim * mse) / {D} from c join twt on c.level = twt.level and c.bits = twt.bits union all select 'curve', sum(dim * bits) / {D}e0, sum(dim * mse) / {D} from k)
+    select method, {O.r6('bits', 'bits')}, {O.r6('mse', 'mse')}, {O.r6("((select mse from r where method = 'uniform') - mse) / ((select mse from r where method = 'uniform') + 1e-15)", 'gain')} from r"""
+
+
 # Constants, by enumeration
 
 

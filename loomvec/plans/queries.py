@@ -619,7 +619,7 @@ def continuous_allocation(spark, d):
     return t.crossJoin(t.agg(F.avg("l").alias("m"))).select("ch", r6(3 + F.lit(B.SLOPE) * (F.col("l") - F.col("m")), "bits"))
 
 
-@query()
+@query(lambda: Z.bit_allocations(B.SLOPE))
 def bit_allocations(spark, d):
     t = X.vectors(spark, d)
     rows = [("spectral", i, b) for i, b in enumerate(B.spectral(t, 3.0))] + [("tower", i, b) for i, b in enumerate(B.tower_bits(D, 3 * D, variances=B.level_variances(t, D)))]
@@ -970,10 +970,40 @@ def hybrid_keys(spark, d):
     return Y.mse(t, "vec", "k_mse", "h").select("h", r6(F.col("mse"), "mse"))
 
 
-@query()
+@query(lambda: f"""with {O.V}, n as (select ceil(count(*) / 64e0)::bigint as cells from v), p as (select (vec_id * 2654435761) % 4294967296 as deal, j, vec[16 * j - 15 : 16 * j] as x from v, unnest(range(1, 5)) as t(j)),
+w as (select j, deal % cells as cell, row_number() over (partition by j, deal % cells order by deal) as i, x as a, lead(x, 1) over (partition by j, deal % cells order by deal) as b, lead(x, 2) over (partition by j, deal % cells order by deal) as c from p, n),
+k as (select *, {A.product_sql('a', 'b', 16)} as ab, {A.product_sql('b', 'c', 16)} as bc from w where i % 3 = 1 and c is not null), q as (select *, {A.product_sql('ab', 'c', 16)} as l, {A.product_sql('a', 'bc', 16)} as r from k),
+x as (select sqrt(list_sum([(l[i] - r[i]) * (l[i] - r[i]) for i in range(1, 17)])) / ({O.norm('a')} * {O.norm('b')} * {O.norm('c')} + 1e-8) as x from q), s as (select avg({O.norm('x')}) as s16 from p), s8 as (select avg({O.norm('x')}) as s8 from (select vec[8 * j - 7 : 8 * j] as x from v, unnest(range(1, 9)) as t(j)))
+select 16 as block, count(*) as triplets, {O.r6('1 + avg(x) / max(s16)', 'factor')}, {O.r6('1.96e0 * stddev_samp(x) / sqrt(count(*)) / max(s16)', 'error')}, {O.r6('max(s16)', 'size')} from x, s union all select 8, 0, 1e0, 0e0, {O.r6('s8', 'size')} from s8""")
 def structure_factors(spark, d):
+    """All blocks of all rows, in triplets dealt by a hash of the id."""
     t = X.vectors(spark, d)
-    return spark.createDataFrame([(b, B.structure_factor(t, b)) for b in (8, 16)], "block int, factor double")
+    deal = (F.col("vec_id") * 2654435761) % 4294967296
+    out = B.structure_factors(t, 16, deal=deal, cell=64).unionByName(B.structure_factors(t, 8))
+    return out.select("block", "triplets", r6(F.col("factor"), "factor"), r6(F.col("error"), "error"), r6(F.col("size"), "size"))
+
+
+@query(lambda: f"""with {O.V}, l as (select * from (values {', '.join(f'({k}, {lo}, {hi})' for k, (lo, hi) in enumerate(P.tower(D)))}) t(level, lo, hi)),
+r as (select label, level, any_value(hi - lo) as n, {O.num(B.OPTIMAL_SLOPE)} * ln(greatest(avg(vec[i] * vec[i]), 1e-30)) as g from v, l, unnest(range(1, 65)) as t(i) where i > lo and i <= hi group by label, level),
+t as (select 3.1e0 * sum(n) as total from r), p as (select 2 - g as x from r union select 4 - g from r), f as (select x, sum(n * greatest(2e0, least(4e0, x + g))) as used from p, r group by x), z as (select max(x) as x from f, t where used <= total + 1e-9),
+c as (select r.*, z.x, total, case when 2 - g > z.x then -1 when 4 - g <= z.x then 1 else 0 end as side from r, z, t), y as (select (max(total) - 2 * coalesce(sum(n) filter (side < 0), 0) - 4 * coalesce(sum(n) filter (side > 0), 0) - sum(n * g) filter (side = 0)) / sum(n) filter (side = 0) as level from c),
+q as (select label, r.level, n, greatest(2e0, least(4e0, y.level + g)) as goal from r, y), b as (select *, floor(goal + 1e-9)::int as b, round(greatest(goal - floor(goal + 1e-9), 0), 9) as f from q),
+s as (select *, sum(case when f > 0 then n else 0 end) over (order by f desc, label * 8 + level) as ahead, floor((select total from t) + 1e-6) - sum(n * b) over () as open from b)
+select label, level::int as level, {O.r6('goal', 'goal')}, (b + case when f > 0 and ahead <= open then 1 else 0 end)::int as bits from s""")
+def water_filling(spark, d):
+    """Bits of every tower level of every label by its mean square, at one level of water."""
+    level = F.lit(0)
+    for k, (lo, _) in enumerate(P.tower(D)):
+        level = F.when(F.col("i") >= lo, k).otherwise(level)
+    t = X.vectors(spark, d).select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", level.alias("level")).agg(F.avg(F.col("x") * F.col("x")).alias("variance"))
+    size = F.element_at(F.array(*[F.lit(hi - lo) for lo, hi in P.tower(D)]), F.col("level") + 1)
+    t = B.fill(t.withColumns({"n": size, "region": F.col("label") * 8 + F.col("level")}), 3.1, 2, 4)
+    return t.select("label", "level", r6(F.col("goal"), "goal"), "bits")
+
+
+@query(Z.compare_with_uniform)
+def levels_against_uniform(spark, d):
+    return B.compare_with_uniform(X.vectors(spark, d)).select("method", r6(F.col("bits"), "bits"), r6(F.col("mse"), "mse"), r6(F.col("gain"), "gain"))
 
 
 @query(Z.streamed_cache)
