@@ -124,6 +124,22 @@ def evaluate_ablation() -> str:
     return "with " + ", ".join(ctes) + " " + " union all ".join(rows)
 
 
+TRIALS = (("haar 3", "haar", 3, False), ("wht 3", "wht", 3, False), ("nsn 3", "wht", 3, True), ("nsn 2", "wht", 2, True))
+
+
+def trial_table() -> str:
+    ctes = [f"{O.V}, ks as (select (vec_id % 3 * 16 + label)::int as h, vec_id as k_id, vec from v), qs as (select h, k_id as q_id, vec as q from ks qualify row_number() over (partition by h order by k_id) <= 2)", EXACT]
+    for i, (_, rotation, bits, nsn) in enumerate(TRIALS):
+        ctes += [compressed(f"s{i}", "ks", bits, rotation, 42, nsn), estimates(f"s{i}", "qs")]
+    pairs = " union all ".join(f"select '{name}' as setting, {16.0 * D / (D * (bits - 1) + D + 32)!r}e0 as ratio, x.h, x.q_id, x.k_id, x.score as x, e.score as y from ex x join s{i}e e on x.q_id = e.q_id and x.k_id = e.k_id" for i, (name, _, bits, _) in enumerate(TRIALS))
+    return f"""with {', '.join(ctes)}, p as ({pairs}), r as (select *, row_number() over (partition by setting, q_id order by x desc, k_id) as rx, row_number() over (partition by setting, q_id order by y desc, k_id) as ry from p),
+    b as (select setting, q_id, y as y0 from r where rx = 1), q as (select r.setting, any_value(ratio) as ratio, h, r.q_id, count(*) as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(y * y) as yy, sum(x * y) as xy, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) as cos,
+      max((rx = 1 and ry = 1)::int)::double as top1, (count(*) filter (y > y0) < 5)::int::double as top5, max((ry = 1 and k_id = r.q_id)::int)::double as hit from r join b on b.setting = r.setting and b.q_id = r.q_id group by r.setting, h, r.q_id),
+    z as (select *, h // 16 as layer, h % 16 as head from q)
+    select setting, coalesce(layer, -1) as layer, coalesce(head, -1) as head, count(*) as queries, sum(n)::bigint as pairs, {O.r6('(sum(y) - sum(x)) / sum(n)', 'bias')}, {O.r6('sqrt(greatest((sum(yy) - 2 * sum(xy) + sum(xx)) / sum(n), 0))', 'rmse')}, {O.r6('(sum(n) * sum(xy) - sum(x) * sum(y)) / (sqrt(sum(n) * sum(xx) - sum(x) * sum(x)) * sqrt(sum(n) * sum(yy) - sum(y) * sum(y)))', 'corr')},
+    {O.r6('avg(cos)', 'cosine')}, {O.r6('avg(top1)', 'top1')}, {O.r6('avg(top5)', 'top5')}, {O.r6('avg(hit)', 'hits')}, {O.r6('any_value(ratio)', 'ratio')} from z group by grouping sets ((setting, layer, head), (setting, layer), (setting))"""
+
+
 def hybrid_keys() -> str:
     return f"with {KEYS}, {compressed('a', 'ks', 3, 'hybrid', 42, True, True)} select h, {O.r6('sum(' + sq('vec', 'km') + f') / (count(*) * {D})', 'mse')} from ak group by h"
 

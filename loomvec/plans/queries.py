@@ -35,6 +35,7 @@ from ..sources import vectors as X
 from . import composite_sql as Z
 from . import evaluation
 from . import oracle as O
+from . import trials as T
 
 D = 64
 Query = Callable[[SparkSession, str], DataFrame]
@@ -947,6 +948,18 @@ def evaluate_variants(spark, d):
     return evaluation.compare(X.vectors(spark, d), (3,)).select("variant", "bits", r6(F.col("mse"), "mse"))
 
 
+@query(Z.trial_table)
+def trial_table(spark, d):
+    """Settings by layer and head: bias, correlation and retrieval of needles, two of each head, in one pass over the keys."""
+    t = X.vectors(spark, d).select((F.col("vec_id") % 3).cast("int").alias("layer"), F.col("label").alias("head"), F.col("vec_id").alias("k_id"), "vec")
+    first = F.row_number().over(W.partitionBy("layer", "head").orderBy("k_id"))
+    q = t.withColumn("i", first).where("i <= 2").select("layer", "head", F.col("k_id").alias("q_id"), vec().alias("q"), F.col("k_id").alias("target"))
+    settings = {name: T.setting(D, bits, rotation, nsn) for name, rotation, bits, nsn in Z.TRIALS}
+    out = T.summary(T.trials(t, q, settings), settings)
+    alone = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("layer", "head")]  # -1: all of them
+    return out.select("setting", *alone, "queries", "pairs", *[r6(F.col(c), c) for c in ("bias", "rmse", "corr", "cosine", "top1", "top5", "hits", "ratio")])
+
+
 @query(Z.evaluate_cache)
 def evaluate_cache(spark, d):
     k = X.keys(spark, d)
