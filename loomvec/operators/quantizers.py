@@ -52,6 +52,31 @@ class Scalar:
         return self.dequantize(self.quantize(v))
 
 
+@dataclass(frozen=True)
+class Affine:
+    """Uniform codes by a given scale and zero point: the nearest whole multiple (of halves the even one) plus the zero point, in 0..2**bits - 1."""
+
+    scale: float
+    zero_point: int = 0
+    bits: int = 8
+
+    def bits_per_dimension(self) -> float:
+        return float(self.bits)
+
+    def fit(self, df: DataFrame, column: str = "vec") -> Affine:
+        return self
+
+    def quantize(self, v: Column) -> Column:
+        most = F.lit(float(2**self.bits - 1))
+        return F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(most, F.rint(x / F.lit(self.scale)) + F.lit(float(self.zero_point)))).cast("int"))
+
+    def dequantize(self, idx: Column) -> Column:
+        return F.transform(idx, lambda i: (i - self.zero_point) * F.lit(self.scale))
+
+    def round_trip(self, v: Column) -> Column:
+        return self.dequantize(self.quantize(v))
+
+
 # Blocks of eight
 
 

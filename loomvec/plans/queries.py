@@ -7,8 +7,6 @@ Every query runs over its whole table. Floats are rounded to six places on both
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -32,6 +30,7 @@ from ..operators import quantizers as Q
 from ..operators import rotations as R
 from ..operators import scoring as S
 from ..sources import vectors as X
+from ..sources.shared import new_path
 from . import composite_sql as Z
 from . import evaluation
 from . import oracle as O
@@ -1025,12 +1024,7 @@ def streamed_cache(spark, d):
     from ..streaming.cache import Cache
 
     t = spark.read.parquet(f"{d}/embeddings.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="loomvec-")
-    path = f"{shared.rstrip('/')}/cache-{uuid.uuid4().hex}"
+    path = new_path(spark, "cache")
     source = spark.readStream.schema(t.schema).parquet(f"{d}/embeddings.parquet*")
     x = E.doubles(F.col("embedding"))
     c = Cache(spark, path, D, norm_type="<f4")
@@ -1039,6 +1033,83 @@ def streamed_cache(spark, d):
     return c.scores(list(first)).select("pos", (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
+def in_two_batches(spark: SparkSession, d: str, start: Callable[[DataFrame, str, int], None]) -> str:
+    """Streams the vectors of even and then of odd ids: start(source, path, run) runs a query to the end of what has arrived, the second time from the first one's checkpoint."""
+    t, path = X.vectors(spark, d), new_path(spark, "stream")
+    for part in (0, 1):
+        t.where(F.col("vec_id") % 2 == part).write.mode("append").parquet(f"{path}/in")
+        start(spark.readStream.schema(t.schema).parquet(f"{path}/in"), path, part)
+    return path
+
+
+_TURNS = f"{O.V}, e as (select label, min(x) as lo, max(x) as hi, count(distinct vec_id) as n from (select label, vec_id, unnest(vec) as x from v where vec_id % 2 = 0) group by label)"
+
+
+@query(f"""with {_TURNS}, s as (select vec_id, vec, lo, hi, greatest((hi - lo) / 15, 1e-8) as s, case when vec_id % 2 = 0 then 0 else n end as before from v join e using (label))
+select vec_id, before::bigint as before, {O.r6('lo', 'lo')}, {O.r6('hi', 'hi')}, list_sum([greatest(0, least(15, round_even((vec[i] - lo) / s, 0))) * i for i in range(1, 65)])::bigint as chk from s""")
+def streamed_ranges(spark, d):
+    """Codes by the range of each label's first batch, which a restarted query takes from its state."""
+    from ..streaming.stateful import first_batch_ranges
+
+    def start(source: DataFrame, path: str, _: int) -> None:
+        q = first_batch_ranges(source, bits=4).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    t = spark.read.parquet(f"{in_two_batches(spark, d, start)}/rows")
+    chk = F.aggregate(F.transform("codes", lambda x, i: (x * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return t.select("vec_id", "before", r6(F.col("lo"), "lo"), r6(F.col("hi"), "hi"), chk.alias("chk"))
+
+
+@query(f"with {O.V} select label, count(*) as rows, count(*) * 64 as elements from v group by label")
+def streamed_totals(spark, d):
+    """Totals by label in the state of an aggregate, over two runs of one query."""
+    from ..streaming.cache import running_totals
+
+    def start(source: DataFrame, path: str, run: int) -> None:
+        q = running_totals(source, "label").writeStream.outputMode("complete").foreachBatch(lambda t, n: t.write.mode("overwrite").parquet(f"{path}/totals"))
+        q.option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+
+    return spark.read.parquet(f"{in_two_batches(spark, d, start)}/totals")
+
+
+@query(lambda: f"""with {O.V}, m as (select {O.mat(R.make('wht', D, 142).matrix)} as m, {O.mat(R.make('wht', D, 142).matrix.T)} as mt), n as (select count(*) as n from v), u as (select vec_id, {O.matvec('m', 'vec')} as y, mt from v, m), z as (select vec_id, mt, {_deq_sql(3, 'y')} as z from u), w as (select vec_id, {O.matvec('mt', 'z')} as r from z)
+select vec_id as pos, vec_id % 2 as chunk_id, (vec_id >= 4 and not (n > 128 and vec_id >= n - 128))::int as quantized, {O.r6('list_sum([r[i] * i for i in range(1, 65)])', 'chk')}, n * 64 * 2 + n * 64 + n * 16 as key_bits, n * 64 * 3 as value_bits from w, n""")
+def cache_contents(spark, d):
+    """A cache fed by two runs of one stream: restored values, what a window reads quantized, and bits as stored."""
+    from ..streaming.cache import Cache
+
+    held: list[Cache] = []
+
+    def start(source: DataFrame, path: str, _: int) -> None:
+        held[:] = [Cache(spark, f"{path}/cache", D)]
+        held[0].stream(source.select(F.col("vec_id").alias("pos"), vec().alias("k"), vec().alias("v")), f"{path}/check").awaitTermination()
+
+    in_two_batches(spark, d, start)
+    t = held[0].get_values().join(held[0].windowed().select("chunk_id", "pos", F.col("quantized").cast("int").alias("quantized")), ["chunk_id", "pos"])
+    return t.crossJoin(F.broadcast(held[0].memory().select("key_bits", "value_bits"))).select("pos", F.col("chunk_id").cast("long").alias("chunk_id"), "quantized", r6(E.dot(F.col("v"), E.literal(range(1, 65))), "chk"), "key_bits", "value_bits")
+
+
+@query(f"""with {O.V}, a as (select vec_id, vec_id % 2 as part, vec, {O.norm('vec')} as n1 from v), u as (select vec_id, part, n1, [x / (n1 + 1e-8) for x in vec] as u from a), c as (select part, list(m order by i) as m from (select part, i, avg(u[i]) as m from u, unnest(range(1, 65)) as t(i) group by part, i) group by part),
+w as (select vec_id, u.part, [u[i] - m[i] for i in range(1, 65)] as c from u join c on c.part = u.part) select vec_id, part::int as batch_id, {O.r6(O.norm('c'), 'norm2')} from w""")
+def streamed_normalization(spark, d):
+    """Each batch around its own channel mean."""
+    from ..streaming.cache import normalize_batches
+
+    def start(source: DataFrame, path: str, _: int) -> None:
+        normalize_batches(source, path, f"{path}/check", 3).awaitTermination()
+
+    t = spark.read.parquet(f"{in_two_batches(spark, d, start)}/rows")
+    return t.select("vec_id", F.col("batch_id").cast("int").alias("batch_id"), r6(F.col("norm2"), "norm2"))
+
+
+@query(f"with {O.V}, q as (select vec_id, [greatest(0e0, least(255e0, round_even(x / 0.00390625e0, 0) + 120)) for x in vec] as q from v) select vec_id, list_sum([q[i] * i for i in range(1, 65)])::bigint as chk, {O.r6('list_sum([(q[i] - 120) * 0.00390625e0 * i for i in range(1, 65)])', 'restored')} from q")
+def affine_codes(spark, d):
+    q = Q.Affine(1 / 256, 120)
+    t = X.vectors(spark, d).select("vec_id", q.quantize(vec()).alias("q"))
+    weigh = lambda v: E.dot(E.doubles(v), E.literal(range(1, 65)))
+    return t.select("vec_id", F.round(weigh(F.col("q"))).cast("long").alias("chk"), r6(weigh(q.dequantize(F.col("q"))), "restored"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

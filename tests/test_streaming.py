@@ -7,6 +7,7 @@ from loomvec.operators import quantizers as Q
 from loomvec.operators import rotations as R
 from loomvec.sources import vectors as X
 from loomvec.streaming import cache as S
+from loomvec.streaming.stateful import first_batch_ranges
 
 D = 16
 
@@ -72,3 +73,25 @@ def test_statistics_of_each_batch_and_running_totals(spark, tmp_path):
     q = S.running_totals(source.withColumn("g", F.col("pos") % 2), "g").writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.sql("select g, rows, elements from totals").collect()} == {(0, 10, 160), (1, 10, 160)}
+
+
+def test_ranges_live_in_the_state_of_a_query(spark, tmp_path):
+    def run(rows):
+        spark.createDataFrame(rows, "label int, vec_id long, vec array<double>").write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("label int, vec_id long, vec array<double>").parquet(str(tmp_path / "in"))
+        first_batch_ranges(source, bits=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        return {r["vec_id"]: (r["codes"], r["lo"], r["hi"], r["before"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    got = run([(1, 0, [0.0, 3.0]), (1, 1, [1.0, 2.0]), (2, 2, [5.0, 5.0]), (3, 3, None), (None, 4, [1.0, 1.0])])
+    assert got == {0: ([0, 3], 0.0, 3.0, 0), 1: ([1, 2], 0.0, 3.0, 0), 2: ([0, 0], 5.0, 5.0, 0)}
+    # Later: what lies outside is clamped, and a key that had no values yet gets its range now.
+    got = run([(1, 5, [-9.0, 9.0]), (1, 6, None), (3, 7, [1.0, 4.0])])
+    assert got[5] == ([0, 3], 0.0, 3.0, 2) and got[7] == ([0, 3], 1.0, 4.0, 0) and 6 not in got and len(got) == 5
+    assert run([(1, 8, [2.0, 2.0])])[8] == ([2, 2], 0.0, 3.0, 3)
+
+
+def test_affine_codes(spark):
+    q = Q.Affine(0.5, 3, 3)
+    t = spark.createDataFrame([([-9.0, -0.25, 0.25, 0.75, 0.6, 9.0],)], "v array<double>").select(q.quantize(F.col("v")).alias("i"))
+    r = t.select("i", q.dequantize(F.col("i")).alias("v")).first()
+    assert r["i"] == [0, 3, 3, 5, 4, 7] and r["v"] == [-1.5, 0.0, 0.0, 1.0, 0.5, 2.0]
