@@ -9,12 +9,15 @@ shuffle vectors. The inner product of a query and a compressed key is estimated
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as E
 from . import normalize as N
@@ -54,8 +57,24 @@ class Mse:
         return self
 
     def restored(self, v: Column) -> Column:
+        if isinstance(self.quant, Q.Scalar):
+            return self._in_one(v)
         return self.rot.column(self.quant.round_trip(self.rot.column(v)), back=True)
 
+    def _in_one(self, v: Column) -> Column:
+        """There and back in one Arrow function: two products and a search a batch."""
+        m, (c, b) = self.rot.matrix, (np.array(t) for t in self.quant.tables)
+
+        @F.pandas_udf("array<double>")
+        def run(v: pd.Series) -> pd.Series:
+            some = v[v.notna()]
+            if not len(some):
+                return v
+            y = c[np.searchsorted(b, np.stack(some.to_numpy()) @ m.T, side="left")] @ m
+            return pd.Series(list(y), index=some.index).reindex(v.index) if len(some) < len(v) else pd.Series(list(y))
+
+        return R.apart(run)(v)
+
     def transform(self, df: DataFrame, column: str = "vec", out: str = "restored") -> DataFrame:
         return df.withColumn(out, self.restored(F.col(column)))
 
@@ -117,7 +136,12 @@ class KeyCompressor:
         self.sketch = sketch_matrix(self.d, self.d, self.seed + 10_000)
 
     def compress(self, keys: DataFrame, column: str = "vec") -> DataFrame:
-        """keys with idx or points, vec_norm, norm1, norm2, k_mse, sign_words, residual_norm; sizes are bounded to 16-bit floats."""
+        """keys with idx or points, vec_norm, norm1, norm2, k_mse, sign_words, residual_norm; sizes are bounded to 16-bit floats.
+
+        With scalar codes all of them come from one pass over Arrow batches.
+        """
+        if isinstance(self.mse.quant, Q.Scalar):
+            return self._in_one(keys, column)
         t = keys.withColumn("vec_norm", E.norm(F.col(column))).withColumn("_x", E.unit(F.col(column)))
         if self.use_nsn:
             t, self.mean = N.nsn(t, "_x", already_unit=not self.full_nsn, mean=self.mean)
@@ -132,6 +156,37 @@ class KeyCompressor:
         t = t.withColumn("residual_norm", E.clamp(E.norm(F.col("_r"))))
         return t.withColumn("sign_words", E.pack_signs(sketch_signs(F.col("_r"), self.sketch), self.d)).drop("_r", "_x")
 
+    def _in_one(self, keys: DataFrame, column: str) -> DataFrame:
+        from .packed import PackedKeys, array_of
+
+        c = PackedKeys(self.d, self.bits, self.mse.rot, self.seed, self.use_nsn, self.full_nsn, self.use_qjl, norm_types="<f8", mean=self.mean).fit(keys, column)
+        self.mean, sketch = c.mean, self.sketch
+        norms = ["vec_norm", *(["norm1", "norm2"] if self.use_nsn else [])]
+        kinds = {**dict.fromkeys(norms, "double"), "idx": "array<tinyint>", "k_mse": "array<double>", "residual_norm": "double", "sign_words": "array<long>"}
+        place, words = keys.columns.index(column), -(-self.d // 64)
+        flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel(), kind))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v = b.column(place)
+                some = v.drop_null()
+                x = array_of(some, len(some)) if len(some) else np.zeros((0, self.d))
+                codes, norm, back, left = c.parts(x)
+                out = {"vec_norm": pa.array(norm["norm"]), "norm1": pa.array(norm["first"]), "norm2": pa.array(norm.get("second", norm["first"])), "idx": flat(codes.astype(np.int8), pa.int8()), "k_mse": flat(back, pa.float64())}
+                if c.use_qjl:
+                    bits = np.zeros((len(x), words * 64), np.uint8)
+                    bits[:, : self.d] = left @ sketch.T >= 0
+                    out |= {"residual_norm": pa.array(np.minimum(norm["residual"], 65504.0)), "sign_words": flat(np.packbits(bits, axis=1, bitorder="little").view("<i8"), pa.int64())}
+                else:
+                    out |= {"residual_norm": pa.array(np.zeros(len(x))), "sign_words": pa.nulls(len(x), pa.list_(pa.int64()))}
+                at = np.where(v.is_valid().to_numpy(zero_copy_only=False), np.cumsum(v.is_valid().to_numpy(zero_copy_only=False)) - 1, -1)
+                at = pa.array(at, mask=at < 0)
+                made = [out[k] if len(x) == b.num_rows else out[k].take(at) for k in kinds]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *kinds])
+
+        new = [T.StructField(k, {"double": T.DoubleType(), "array<tinyint>": T.ArrayType(T.ByteType()), "array<double>": T.ArrayType(T.DoubleType()), "array<long>": T.ArrayType(T.LongType())}[kind]) for k, kind in kinds.items()]
+        return keys.mapInArrow(run, T.StructType([*keys.schema.fields, *new]))
+
     def _rebuild(self, t: DataFrame) -> DataFrame:
         v = self.mse.rot.column(self.mse.quant.dequantize(F.col("idx")) if "idx" in t.columns else F.col("points"), back=True)
         if self.use_nsn:

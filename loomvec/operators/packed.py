@@ -37,6 +37,11 @@ def array_of(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def _held(x: np.ndarray, kind: str) -> np.ndarray:
+    """Numbers as a record holds them; those of 16 bits stay finite."""
+    return (np.minimum(x, _MOST) if kind == "<f2" else x).astype(kind)
+
+
 @dataclass(frozen=True)
 class Layout:
     """What a record holds: d codes of `bits` bits, m signs, and norms of the given NumPy types."""
@@ -53,7 +58,7 @@ class Layout:
 
     def rounded(self, norms: list[np.ndarray]) -> list[np.ndarray]:
         """Norms as they come back from a record."""
-        return [np.minimum(x, _MOST).astype(t).astype(np.float64) for x, t in zip(norms, self.norms, strict=True)]
+        return [_held(x, t).astype(np.float64) for x, t in zip(norms, self.norms, strict=True)]
 
     def pack(self, codes: np.ndarray, signs: np.ndarray | None, norms: list[np.ndarray]) -> np.ndarray:
         """n records as an n x size matrix of bytes."""
@@ -62,7 +67,7 @@ class Layout:
         parts = [np.packbits(bits, axis=1, bitorder="little")]
         if self.m:
             parts.append(np.packbits(signs, axis=1, bitorder="little"))
-        parts += [np.minimum(x, _MOST).astype(t).reshape(n, 1).view(np.uint8) for x, t in zip(norms, self.norms, strict=True)]
+        parts += [_held(x, t).reshape(n, 1).view(np.uint8) for x, t in zip(norms, self.norms, strict=True)]
         return np.concatenate(parts, axis=1)
 
     def unpack(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -186,8 +191,8 @@ class PackedKeys:
             x = (x * norm["second"][:, None] + np.array(self.mean)) * norm["first"][:, None]
         return x * norm["norm"][:, None] if self.unit else x
 
-    def pack(self, x: np.ndarray) -> np.ndarray:
-        """Vectors (n x d) to records (n x size)."""
+    def parts(self, x: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """(codes, norms by name, restored vectors, residuals) of vectors (n x d)."""
         size, first, u = self._units(x)
         norm = {"norm": size, "residual": np.zeros(len(x)), "first": first}
         if self.use_nsn:
@@ -195,10 +200,15 @@ class PackedKeys:
             norm["second"] = np.sqrt((u * u).sum(axis=1))
             u = u / (norm["second"] + 1e-8)[:, None]
         codes = np.searchsorted(self.edges, u @ self.rot.matrix.T, side="left")
-        left = x - np.clip(self.restored(codes, self.layout.rounded([norm[k] for k in self.names])), -_MOST, _MOST)
+        back = np.clip(self.restored(codes, self.layout.rounded([norm[k] for k in self.names])), -_MOST, _MOST)
+        left = x - back
         norm["residual"] = np.sqrt((left * left).sum(axis=1))
-        norms = [norm[k] for k in self.names]
-        return self.layout.pack(codes, left @ self.sketch.T >= 0 if self.use_qjl else None, norms)
+        return codes, norm, back, left
+
+    def pack(self, x: np.ndarray) -> np.ndarray:
+        """Vectors (n x d) to records (n x size)."""
+        codes, norm, _, left = self.parts(x)
+        return self.layout.pack(codes, left @ self.sketch.T >= 0 if self.use_qjl else None, [norm[k] for k in self.names])
 
     def compress(self, keys: DataFrame, column: str = "vec", out: str = "record") -> DataFrame:
         """keys with a binary record in place of the vector; rows without a vector go. One map over Arrow batches."""

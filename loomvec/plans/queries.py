@@ -72,9 +72,9 @@ def flat_sql(ctes: str, source: str, expr: str, key: str = "vec_id") -> str:
 # Scans and sources
 
 
-@query(f"with {O.V} select label, count(*) as n, min(len(vec))::int as d, {O.r6('sum(vec[1])', 'first')} from v group by label")
+@query(f"with {O.V} select label, count(*) as n, min(len(vec))::int as d, {O.r6('sum(list_sum(vec))', 'total')} from v group by label")
 def scan_vectors(spark, d):
-    return X.vectors(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("d"), r6(F.sum(F.get("vec", F.lit(0))), "first"))
+    return X.vectors(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("d"), r6(F.sum(E.total(vec())), "total"))
 
 
 @query(f"with {O.KV} select h, s::int as s, k_id from k")
@@ -127,9 +127,9 @@ def dots_and_cosines(spark, d):
     return pairs(spark, d).select("vec_id", r6(E.dot(F.col("a"), F.col("b")), "dot"), r6(E.cosine(F.col("a"), F.col("b")), "cosine"))
 
 
-@query(f"with {O.V} select vec_id, {O.r6('greatest(-65504e0, least(65504e0, vec[1] * 1e6))', 'clamped')} from v")
+@query(f"with {O.V} select vec_id, {O.r6('list_sum([greatest(-65504e0, least(65504e0, x * 1e6)) for x in vec])', 'clamped')} from v")
 def clamp_half(spark, d):
-    return X.vectors(spark, d).select("vec_id", r6(E.clamp(F.get("vec", F.lit(0)) * 1e6), "clamped"))
+    return X.vectors(spark, d).select("vec_id", r6(E.total(F.transform("vec", lambda x: E.clamp(x * 1e6))), "clamped"))
 
 
 @query(f"with {O.V} select vec_id, j::int as block, {O.r6('list_sum(vec[j * 8 + 1:j * 8 + 8])', 'total')} from v, unnest(range(0, 8)) as t(j)")
@@ -421,9 +421,9 @@ def sign_words(spark, d):
     return t.select("vec_id", F.get(E.pack_signs(F.col("s"), D), F.lit(0)).alias("word"), F.size(F.filter("s", lambda x: x > 0)).alias("positive"))
 
 
-@query(f"with {O.V} select vec_id, (i - 1)::int as i, case when vec[i] >= 0 then 1 else -1 end as x from v, unnest(range(1, 51)) as t(i)")
+@query(f"with {O.V} select vec_id, (i - 1)::int as i, case when vec[i] >= 0 then 1 else -1 end as x from v, unnest(range(1, 65)) as t(i)")
 def sign_round_trip(spark, d):
-    t = X.vectors(spark, d).select("vec_id", E.unpack_signs(E.pack_signs(E.signs(F.slice("vec", 1, 50)), 50, 32), 50, 32).alias("s"))
+    t = X.vectors(spark, d).select("vec_id", E.unpack_signs(E.pack_signs(E.signs(vec()), D, 32), D, 32).alias("s"))
     return t.select("vec_id", F.posexplode("s").alias("i", "x")).select("vec_id", "i", F.col("x").cast("int").alias("x"))
 
 
@@ -793,21 +793,34 @@ def rotation_counts(spark, d):
 
 # Hypercomplex and geometric algebra
 
-_AB = f"{O.KV}, a as (select k_id, h, s, vec[1:8] as a, lead(vec[1:8]) over (partition by h order by s) as b, lead(vec[1:8], 2) over (partition by h order by s) as c from k)"
+
+
+def _ab(size: int) -> str:
+    """CTE a (k_id, h, s, block, a, b, c): blocks of a vector beside those of the next two of its head."""
+    block = "partition by h, block order by s"
+    return f"{O.KV}, pb as (select k_id, h, s, (j - 1)::int as block, vec[{size} * j - {size - 1} : {size} * j] as a from k, unnest(range(1, {D // size + 1})) as t(j)), a as (select *, lead(a) over ({block}) as b, lead(a, 2) over ({block}) as c from pb)"
+
+
+def by_block(df: DataFrame, column: Column, size: int, key: str = "k_id") -> DataFrame:
+    """(key, i, x): a vector column of blocks element by element, numbered through the whole vector."""
+    return df.select(key, "block", F.posexplode(column).alias("i", "y")).select(key, (F.col("block") * size + F.col("i")).alias("i"), r6(F.col("y"), "x"))
+
+
+def by_block_sql(ctes: str, source: str, expr: str, size: int, key: str = "k_id") -> str:
+    return f"with {ctes}, o as (select {key}, block, {expr} as y from {source}) select {key}, (block * {size} + i - 1)::int as i, {O.r6('y[i]', 'x')} from o, unnest(range(1, {size + 1})) as t(i)"
 
 
 def triplets(spark: SparkSession, d: str, size: int = 8) -> DataFrame:
-    t = X.keys(spark, d).select("b", "h", "s", "k_id", F.slice("vec", 1, size).alias("a"))
-    return Y.consecutive(t, ("a",)).select("h", "s", "k_id", "a", F.col("a1").alias("b"), F.col("a2").alias("c"))
+    t = Y.in_blocks(X.keys(spark, d), size, {"vec": "a"}, ("b", "h", "s", "k_id"))
+    return Y.consecutive(t, ("a",), group=("b", "h", "block")).select("h", "s", "k_id", "block", "a", F.col("a1").alias("b"), F.col("a2").alias("c"))
 
 
 def product_query(kind: str, size: int) -> None:
     def sql() -> str:
-        src = _AB.replace("[1:8]", f"[1:{size}]")
-        return flat_sql(src, "a", A.product_sql("a", "b", size, kind), "k_id") .replace("from a)", "from a where c is not null)")
+        return by_block_sql(_ab(size), "a", A.product_sql("a", "b", size, kind), size).replace("from a)", "from a where c is not null)")
 
     def run(spark, d):
-        return flat(triplets(spark, d, size), A.product(F.col("a"), F.col("b"), size, kind), "k_id")
+        return by_block(triplets(spark, d, size), A.product(F.col("a"), F.col("b"), size, kind), size)
 
     run.__name__ = f"product_{kind}_{size}"
     query(sql)(run)
@@ -823,29 +836,31 @@ def _assoc_sql(names: tuple[str, str, str], prefix: str) -> str:
     return f"{A.product_sql(a, b, 8)} as {prefix}ab, {A.product_sql(b, c, 8)} as {prefix}bc"
 
 
-@query(lambda: f"""with {_AB}, p as (select *, {_assoc_sql(('a', 'b', 'c'), '')}, {A.product_sql('b', 'a', 8)} as ba from a where c is not null), q as (select *, {A.product_sql('ab', 'c', 8)} as l, {A.product_sql('a', 'bc', 8)} as r from p)
-select k_id, {O.r6('sqrt(list_sum([(l[i] - r[i]) * (l[i] - r[i]) for i in range(1, 9)])) / (' + O.norm('a') + ' * ' + O.norm('b') + ' * ' + O.norm('c') + ' + 1e-8)', 'assoc')}, {O.r6('sqrt(list_sum([(ab[i] - ba[i]) * (ab[i] - ba[i]) for i in range(1, 9)]))', 'comm')} from q""")
+@query(lambda: f"""with {_ab(8)}, p as (select *, {_assoc_sql(('a', 'b', 'c'), '')}, {A.product_sql('b', 'a', 8)} as ba from a where c is not null), q as (select *, {A.product_sql('ab', 'c', 8)} as l, {A.product_sql('a', 'bc', 8)} as r from p)
+select k_id, block, {O.r6('sqrt(list_sum([(l[i] - r[i]) * (l[i] - r[i]) for i in range(1, 9)])) / (' + O.norm('a') + ' * ' + O.norm('b') + ' * ' + O.norm('c') + ' + 1e-8)', 'assoc')}, {O.r6('sqrt(list_sum([(ab[i] - ba[i]) * (ab[i] - ba[i]) for i in range(1, 9)]))', 'comm')} from q""")
 def associators(spark, d):
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return triplets(spark, d).select("k_id", r6(A.associator_norm_column(a, b, c, 8), "assoc"), r6(E.norm(A.commutator_column(a, b, 8)), "comm"))
+    return triplets(spark, d).select("k_id", "block", r6(A.associator_norm_column(a, b, c, 8), "assoc"), r6(E.norm(A.commutator_column(a, b, 8)), "comm"))
 
 
-@query(flat_sql(f"{O.KV}, a as (select k_id, vec[1:8] as a from k), w as (select k_id, a, {O.dot('a', 'a')} + 1e-8 as n from a)", "w", "[case when i = 1 then x else -x end / n for x, i in a]", "k_id"))
+@query(by_block_sql(f"{O.KV}, a as (select k_id, (j - 1)::int as block, vec[8 * j - 7 : 8 * j] as a from k, unnest(range(1, 9)) as t(j)), w as (select k_id, block, a, {O.dot('a', 'a')} + 1e-8 as n from a)", "w", "[case when i = 1 then x else -x end / n for x, i in a]", 8))
 def inverses(spark, d):
-    return flat(X.keys(spark, d).select("k_id", F.slice("vec", 1, 8).alias("a")), A.inverse_column(F.col("a")), "k_id")
+    t = Y.in_blocks(X.keys(spark, d), 8, {"vec": "a"}, ("k_id",))
+    return by_block(t, A.inverse_column(F.col("a")), 8)
 
 
-@query(f"with {O.V} select vec_id, {O.r6('vec[1]', 'real')}, {O.r6('list_sum(vec[2:8])', 'imag')}, {O.r6('vec[1]', 'embedded')} from v")
+@query(f"with {O.V}, p as (select vec_id, (j - 1)::int as block, vec[8 * j - 7 : 8 * j] as a from v, unnest(range(1, 9)) as t(j)) select vec_id, block, {O.r6('a[1]', 'real')}, {O.r6('list_sum(a[2:8])', 'imag')}, {O.r6('a[1]', 'embedded')} from p")
 def real_and_imaginary(spark, d):
-    t = X.vectors(spark, d).select("vec_id", F.slice("vec", 1, 8).alias("a"))
-    return t.select("vec_id", r6(A.real_part(F.col("a")), "real"), r6(E.total(A.imag_part(F.col("a"))), "imag"), r6(E.total(A.from_real(A.real_part(F.col("a")), 8)), "embedded"))
+    t = Y.in_blocks(X.vectors(spark, d), 8, {"vec": "a"}, ("vec_id",))
+    return t.select("vec_id", "block", r6(A.real_part(F.col("a")), "real"), r6(E.total(A.imag_part(F.col("a"))), "imag"), r6(E.total(A.from_real(A.real_part(F.col("a")), 8)), "embedded"))
 
 
-@query(lambda: flat_sql(f"{O.V}, r as (select vec_id, [{', '.join(O.num(x) for x in _ROTOR)}] as r, [0e0, vec[1], vec[2], vec[3], 0e0, 0e0, 0e0, 0e0] as w from v), p as (select vec_id, r, {A.product_sql('r', 'w', 8, 'clifford')} as p, [case when i > 4 then -x else x end for x, i in r] as rr from r)", "p", A.product_sql("p", "rr", 8, "clifford")))
+@query(lambda: by_block_sql(f"{O.V}, z as (select vec_id, vec || [0e0, 0e0] as vec from v), r as (select vec_id, (j - 1)::int as block, [{', '.join(O.num(x) for x in _ROTOR)}] as r, [0e0, vec[3 * j - 2], vec[3 * j - 1], vec[3 * j], 0e0, 0e0, 0e0, 0e0] as w from z, unnest(range(1, 23)) as t(j)), p as (select vec_id, block, r, {A.product_sql('r', 'w', 8, 'clifford')} as p, [case when i > 4 then -x else x end for x, i in r] as rr from r)", "p", A.product_sql("p", "rr", 8, "clifford"), 8, "vec_id"))
 def rotor_sandwich(spark, d):
-    w = F.concat(F.array(F.lit(0.0)), F.slice("vec", 1, 3), F.array_repeat(F.lit(0.0), 4))
-    t = X.vectors(spark, d).select("vec_id", w.alias("w"), E.literal(_ROTOR).alias("r"))
-    return flat(t, A.sandwich_column(F.col("r"), F.col("w")))
+    """Three elements after the other as vectors of Cl(3,0), the last filled up with zeros."""
+    t = Y.in_blocks(X.vectors(spark, d).select("vec_id", E.head(vec(), 66).alias("vec")), 3, {"vec": "a"}, ("vec_id",))
+    w = F.concat(F.array(F.lit(0.0)), F.col("a"), F.array_repeat(F.lit(0.0), 4))
+    return by_block(t.select("vec_id", "block", w.alias("w"), E.literal(_ROTOR).alias("r")), A.sandwich_column(F.col("r"), F.col("w")), 8, "vec_id")
 
 
 _ROTOR = A.rotor(np.random.default_rng(5)).tolist()
@@ -874,12 +889,12 @@ def triplet_fidelity(spark, d):
     return f.select(*[r6(F.col(c), c) for c in ("mean", "min", "max", "std", "mean_pre", "mean_post")], "n")
 
 
-@query(lambda: f"""with {_AB}, p as (select *, {_assoc_sql(('a', 'b', 'c'), '')} from a), q as (select *, case when c is not null then sqrt(list_sum([(l[i] - r[i]) * (l[i] - r[i]) for i in range(1, 9)])) / ({O.norm('a')} * {O.norm('b')} * {O.norm('c')} + 1e-8) end as x
-  from (select *, {A.product_sql('ab', 'c', 8)} as l, {A.product_sql('a', 'bc', 8)} as r from p)), w as (select h, s, count(*) over (partition by h) as n, row_number() over (partition by h order by s) as i, coalesce(sum(x) over (partition by h order by s rows between 2 preceding and current row), 0) as t from q)
-select h, s::int as s, {O.r6('t / least(least(i, n - i + 1), 3)', 'value')} from w""")
+@query(lambda: f"""with {_ab(8)}, p as (select *, {_assoc_sql(('a', 'b', 'c'), '')} from a), q as (select *, case when c is not null then sqrt(list_sum([(l[i] - r[i]) * (l[i] - r[i]) for i in range(1, 9)])) / ({O.norm('a')} * {O.norm('b')} * {O.norm('c')} + 1e-8) end as x
+  from (select *, {A.product_sql('ab', 'c', 8)} as l, {A.product_sql('a', 'bc', 8)} as r from p)), w as (select h, s, block, count(*) over (partition by h, block) as n, row_number() over (partition by h, block order by s) as i, coalesce(sum(x) over (partition by h, block order by s rows between 2 preceding and current row), 0) as t from q)
+select h, s::int as s, block, {O.r6('t / least(least(i, n - i + 1), 3)', 'value')} from w""")
 def token_associators(spark, d):
-    t = X.keys(spark, d).select("b", "h", "s", F.slice("vec", 1, 8).alias("vec"))
-    return Y.residual_associators(t, 8).select("h", "s", r6(F.col("value"), "value"))
+    t = Y.in_blocks(X.keys(spark, d), 8, {"vec": "vec"}, ("b", "h", "s"))
+    return Y.residual_associators(t, 8, group=("b", "h", "block")).select("h", "s", "block", r6(F.col("value"), "value"))
 
 
 @query(Z.zero_divisor_quartiles)
