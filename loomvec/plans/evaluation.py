@@ -14,6 +14,7 @@ from ..operators import normalize as N
 from ..operators import quantizers as Q
 from ..operators import rotations as R
 from ..operators import scoring as S
+from . import trials as T
 
 ROTATIONS = ("haar", "wht", "cd4", "cd8", "cd16", "hybrid", "e8block", "clifford", "kac")
 
@@ -59,8 +60,12 @@ def quantizer_benchmark(df: DataFrame, names: tuple[str, ...] = ("scalar", "e8",
 
 
 def attention_fidelity(keys: DataFrame, queries: DataFrame, bits: tuple[int, ...] = (2, 3, 4), rotation: str = "wht", quantizer: object = None, use_nsn: bool = True, seed: int = 42, group: tuple[str, ...] = ("b", "h")) -> DataFrame:
-    """(bits, group, cosine, top1, top5) of estimated against exact scores."""
+    """(bits, group, cosine, top1, top5) of estimated against exact scores. With scalar codes all bits are one pass over the keys."""
     d, parts = E.require_dim(keys, "vec"), []
+    if quantizer is None:
+        settings = {str(b): T.setting(d, b, rotation, use_nsn, seed) for b in bits}
+        t = T.trials(keys.select(*group, "k_id", "vec"), queries.select(*group, "q_id", "q", F.lit(None).cast("long").alias("target")), settings, group)
+        return T.summary(t, settings, group, (group,)).select(*group, "cosine", "top1", "top5", F.col("setting").cast("int").alias("bits"))
     exact = S.all_scores(queries, keys.select(*group, "k_id", F.col("vec").alias("k")), group)
     for b in bits:
         c = P.KeyCompressor(d, b, rotation, quantizer, seed, use_nsn)
@@ -112,14 +117,13 @@ def compress_cache(layers: dict[int, tuple[DataFrame, DataFrame]], key_bits: int
 
 def needle_retrieval(keys: DataFrame, needle: list[float], at: int, bits: tuple[int, ...] = (2, 3, 4), seed: int = 42) -> DataFrame:
     """(bits, rank) of the key `at` when its own vector is the query."""
-    d, parts = len(needle), []
-    q = keys.sparkSession.createDataFrame([(0, needle)], "q_id int, q array<double>")
-    flat = keys.select("k_id", "vec").withColumn("b", F.lit(0)).withColumn("h", F.lit(0))
-    for b in bits:
-        c = P.KeyCompressor(d, b, "wht", seed=seed)
-        s = c.scores(q.withColumn("b", F.lit(0)).withColumn("h", F.lit(0)), c.compress(flat))
-        parts.append(S.needle_rank(s, F.col("k_id") == at).select(F.lit(b).alias("bits"), "rank"))
-    return _union(parts)
+    settings = {str(b): T.setting(len(needle), b, seed=seed).fit(keys) for b in bits}
+    t = T.estimates(keys.where("vec is not null").select("k_id", "vec", E.literal(needle).alias("q")), settings, ["k_id"])
+    own = keys.where(F.col("k_id") == at).select("k_id", "vec", E.literal(needle).alias("q")).limit(1)
+    e0 = T.estimates(own, settings, ["k_id"]).first()["est"]  # one row
+    above = [F.sum(((F.col("est")[i] > e) | ((F.col("est")[i] == e) & (F.col("k_id") < at))).cast("long")).alias(f"r{i}") for i, e in enumerate(e0)]
+    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), (F.coalesce(F.col(f"r{i}"), F.lit(0)) + 1).alias("rank")) for i, b in enumerate(bits)])).alias("x")
+    return t.agg(*above).select(rows).select("x.*")
 
 
 def compare(df: DataFrame, bits: tuple[int, ...] = (2, 3, 4), seed: int = 42, column: str = "vec") -> DataFrame:
