@@ -1,13 +1,16 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Documents are tokenized and cut; full pieces are sequences of their own, the rest are items. Items
-are dealt to blocks of a few thousand by a hash. For each block several islands evolve packings: a
-crossover injects whole well-filled sequences of one parent into another, drops the sequences that
+Documents are tokenized and cut; full pieces are sequences of their own, the rest are items. A first
+packing of all items is best fit in the order of falling lengths, which follows from the number of items
+of each length alone: the driver works out where runs of equal items go, items find their places by
+their ranks. Its sequences are dealt to blocks of a few thousand items by a hash. For each block several
+islands evolve packings from it: a crossover injects whole well-filled sequences of one parent into another, drops the sequences that
 hold a duplicate, and puts the documents that lost their place where they fill best: first by exchange
 for smaller ones, then by best fit. After an epoch the best packing of each island moves to its
 neighbour, and a second epoch starts from it. An island whose packing meets the lower bound is done:
-no packing has fewer sequences. What is left in sequences that aren't filled moves on to fewer blocks
-and is packed again, until one block is left.
+no packing has fewer sequences. Sequences that aren't filled move on whole to fewer blocks, where
+evolution goes on from them, for a few levels. No step makes more sequences than it was given, so there
+are never more than by best fit.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, narrow, read_table
@@ -33,6 +37,10 @@ PAIRS = 8
 #: A sequence that is filled to this share stays, by level; the others move on to the next one. Full ones only at first: what
 #: they would waste is better spent among the loose ends of all blocks. The last share is also what a crossover calls well filled.
 WELL = (1.0, 0.9995, 0.985)
+#: Levels at most.
+LEVELS = 6
+#: Parts of a length's items that are ranked on their own.
+SLICES = 64
 #: What ends a document.
 END = 0
 
@@ -205,19 +213,62 @@ def genome(p: Packing) -> list[int]:
 _GENOME = "block long, island int, genome array<int>, n_bins int"
 
 
+def best_fit_runs(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
+    """(length, first rank, per bin, first bin): runs of equal items in a best fit by falling lengths; counts: length -> items.
+
+    Items of a length go `per bin` at a time, in the order of their ranks, to bins counted on from the first.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    rooms: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # room -> (first bin, bins)
+    bins = 0
+    for n in sorted(counts, reverse=True):
+        left, rank, room = counts[n], 0, n
+        while left:
+            while room < size and not rooms[room]:
+                room += 1
+            first, many = rooms[room].pop() if room < size else (bins, -(-left // (size // n)))
+            per = min(room // n, left)
+            used = min(many, left // per)
+            out.append((n, rank, per, first))
+            if room == size:
+                bins += used
+            elif used < many:
+                rooms[room].append((first + used, many - used))
+            rooms[room - per * n].append((first, used))
+            rank, left = rank + per * used, left - per * used
+    return out
+
+
+def best_fit_bins(items: DataFrame, size: int) -> DataFrame:
+    """items (row, piece, length) with the bin of each in a best fit of all of them."""
+    counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer rows than a sequence has tokens
+    runs = items.sparkSession.createDataFrame(best_fit_runs(counts, size), "length2 long, rank long, per long, first long")
+    # One row a length again, with its runs in the order of ranks.
+    runs = runs.groupBy("length2").agg(F.array_sort(F.collect_list(F.struct("rank", "per", "first"))).alias("runs"))
+    t = items.withColumn("slice", F.pmod(F.xxhash64("row", "piece"), F.lit(SLICES)))
+    sizes = t.groupBy("length", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("slice")) - F.col("n")
+    sizes = sizes.select(F.col("length").alias("length3"), F.col("slice").alias("slice3"), before.alias("before"))
+    t = t.withColumn("own", F.row_number().over(W.partitionBy("length", "slice").orderBy("row", "piece")) - 1)
+    t = t.join(sizes, (F.col("length") == F.col("length3")) & (F.col("slice") == F.col("slice3"))).withColumn("rank", F.col("own") + F.col("before"))
+    t = t.join(runs, F.col("length") == F.col("length2"))
+    run = F.element_at("runs", F.size(F.filter("runs", lambda r: r["rank"] <= F.col("rank"))))
+    return t.withColumn("run", run).select("row", "piece", "length", (F.col("run.first") + F.floor((F.col("rank") - F.col("run.rank")) / F.col("run.per"))).cast("long").alias("bin"))
+
+
 def pack_level(items: DataFrame, n_blocks: int, size: int, level: int) -> DataFrame:
-    """items (row, piece, length) -> (row, piece, length, block, bin, place, fill): one level of packing."""
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("row", "piece", F.lit(level)), F.lit(n_blocks)))
-    # A block is one row; its size is bounded, for items are dealt by a hash of their unique key.
-    blocks = cut(dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("minus"), "row", "piece"))).alias("items")))
-    tasks = blocks.select("block", F.transform("items", lambda x: -x["minus"]).alias("lengths"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
+    """items (row, piece, length, bin) -> (row, piece, length, block, bin, place, fill): one level of packing, from the bins that they are in."""
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(n_blocks)))
+    # A block is one row; its size is bounded, for bins are dealt by a hash and hold a sequence's tokens at most.
+    blocks = cut(dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("minus"), "row", "piece", "bin"))).alias("items")))
+    tasks = blocks.select("block", F.transform("items", lambda x: -x["minus"]).alias("lengths"), F.array(F.transform("items", lambda x: x["bin"])).alias("elites"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
 
     def epoch(number: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 rows = []
                 for r in f.itertuples(index=False):
-                    start = [list(g) for g in getattr(r, "elites", [])]
+                    start = [list(g) for g in r.elites]
                     lengths = [int(n) for n in r.lengths]
                     best = evolve(lengths, size, hash((int(r.block), int(r.island), number, level)) & 0x7FFFFFFF, start)
                     rows.append((r.block, r.island, genome(best), len(best.bins)))
@@ -262,22 +313,22 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     pieces = cut(pieces_of(docs, doc_id, text, size, tokenizer))
     full = pieces.where(F.col("length") == size).select("row", "piece", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = [full]
-    items, level = pieces.where(F.col("length") < size).select("row", "piece", "length"), 0
+    items = pieces.where(F.col("length") < size).select("row", "piece", "length")
     count = items.count()
-    while count:
+    items = cut(best_fit_bins(items, size)) if count else items
+    for level in range(LEVELS):
+        if not count:
+            break
         n_blocks = max(1, -(-count // block))
         packed = cut(pack_level(items, n_blocks, size, level))
         number = (F.lit(level << 55) + F.col("block") * (1 << 20) + F.col("bin")) * 2 + 1
-        stays = F.lit(True) if n_blocks == 1 else F.col("fill") >= F.lit(WELL[min(level, len(WELL) - 1)] * size)
+        last = n_blocks == 1 or level == LEVELS - 1
+        stays = F.lit(True) if last else F.col("fill") >= F.lit(WELL[min(level, len(WELL) - 1)] * size)
         placed.append(packed.where(stays).select("row", "piece", number.alias("sequence_id"), F.col("place").alias("offset")))
-        if n_blocks == 1:
-            break
-        items, level = packed.where(~stays).select("row", "piece", "length"), level + 1
-        left = items.count()
-        if left >= count and level >= len(WELL):  # nothing was filled well, and nothing will be: each block keeps what it has
-            placed.append(items.join(packed, ["row", "piece", "length"]).select("row", "piece", number.alias("sequence_id"), F.col("place").alias("offset")))
+        if last:
             break
-        count = left
+        items = packed.where(~stays).select("row", "piece", "length", number.alias("bin"))
+        count = items.count()
     where = placed[0]
     for p in placed[1:]:
         where = where.unionByName(p)
