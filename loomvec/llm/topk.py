@@ -382,14 +382,14 @@ def search_table(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     n = t.count()
     sample = [r["v"] for r in t.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect()]
     centres = choose_cells(sample, n, shard)
-    homed = cut(homes(t, centres))
+    homed = cut(homes(t, centres).withColumn("row", F.monotonically_increasing_id()))
     drop_cut(t)
     is_query = F.col("id") % every == 0
     # One row a cell, 2 * CELLS at most.
     stats = {r["cell"]: r for r in homed.groupBy("cell").agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
     per_cell = lambda f: F.element_at(F.array(*[F.lit(f(stats[c]) if c in stats else 1) for c in range(2 * CELLS)]), F.col("cell") + 1)
     part_of = lambda h: F.pmod(h, per_cell(lambda s: max(1, -(-s["n"] // shard)))).cast("int")
-    shards = cut(homed.withColumn("part", part_of(F.xxhash64("id", F.lit(7)))).groupBy("width", "cell", "part").applyInArrow(plant, _SHARD))
+    shards = cut(homed.withColumn("part", part_of(F.xxhash64("row", F.lit(7)))).groupBy("width", "cell", "part").applyInArrow(plant, _SHARD))
     tasks = max(1, -(-sum(s["q"] for s in stats.values()) // TASK))
     grp = F.pmod(F.xxhash64("id", F.lit(1)), per_cell(lambda s: max(1, -(-s["q"] // group)))).cast("int")
     asked = homed.where(is_query).dropDuplicates(["id", "v"]).withColumn("grp", grp)
