@@ -431,10 +431,15 @@ def decode(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode_many(streams: list[bytes]) -> list[np.ndarray]:
-    """Samples of many streams; the frames of all streams that encode_many() can write are decoded together."""
+    """Samples of many streams."""
+    return [x for x, _ in decode_with_offsets(streams)]
+
+
+def decode_with_offsets(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(samples, byte offset of each frame) of many streams; the frames of all streams that encode_many() can write are decoded together."""
     infos = [read_head(s) for s in streams]
     easy, data, starts, ends, heads, counts = [], [], [], [], [], []
-    base = 0
+    base, places = 0, {}
     for i, (s, (info, at)) in enumerate(zip(streams, infos, strict=True)):
         if (info["block"], info["fixed"], info["channels"], info["bits"]) == (BLOCK, True, 1, 8) and info["samples"] and info["samples"] % BLOCK == 0:
             d = np.frombuffer(s, np.uint8)[at:]
@@ -442,6 +447,7 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
             if f is not None:
                 easy.append(i)
                 data.append(d)
+                places[i] = f + at
                 starts.append(f + base)
                 ends.append(np.append(f[1:], len(d)) + base)
                 heads.append(frame_heads(np.arange(len(f)))[1])
@@ -458,7 +464,7 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
                 out[i] = frames[at[j] : at[j + 1]].ravel()
                 if infos[i][0]["md5"] != hashlib.md5(out[i].astype(np.int8)).digest():
                     raise FlacError("MD5 of the samples")
-    return [decode(s)[0] if x is None else x for s, x in zip(streams, out, strict=True)]
+    return [decode(s) if x is None else (x, places[i]) for i, (s, x) in enumerate(zip(streams, out, strict=True))]
 
 
 def padded(raw: np.ndarray) -> np.ndarray:
@@ -467,14 +473,10 @@ def padded(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([raw, np.full(n - len(raw), 32, np.uint8)])
 
 
-def feature(samples: np.ndarray) -> str:
-    """Length, mean, root mean square, peak and zero crossings of the samples."""
-    x = samples.astype(np.int64)
-    sign = x >= 0
-    return f"n={len(x)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};peak={int(np.abs(x).max())};zc={int((sign[1:] != sign[:-1]).sum())}"
-
-
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Samples of a PCM block of stored streams: a whole number of frames.
+SAMPLES = BLOCK * 256
+_PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, block int, sample_offset long, byte_offset long, n_samples long, last boolean, pcm binary"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, seek string"
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -494,28 +496,83 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return narrow(docs, doc_id=F.col(doc_id).cast("long"), text=text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) as stored -> DIGEST: the streams decoded, their checksums verified, and what the samples say. Equal streams give equal rows."""
+def stored_blocks(media: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """(doc_id, n_bytes, media) as stored -> PCM blocks of up to `samples` samples (whole frames), stream by stream and block by block.
+
+    sample_offset and byte_offset are where a block begins in the samples and, by its first frame, in the
+    stream: to seek, a reader takes the block before a sample and decodes from its byte. Every frame's
+    checksum and the stream's are verified. pcm: signed 8-bit samples. last marks a stream's last block.
+    """
+    names = [c.split()[0] for c in _PCM.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             streams = [m.as_py() for m in batch.column(2)]
             ends = np.cumsum([0] + [len(m) for m in streams])
             for lo, hi in pieces(ends, CHUNK * BLOCK):
-                rows = []
-                for m, x in zip(streams[lo:hi], decode_many(streams[lo:hi]), strict=True):
-                    p = (x + 128).astype(np.uint8).tobytes()
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(x)))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *cols], names=[c.split()[0] for c in DIGEST.split(", ")])
+                rows, at = [], []
+                for i, (m, (x, frames)) in enumerate(zip(streams[lo:hi], decode_with_offsets(streams[lo:hi]), strict=True), lo):
+                    sha = hashlib.sha256(m).hexdigest()
+                    for k, first in enumerate(range(0, len(x), samples)):
+                        part = x[first : first + samples]
+                        rows.append((len(m), sha, k, first, int(frames[first // BLOCK]), len(part), first + len(part) == len(x), part.astype(np.int8).tobytes()))
+                        at.append(i)
+                at = pa.array(at, pa.int32())
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _PCM)
+
+
+class Summary:
+    """What a stream's samples say, block after block."""
+
+    def __init__(self) -> None:
+        self.sha, self.tail, self.seek = hashlib.sha256(), b"", []
+        self.n = self.total = self.square = self.peak = self.crossings = 0
+        self.sign: bool | None = None
+
+    def add(self, x: np.ndarray, sample_offset: int, byte_offset: int) -> None:
+        raw = (x + 128).astype(np.uint8).tobytes()
+        self.sha.update(raw)
+        self.tail = (self.tail + raw)[-16:]
+        self.seek.append(f"{sample_offset}:{byte_offset}")
+        sign = x >= 0
+        self.crossings += int((sign[1:] != sign[:-1]).sum()) + (self.sign is not None and bool(sign[0]) != self.sign)
+        self.sign = bool(sign[-1])
+        self.n, self.total, self.square = self.n + len(x), self.total + int(x.sum()), self.square + int((x * x).sum())
+        self.peak = max(self.peak, int(np.abs(x).max()))
+
+    def feature(self) -> str:
+        return f"n={self.n};mean={self.total / self.n:.4f};rms={np.sqrt(self.square / self.n):.4f};peak={self.peak};zc={self.crossings}"
+
+
+def describe(blocks: DataFrame) -> DataFrame:
+    """PCM blocks of stored_blocks(), in their order -> DIGEST, a row a stream: sums go on from block to block, and a stream may go on in the next batch. seek lists sample and byte offsets."""
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Summary()
+        for batch in batches:
+            rows, at = [], []
+            sample, byte, last = (batch.column(c).to_pylist() for c in ("sample_offset", "byte_offset", "last"))
+            for i, pcm in enumerate(batch.column("pcm")):
+                now.add(np.frombuffer(pcm.as_buffer(), np.int8).astype(np.int64), sample[i], byte[i])
+                if last[i]:
+                    rows.append((now.n, now.sha.hexdigest(), zlib.crc32(now.tail), now.feature(), len(now.seek), ",".join(now.seek)))
+                    at.append(i)
+                    now = Summary()
+            at = pa.array(at, pa.int32())
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            size, sha, tail, told, n, seek = (pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True))
+            held = [batch.column(c).take(at) for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256")]
+            yield pa.RecordBatch.from_arrays([held[0], held[1], size, sha, tail, held[2], held[3], told, n, seek], names=[c.split()[0] for c in DIGEST.split(", ")])
+
+    return blocks.mapInArrow(run, DIGEST)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: its text stored as a FLAC stream in a table of the shared folder, read back from there, and described. Edge cases are those of store()."""
-    return describe(cut(store(docs, doc_id, text)))
+    return describe(stored_blocks(cut(store(docs, doc_id, text))))
 
 
 def pcm_blocks(streams: DataFrame, key: str = "doc_id", media: str = "media", samples: int = 4096) -> DataFrame:

@@ -212,3 +212,24 @@ def test_cover_tree_covers_and_keeps_centres_apart(n):
         gaps = [np.sqrt(((x[a] - x[b]) ** 2).sum()) for i, a in enumerate(kids) for b in kids[:i]]
         assert min(gaps, default=np.inf) > K.SHRINK * tree.radius[node] - 1e-9
     assert n < 300 or len(tree.centre) > 6
+
+
+def test_blocks_of_stored_streams_seek_and_sum_up(spark):
+    rng = np.random.default_rng(6)
+    texts = ["", "é" * 700, "a b c " * 900, "".join(map(chr, rng.integers(32, 900, 2500))), None, "x" * 192]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    media = M.store(t)
+    whole = {r["doc_id"]: r.asDict() for r in M.describe(M.stored_blocks(media)).collect()}
+    parts = {r["doc_id"]: r.asDict() for r in M.describe(M.stored_blocks(media, samples=384)).collect()}
+    streams = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+    for i, text in enumerate(texts):
+        p = M.padded(np.frombuffer((text or "").encode(), np.uint8))
+        x = p.astype(np.int64) - 128
+        zc = int(((x >= 0)[1:] != (x >= 0)[:-1]).sum())
+        want = f"n={len(x)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};peak={int(np.abs(x).max())};zc={zc}"
+        assert parts[i]["feature"] == whole[i]["feature"] == want and parts[i]["payload_sha256"] == whole[i]["payload_sha256"] == hashlib.sha256(p.tobytes()).hexdigest()
+        assert parts[i]["tail_crc32"] == zlib.crc32(p[-16:].tobytes()) and parts[i]["n_blocks"] == -(-len(p) // 384) and whole[i]["n_blocks"] == 1
+        places = {offset: at for offset, at, _ in M.decode_blocks(streams[i])}
+        for pair in parts[i]["seek"].split(","):
+            sample, byte = map(int, pair.split(":"))
+            assert places[sample] == byte and sample % 384 == 0
