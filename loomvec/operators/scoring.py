@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from .codebooks import nearest_code
+from .packed import KEYS, QUERIES, array_of, in_tiles
 
 
 def all_scores(queries: DataFrame, keys: DataFrame, on: tuple[str, ...] = ("b", "h")) -> DataFrame:
-    """(on, q_id, k_id, score): inner products of the queries (q_id, q) and keys (k_id, k) of a group. Spark picks the join by size."""
-    return queries.join(keys, list(on)).select(*on, "q_id", "k_id", E.dot(F.col("q"), F.col("k")).alias("score"))
+    """(on, q_id, k_id, score): inner products of the queries (q_id, q) and keys (k_id, k) of a group, ids whole numbers; rows without a vector are left out.
+
+    Rows of a partition and group become tiles of bounded size, and tiles of a group meet: a product of
+    two matrices for each pair of tiles, whatever the number of groups.
+    """
+    names = [*on, "q_id", "k_id", "score"]
+    left = in_tiles(queries.where("q is not null").select(*on, F.col("q_id").cast("long").alias("q_id"), "q"), on, QUERIES, lambda c: array_of(c, len(c)), ("q_ids", "qs"))
+    right = in_tiles(keys.where("k is not null").select(*on, F.col("k_id").cast("long").alias("k_id"), "k"), on, KEYS, lambda c: array_of(c, len(c)), ("k_ids", "ks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q_ids, k_ids, q, k = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in (("q_ids", "<i8"), ("k_ids", "<i8"), ("qs", "<f8"), ("ks", "<f8")))
+                s = q.reshape(len(q_ids), -1) @ k.reshape(len(k_ids), -1).T
+                head = [pa.array([b.column(c)[i].as_py()] * s.size, b.schema.field(c).type) for c in on]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(np.repeat(q_ids, len(k_ids))), pa.array(np.tile(k_ids, len(q_ids))), pa.array(s.ravel())], names=names)
+
+    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in on)
+    t = left.join(right, list(on)).mapInArrow(run, f"{kinds}, q_id long, k_id long, score double")
+    return t.select(*on, F.col("q_id").cast(queries.schema["q_id"].dataType), F.col("k_id").cast(keys.schema["k_id"].dataType), "score")
 
 
 def chunk_scores(query: list[float], chunks: DataFrame, column: str = "k") -> DataFrame:

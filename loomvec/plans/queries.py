@@ -457,12 +457,11 @@ def _prod_sql() -> str:
 
 @query(_prod_sql)
 def estimate_products(spark, d):
-    c = P.Prod(D, 3, "wht")
-    t = X.vectors(spark, d)
-    k = c.compress(t)
-    q = c.project(t.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), vec().alias("q")))
-    s = c.estimate(F.col("q"), F.col("q_proj"), F.col("k_mse"), F.col("sign_words"), F.col("residual_norm"))
-    return q.crossJoin(k).select("q_id", "vec_id", (F.round(s, 5) + F.lit(0.0)).alias("score"))
+    """Every fiftieth vector against all, from records: tiles of queries and keys meet."""
+    c = K.PackedKeys(D, 3, use_nsn=False, unit=False, norm_types="<f8", sketch_seed=43)
+    t = X.vectors(spark, d).select(F.lit(0).alias("g"), F.col("vec_id").alias("k_id"), "vec")
+    q = t.where("k_id % 50 = 0").select("g", F.col("k_id").alias("q_id"), vec().alias("q"))
+    return c.scores(q, c.compress(t), ("g",)).select("q_id", F.col("k_id").alias("vec_id"), (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
 # Scores and top-k
