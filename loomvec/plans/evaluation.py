@@ -121,7 +121,7 @@ def needle_retrieval(keys: DataFrame, needle: list[float], at: int, bits: tuple[
     t = T.estimates(keys.where("vec is not null").select("k_id", "vec", E.literal(needle).alias("q")), settings, ["k_id"])
     own = keys.where(F.col("k_id") == at).select("k_id", "vec", E.literal(needle).alias("q")).limit(1)
     e0 = T.estimates(own, settings, ["k_id"]).first()["est"]  # one row
-    above = [F.sum(((F.col("est")[i] > e) | ((F.col("est")[i] == e) & (F.col("k_id") < at))).cast("long")).alias(f"r{i}") for i, e in enumerate(e0)]
+    above = [F.sum(((F.col("est")[i] > e + T.EQUAL) | ((F.abs(F.col("est")[i] - e) <= T.EQUAL) & (F.col("k_id") < at))).cast("long")).alias(f"r{i}") for i, e in enumerate(e0)]
     rows = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), (F.coalesce(F.col(f"r{i}"), F.lit(0)) + 1).alias("rank")) for i, b in enumerate(bits)])).alias("x")
     return t.agg(*above).select(rows).select("x.*")
 

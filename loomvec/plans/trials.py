@@ -20,6 +20,8 @@ from ..functions import expr as E
 from ..operators.packed import PackedKeys, array_of
 
 Settings = dict[str, PackedKeys]
+#: Estimates that differ by less are equal: a row's last bits depend on the batch that it is multiplied in.
+EQUAL = 1e-12
 
 
 def setting(d: int, bits: int, rotation: str = "wht", use_nsn: bool = True, seed: int = 42) -> PackedKeys:
@@ -69,7 +71,7 @@ def trials(keys: DataFrame, queries: DataFrame, settings: Settings, group: tuple
     t = t.select(*by, "target", "best", "k_id", F.col("score").alias("x"), F.explode(F.arrays_zip(names.alias("setting"), F.col("est").alias("y"), F.col("est0").alias("y0"))).alias("e")).select(*by, "target", "best", "k_id", "x", "e.*")
     sums = {"x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
     top = F.max_by("k_id", F.struct("y", (-F.col("k_id")).alias("k")))
-    t = t.groupBy("setting", *by).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()], top.alias("found"), F.max("best").alias("best"), F.max("target").alias("target"), F.sum((F.col("y") > F.col("y0")).cast("long")).alias("above"))
+    t = t.groupBy("setting", *by).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()], top.alias("found"), F.max("best").alias("best"), F.max("target").alias("target"), F.sum((F.col("y") > F.col("y0") + EQUAL).cast("long")).alias("above"))
     cos = F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))
     return t.select("setting", *by, "n", *sums, cos.alias("cos"), (F.col("found") == F.col("best")).cast("double").alias("top1"), (F.col("above") < 5).cast("double").alias("top5"), (F.col("found") == F.col("target")).cast("double").alias("hit"))
 
