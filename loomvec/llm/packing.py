@@ -248,10 +248,10 @@ def best_fit_bins(items: DataFrame, size: int) -> DataFrame:
     t = items.withColumn("slice", F.pmod(F.xxhash64("row", "piece"), F.lit(SLICES)))
     sizes = t.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("slice")) - F.col("n")
-    sizes = sizes.select(F.col("length").alias("length3"), F.col("slice").alias("slice3"), before.alias("before"))
+    # A length that very many items have is joined slice by slice, as it is ranked.
+    sizes = sizes.select(F.col("length").alias("length3"), F.col("slice").alias("slice3"), before.alias("before")).join(runs, F.col("length3") == F.col("length2"))
     t = t.withColumn("own", F.row_number().over(W.partitionBy("length", "slice").orderBy("row", "piece")) - 1)
     t = t.join(sizes, (F.col("length") == F.col("length3")) & (F.col("slice") == F.col("slice3"))).withColumn("rank", F.col("own") + F.col("before"))
-    t = t.join(runs, F.col("length") == F.col("length2"))
     run = F.element_at("runs", F.size(F.filter("runs", lambda r: r["rank"] <= F.col("rank"))))
     return t.withColumn("run", run).select("row", "piece", "length", (F.col("run.first") + F.floor((F.col("rank") - F.col("run.rank")) / F.col("run.per"))).cast("long").alias("bin"))
 
