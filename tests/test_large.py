@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomvec.functions import expr as E
 from loomvec.operators import compressors as P
+from loomvec.operators import packed as K
 from loomvec.plans import evaluation
+from loomvec.plans import trials as T
 
 D = 16
 
@@ -36,3 +39,40 @@ def test_quantizers_make_no_pairs(spark):
     assert "block" not in plan and E.require_dim(t, "vec") == D
     none = evaluation.quantizer_benchmark(t.where("vec_id % 50 > 0"), ("scalar",)).first()
     assert none["mse"] > 0 and none["bias"] is None
+
+
+def grouped(spark, n=400, copies=1, heads=2):
+    t = vectors(spark, n, copies=copies).selectExpr("0 as b", f"cast(vec_id % {heads} as int) as h", "vec_id as k_id", "vec")
+    return t, t.where("k_id % 50 = 0").selectExpr("b", "h", "k_id as q_id", "vec as q")
+
+
+def brute(k, q, c, scaled=False):
+    """By query: (sum of exact, of estimated scores, whether best keys agree, whether the exact best is among five) from whole matrices."""
+    x, y = q @ k.T, q @ c.rows(k, scaled).T
+    best = x.round(10).argmax(axis=1)
+    above = (y > y[np.arange(len(q)), best][:, None] + 1e-12).sum(axis=1)
+    return x.sum(axis=1), y.sum(axis=1), (y.round(10).argmax(axis=1) == best).astype(float), (above < 5).astype(float), (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
+@pytest.fixture
+def small_tiles(monkeypatch):
+    """A group is many tiles, and a task has some."""
+    monkeypatch.setattr(K, "KEYS", 7)
+    monkeypatch.setattr(K, "QUERIES", 3)
+
+
+def test_attention_over_many_tiles_and_copies(spark, small_tiles):
+    k, q = grouped(spark, copies=2)
+    settings = {b: T.setting(D, int(b)) for b in "24"}
+    got = {(r["setting"], r["q_id"]): r for r in T.trials(k, q.withColumn("target", F.col("q_id")), settings, ("b", "h")).collect()}
+    rows = k.where("vec is not null").orderBy("k_id").toPandas()
+    for h in (0, 1):
+        x, ids = np.stack(rows[rows["h"] == h]["vec"].to_numpy()), rows[rows["h"] == h]["k_id"].to_numpy()
+        at = ids % 50 == 0
+        for b, c in settings.items():
+            for i, *want in zip(ids[at], *brute(x, x[at], c), strict=True):
+                r = got[b, int(i)]
+                assert [r[f] for f in ("x", "y", "top1", "top5", "cos")] == pytest.approx(want, abs=1e-9) and r["n"] == len(x)
+    # No pair of vectors is a row: what meets are tiles.
+    plan = plan_of(T.trials(k, q.withColumn("target", F.col("q_id")), settings, ("b", "h")))
+    assert "q_ids" in plan and "max_by" not in plan
