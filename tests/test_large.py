@@ -41,7 +41,7 @@ def test_quantizers_make_no_pairs(spark):
     assert none["mse"] > 0 and none["bias"] is None
 
 
-def grouped(spark, n=400, copies=1, heads=2):
+def grouped(spark, n=400, copies=1, heads=3):
     t = vectors(spark, n, copies=copies).selectExpr("0 as b", f"cast(vec_id % {heads} as int) as h", "vec_id as k_id", "vec")
     return t, t.where("k_id % 50 = 0").selectExpr("b", "h", "k_id as q_id", "vec as q")
 
@@ -66,7 +66,7 @@ def test_attention_over_many_tiles_and_copies(spark, small_tiles):
     settings = {b: T.setting(D, int(b)) for b in "24"}
     got = {(r["setting"], r["q_id"]): r for r in T.trials(k, q.withColumn("target", F.col("q_id")), settings, ("b", "h")).collect()}
     rows = k.where("vec is not null").orderBy("k_id").toPandas()
-    for h in (0, 1):
+    for h in range(3):
         x, ids = np.stack(rows[rows["h"] == h]["vec"].to_numpy()), rows[rows["h"] == h]["k_id"].to_numpy()
         at = ids % 50 == 0
         for b, c in settings.items():
@@ -76,3 +76,22 @@ def test_attention_over_many_tiles_and_copies(spark, small_tiles):
     # No pair of vectors is a row: what meets are tiles.
     plan = plan_of(T.trials(k, q.withColumn("target", F.col("q_id")), settings, ("b", "h")))
     assert "q_ids" in plan and "max_by" not in plan
+
+
+def test_ablation_is_one_pass(spark, small_tiles):
+    k, q = grouped(spark, 300)
+    k = k.withColumn("vec", F.transform("vec", lambda x, i: F.when(i == 3, x * 10).otherwise(x)))
+    got = {(r["step"], r["h"]): r for r in evaluation.ablation(k, q).collect()}
+    assert len(got) == 5 * 3
+    rows, queries = k.where("vec is not null").orderBy("k_id").toPandas(), q.where("q is not null").orderBy("q_id").toPandas()
+    mean = T.setting(D, 3).fit(k).mean
+    for i, (name, rotation, nsn) in enumerate((("haar", "haar", False), ("wht", "wht", False), ("nsn", "wht", True), ("packing", "wht", True), ("scaling", "wht", True))):
+        c = T.setting(D, 3, rotation, nsn)
+        c.mean = mean if nsn else None
+        for h in range(3):
+            x, y = (np.stack(t[t["h"] == h][v].to_numpy()) for t, v in ((rows, "vec"), (queries, "q")))
+            _, _, top1, top5, cos = brute(x, y, c, name == "scaling")
+            r = got[f"{i} {name}", h]
+            assert [r["cosine"], r["top1"], r["top5"]] == pytest.approx([cos.mean(), top1.mean(), top5.mean()], abs=1e-9)
+    plan = plan_of(evaluation.ablation(k, q))
+    assert plan.split("Initial Plan")[-1].count("q_ids") and plan.count("Union") == 0  # five steps, one pass
