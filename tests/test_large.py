@@ -95,3 +95,24 @@ def test_ablation_is_one_pass(spark, small_tiles):
             assert [r["cosine"], r["top1"], r["top5"]] == pytest.approx([cos.mean(), top1.mean(), top5.mean()], abs=1e-9)
     plan = plan_of(evaluation.ablation(k, q))
     assert plan.split("Initial Plan")[-1].count("q_ids") and plan.count("Union") == 0  # five steps, one pass
+
+
+def test_best_keys_are_those_of_scores_with_copies_in_order(spark, small_tiles):
+    k, q = grouped(spark, 150, copies=3)
+    c = P.KeyCompressor(D, 3, "wht")
+    packed = c.compress(k.where("vec is not null"))
+    want = {}
+    for r in c.scores(q.where("q is not null"), packed).collect():
+        want.setdefault(r["q_id"], []).append((-round(r["score"], 10), r["k_id"]))
+    found = c.best(q, packed, 5)
+    got = {(r["q_id"], r["rank"]): (r["k_id"], r["score"]) for r in found.collect()}
+    assert len(got) == 5 * len(want)
+    for i, rows in want.items():
+        for rank, (s, key) in enumerate(sorted(rows)[:5], 1):
+            assert got[i, rank][0] == key and got[i, rank][1] == pytest.approx(-s, abs=1e-9)
+    assert "q_ids" in plan_of(found)
+
+
+def test_best_of_takes_the_lesser_ids_of_equal_scores():
+    s, ids = np.array([[1.0, 2.0, 2.0, 2.0, np.nan], [0.0, 0.0, 0.0, 0.0, 0.0]]), np.array([5, 4, 3, 2, 1])
+    assert ids[K.best_of(s, ids, 2)].tolist() == [[2, 3], [1, 2]] and K.best_of(s, ids, 9).shape == (2, 5) and K.best_of(s[:0], ids, 2).shape == (0, 2)
