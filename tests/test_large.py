@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomvec.functions import expr as E
 from loomvec.operators import compressors as P
 from loomvec.operators import packed as K
+from loomvec.operators import scoring as S
 from loomvec.plans import evaluation
 from loomvec.plans import trials as T
 
@@ -116,3 +117,20 @@ def test_best_keys_are_those_of_scores_with_copies_in_order(spark, small_tiles):
 def test_best_of_takes_the_lesser_ids_of_equal_scores():
     s, ids = np.array([[1.0, 2.0, 2.0, 2.0, np.nan], [0.0, 0.0, 0.0, 0.0, 0.0]]), np.array([5, 4, 3, 2, 1])
     assert ids[K.best_of(s, ids, 2)].tolist() == [[2, 3], [1, 2]] and K.best_of(s, ids, 9).shape == (2, 5) and K.best_of(s[:0], ids, 2).shape == (0, 2)
+
+
+def test_quality_makes_no_pairs(spark, tmp_path):
+    from loomvec.plans import queries as core
+
+    x = np.random.default_rng(9).standard_normal((300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    t.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = core.queries()["estimate_quality"](spark, str(tmp_path))
+    k, q = core.key_queries(spark, str(tmp_path))
+    exact, c = S.all_scores(q, k.withColumnRenamed("vec", "k")), P.KeyCompressor(64, 4, "wht")
+    est = c.scores(q, c.compress(k))
+    want = S.errors(exact, est).crossJoin(S.top1_match(exact, est)).crossJoin(S.recall(exact, est)).first()
+    got = found.first()
+    assert all(got[n] == pytest.approx(want[n], abs=1e-6) for n in ("bias", "rmse", "corr", "top1_match", "recall"))
+    assert "q_ids" in plan_of(found) and "Window" not in plan_of(found)
