@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomvec.functions import expr as E
+from loomvec.operators import analytics as Y
 from loomvec.operators import compressors as P
 from loomvec.operators import packed as K
+from loomvec.operators import quantizers as Q
+from loomvec.operators import rotations as R
 from loomvec.operators import scoring as S
 from loomvec.plans import evaluation
 from loomvec.plans import trials as T
@@ -134,3 +137,26 @@ def test_quality_makes_no_pairs(spark, tmp_path):
     got = found.first()
     assert all(got[n] == pytest.approx(want[n], abs=1e-6) for n in ("bias", "rmse", "corr", "top1_match", "recall"))
     assert "q_ids" in plan_of(found) and "Window" not in plan_of(found)
+
+
+def test_rotations_of_heads_in_one_pass_over_batches(spark):
+    t = vectors(spark, 60).selectExpr("'h' || vec_id % 3 as h", "7 * vec_id as s", "vec").unionByName(spark.createDataFrame([("few", i, [1.0] * D) for i in range(2)], "h string, s long, vec array<double>"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {r["h"]: r for r in Y.per_head_rotation(t, ("wht", "haar")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {"h0", "h1", "h2", "few"} and got["few"]["rotation"] == "wht" and got["few"]["score"] is None
+    want = {}
+    for name in ("wht", "haar"):
+        rot, q = R.make(name, D, 42), Q.Scalar(D, 3)
+        x = t.where("vec is not null").select("h", "s", E.unit(F.col("vec")).alias("x")).withColumn("y", rot.column(q.round_trip(rot.column(F.col("x"))), True))
+        cos = {r["h"]: r["c"] for r in x.groupBy("h").agg(F.avg(E.cosine(F.col("x"), F.col("y"))).alias("c")).collect()}
+        f = Y.fidelity(Y.in_blocks(x, 8, {"x": "a", "y": "q"}, ("h", "s")), 8, group=("h", "block")).groupBy("h").agg(F.avg("ratio").alias("f"))
+        for r in f.collect():
+            want[r["h"], name] = 0.3 * (1 - min(abs(r["f"] - 1), 1)) + 0.7 * cos[r["h"]]
+    for h in ("h0", "h1", "h2"):
+        best = max(("wht", "haar"), key=lambda n: want[h, n])
+        assert got[h]["rotation"] == best and got[h]["score"] == pytest.approx(want[h, best], abs=1e-9)
+    # One pass for all candidates, and no block of eight is a row of a window.
+    assert str(Y.per_head_rotation(t)._jdf.queryExecution().analyzed().toString()).count("MapInArrow") == 1
