@@ -160,3 +160,15 @@ def test_rotations_of_heads_in_one_pass_over_batches(spark):
         assert got[h]["rotation"] == best and got[h]["score"] == pytest.approx(want[h, best], abs=1e-9)
     # One pass for all candidates, and no block of eight is a row of a window.
     assert str(Y.per_head_rotation(t)._jdf.queryExecution().analyzed().toString()).count("MapInArrow") == 1
+
+
+def test_scores_of_one_group_are_dealt_to_many_tasks(spark, small_tiles):
+    t = vectors(spark, 200).selectExpr("0 as g", "vec_id as k_id", "vec")
+    q = t.where("k_id % 50 = 0").selectExpr("g", "k_id as q_id", "vec as q")
+    c = K.PackedKeys(D, 3, use_nsn=False, unit=False, norm_types="<f8")
+    found = c.scores(q, c.compress(t), ("g",), places=5)
+    got = {(r["q_id"], r["k_id"]): r["score"] for r in found.collect()}
+    x = np.stack(t.where("vec is not null").orderBy("k_id").toPandas()["vec"].to_numpy())
+    want = x[::50] @ c.rows(x).T
+    assert len(got) == want.size == 4 * 200 and all(got[50 * i, j] == pytest.approx(want[i, j], abs=1.1e-5) and got[50 * i, j] == round(got[50 * i, j], 5) for i in range(4) for j in range(200))
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
