@@ -1,10 +1,11 @@
 """Phrase collocation mining: word sequences that stand together more often than their parts would.
 
 Level by level, all sequences of 1, 2, ... words become DataFrame rows (lang, phrase, f), counted within
-a task first and then hash-aggregated by language. A sequence occurs at most as often as its parts, so
-from the second level on only places whose two parts one word shorter reached the least count are
-exploded: a filter of a fixed number of bits holds the phrases that did. It has no false negatives,
-so no count is lost; what it lets through by chance is counted and then fails the least count.
+a task first, a bounded number of words at a time, and then hash-aggregated by language. A sequence
+occurs at most as often as its parts, so from the second level on only places whose two parts one word
+shorter reached the least count are exploded: a filter of a fixed number of bits holds the phrases that
+did. It has no false negatives, so no count is lost; what it lets through by chance is counted and then
+fails the least count.
 
 Candidates are joined with the counts of their first and last parts, scored in Decimal, dropped where a
 candidate of one more word holds them about as often (a longer one then has such a part, so one more
@@ -31,8 +32,10 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 #: A phrase goes if a candidate around it has at least so many percent of its count.
 SHARE = 50
 NO_LANG = "und"
-#: Words that a task counts at a time.
-FLUSH = 4_000_000
+#: Words that a task counts at a time, and distinct ones among them: what it holds doesn't grow with its share of the table.
+FLUSH, VOCABULARY = 2_000_000, 250_000
+#: Starts whose hashes are worked out at a time, and rows that leave a task at a time.
+BLOCK, ROWS = 1 << 16, 1 << 15
 #: Bits of the filter of phrases that reached the least count (8 MB); the number of phrases doesn't change it.
 FILTER_BITS = 1 << 26
 #: Parts of a language that are ranked on their own first.
@@ -105,21 +108,20 @@ def seed(lang: str) -> int:
 
 def phrases(x: np.ndarray, hashes: np.ndarray, lang: str, size: int, known: Filter | None) -> np.ndarray:
     """Starts in x (word numbers, _STOP between pieces) of the sequences of `size` words whose parts one word shorter are known."""
-    n = len(x) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    ok = x[:n] != _STOP
-    for k in range(1, size):
-        ok &= x[k : n + k] != _STOP
-    at = np.flatnonzero(ok)
-    if known is None:
-        return at
-    for skip in (0, 1):
-        code = np.full(len(at), seed(lang), np.uint64)
-        for k in range(skip, skip + size - 1):
-            code = roll(code, hashes[x[at + k]])
-        at = at[known.has(code)]
-    return at
+    n, found = len(x) - size + 1, [np.zeros(0, np.int32)]
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        ok = x[lo:hi] != _STOP
+        for k in range(1, size):
+            ok &= x[lo + k : hi + k] != _STOP
+        at = lo + np.flatnonzero(ok)
+        for skip in (0, 1) if known else ():
+            code = np.full(len(at), seed(lang), np.uint64)
+            for k in range(skip, skip + size - 1):
+                code = roll(code, hashes[x[at + k]])
+            at = at[known.has(code)]
+        found.append(at.astype(np.int32))
+    return np.concatenate(found)
 
 
 def counted(x: np.ndarray, at: np.ndarray, size: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,7 @@ def counted(x: np.ndarray, at: np.ndarray, size: int, vocabulary: int) -> tuple[
     return at[first], n
 
 
-def exploded(docs: DataFrame, size: int, known: Filter | None = None, flush: int = FLUSH) -> DataFrame:
+def exploded(docs: DataFrame, size: int, known: Filter | None = None, flush: int = FLUSH, vocabulary: int = VOCABULARY) -> DataFrame:
     """(lang, text) -> rows (lang, phrase, f) of sequences of `size` words, counted within a task. With size 1 a row without a phrase has the number of all words of a language."""
     kind = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
@@ -150,14 +152,16 @@ def exploded(docs: DataFrame, size: int, known: Filter | None = None, flush: int
             names = [b"", b"", *[w for w, i in number.items() if i > 1]]
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
             table = pa.array(names, pa.binary())
-            for lang, parts in by_lang.items():
+            while by_lang:
+                lang, parts = by_lang.popitem()
                 x = np.concatenate(parts)
+                del parts
                 at, n = counted(x, phrases(x, hashes, lang, size, known), size, len(names))
-                for lo in range(0, len(at), 100_000):
-                    some = at[lo : lo + 100_000]
+                for lo in range(0, len(at), ROWS):
+                    some = at[lo : lo + ROWS]
                     told = [table.take(pa.array(x[some + k])) for k in range(size)]
                     text = told[0] if size == 1 else pc.binary_join_element_wise(*told, b" ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(some), np.int64))), text.cast(pa.string()), pa.array(n[lo : lo + 100_000])], schema=kind)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(some), np.int64))), text.cast(pa.string()), pa.array(n[lo : lo + ROWS])], schema=kind)
                 if size == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int(n.sum())])], schema=kind)
 
@@ -165,11 +169,11 @@ def exploded(docs: DataFrame, size: int, known: Filter | None = None, flush: int
             raw, ends = byte_spans(b.column(1))
             for i, lang in enumerate(b.column(0).to_pylist()):
                 words = words_of(raw[ends[i] : ends[i + 1]].tobytes())
-                x = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                x = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
                 x = x[x != _NONE]
-                by_lang[lang] += [x, np.zeros(1, np.int64)]
+                by_lang[lang] += [x, np.zeros(1, np.int32)]
                 total += len(x) + 1
-                if total >= flush:
+                if total >= flush or len(number) > vocabulary:
                     yield from out()
                     number, by_lang, total = fresh(), defaultdict(list), 0
         if total:
@@ -178,6 +182,11 @@ def exploded(docs: DataFrame, size: int, known: Filter | None = None, flush: int
     return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f long")
 
 
+def summed(rows: DataFrame) -> DataFrame:
+    """Counts of tasks (lang, phrase, f), added. They are dealt out first: a sum within a task would hold all its phrases once more and merge hardly any."""
+    return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
 def part(phrase: Column, start: int, words: int) -> Column:
     """`words` words of a phrase from word `start` (from 1)."""
     return F.array_join(F.slice(F.split(phrase, " "), start, words), " ")
@@ -185,7 +194,7 @@ def part(phrase: Column, start: int, words: int) -> Column:
 
 def candidates(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(counts, totals) of docs (lang, text): phrases of 1 to max_words words that stand at least `least` times, as (lang, size, phrase, f), and (lang, n)."""
-    sums = lambda size, known: exploded(docs, size, known).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    sums = lambda size, known: summed(exploded(docs, size, known))
     words = cut(sums(1, None).where((F.col("f") >= least) | F.col("phrase").isNull()).select("lang", F.lit(1).alias("size"), "phrase", "f"))
     totals = words.where("phrase is null").select("lang", F.col("f").alias("n"))
     out = last = words.where("phrase is not null")

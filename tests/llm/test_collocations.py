@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomvec.llm import collocations as M
@@ -67,3 +69,48 @@ def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 3_000_000_007, 3_100_000_013, 3_200_000_011
     counts = spark.createDataFrame([("en", 1, "x", left), ("en", 1, "y", right), ("en", 2, "x y", a)], "lang string, size int, phrase string, f long")
     assert M.scored(counts, 3).first()["score"] == 1_000_000 * a * a // (left * right)
+
+
+class Task:
+    """Stands for a table: keeps what a task runs."""
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, kind):
+        self.run = run
+        return self
+
+
+def peak(texts_):
+    """(bytes that a task holds at most, words that it counts) over 1,000 new words a text."""
+    task = M.exploded(Task(), 1)
+    batches = (pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(f"w{1000 * i + k}" for k in range(1000))])], names=["lang", "text"]) for i in range(texts_))
+    tracemalloc.start()
+    try:
+        n = sum(sum(f for p, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if p is not None) for b in task.run(batches))
+        return tracemalloc.get_traced_memory()[1], n
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_no_more_for_more_words():
+    peak(1)  # imports
+    (small, n), (large, m) = peak(300), peak(900)
+    assert (n, m) == (300_000, 900_000) and large < 1.2 * small
+
+
+def test_counts_of_tasks_are_dealt_out_before_they_are_added(spark):
+    docs = spark.createDataFrame([("red fox", "en")] * 15, "text string, lang string")
+    t = M.summed(M.exploded(docs, 2, flush=5))
+    below = t._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert len(below) == 2 and "Aggregate" in below[0] and "Aggregate" not in below[1]
+    assert [tuple(r) for r in t.collect()] == [("en", "red fox", 15)]
+
+
+def test_few_words_held_at_a_time(spark):
+    rows = texts(2)
+    docs = spark.createDataFrame([(t or "", lang or "und") for t, lang in rows], "text string, lang string")
+    for size in (1, 2, 3):
+        got, want = ({tuple(r) for r in M.summed(M.exploded(docs, size, **kw)).collect()} for kw in ({"vocabulary": 5}, {}))
+        assert got == want and len(got) > 10
